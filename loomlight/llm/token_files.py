@@ -180,7 +180,7 @@ def write(documents: DataFrame, folder: str, encoder: Callable[[], Encoder], end
             yield close()
 
     ordered = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return cut(ordered.mapInArrow(run, "part int, seq int, uri string, n_docs long, n_tokens long"))
+    return cut(ordered.mapInArrow(run, "part long, seq long, uri string, n_docs long, n_tokens long"))
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def read(manifest: DataFrame) -> DataFrame:
         starts.append((part, upto))
         upto += n
     spark = manifest.sparkSession
-    first = spark.createDataFrame(starts, "part int, first long")
+    first = spark.createDataFrame(starts, "part long, first long")
     earlier = manifest.select(F.col("part").alias("p"), F.col("seq").alias("s"), F.col("n_tokens").alias("n"))
     placed = (
         manifest.join(earlier, (F.col("part") == F.col("p")) & (F.col("s") < F.col("seq")), "left")
