@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+from loomlight.plans import vector_queries
+
+MODULES = (vector_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
