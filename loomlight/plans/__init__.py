@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlight.plans import vector_queries
+from loomlight.plans import retrieval_queries, vector_queries
 
-MODULES = (vector_queries,)
+MODULES = (vector_queries, retrieval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
