@@ -172,8 +172,8 @@ def dijkstra(edges: DataFrame, src: str, most: float | None = None, direction: s
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, seeds: DataFrame | None = None, tolerance: float | None = 1e-4, dangling: bool = True) -> DataFrame:
     """node, score by power iteration.
 
-    Without seeds every node with out-edges starts at 1/N and gets (1 - alpha) / N each round, as
-    does every node once it has a score; with seeds (node) these share the start and all teleports.
+    Without seeds every node with out-edges starts at 1/N, and each round all nodes that had a score
+    before it get (1 - alpha) / N; with seeds (node) these share the start and all teleports.
     A node without out-edges keeps (1 - alpha) of its score (dangling), or loses it. Scores don't
     sum to 1. Stops when no score moves by the tolerance after the second round.
     """
@@ -192,9 +192,6 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, seeds: Dat
         if dangling:
             stuck = ranks.join(out, ranks["node"] == out["src"], "left_anti").select("node", ((1 - alpha) * F.col("score")).alias("score"))
             more = more.union(stuck)
-        if seeds is None:  # teleports also reach what scores are sent to this round
-            reached = moved.select("node").distinct().join(ranks.select("node"), "node", "left_anti").select("node", F.lit(0.0).alias("score"))
-            more = more.union(reached)
         new = cut(moved.union(more).groupBy("node").agg(F.sum("score").alias("score")))
         if tolerance is not None and i >= 2:
             gap = new.join(ranks.withColumnRenamed("score", "old"), "node", "left").agg(F.max(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
@@ -241,11 +238,9 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     for _ in range(rounds):
         votes = both.join(labels, both["b"] == labels["node"]).groupBy("a", "label").agg(F.sum("n").alias("votes"))
         chosen = votes.groupBy("a").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("c")).select(F.col("a").alias("node"), F.col("c.label").alias("label"))
-        changed = chosen.join(labels.withColumnRenamed("label", "old"), "node").where("label != old")
         labels, before = cut(chosen), labels
         if labels.join(before.withColumnRenamed("label", "old"), "node").where("label != old").isEmpty():
             break
-        del changed
     return labels.withColumnRenamed("label", "community")
 
 
