@@ -182,7 +182,7 @@ def lenient_array(text: Column | str) -> Column:
     t = filled(text)
     inner = F.regexp_extract(t, r"(?s)\[.*\]", 0)
     parsed = F.from_json(inner, "array<string>")
-    loose = F.filter(F.transform(F.split(F.regexp_replace(t, r"[\[\]\"]", ""), ","), F.trim), lambda x: x != "")
+    loose = F.filter(F.transform(F.split(F.regexp_replace(t, r"[\[\]\"]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when((inner != "") & parsed.isNotNull(), parsed).otherwise(loose)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join up to this many bytes (rows times a stated width) may be broadcast; beyond it, joins shuffle.
@@ -16,11 +16,18 @@ def sized(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="loomlight-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the folder of spark.checkpoint.dir (one of our own where unset), so that loops keep short plans and survive lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomlight-"))
+    """df computed once and written to the shared folder, so that loops keep short plans and survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -269,9 +269,9 @@ SELECT count(*) AS n, round(avg(len(t)), 6) AS mean_length, (SELECT count(DISTIN
     "bm25_truncated": f"WITH {_bm25_sql(10, '0, 1, 2', text='left(text, 8000)')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm_top",
     "bm25_upsert": f"""WITH upserted AS (SELECT doc_id - 10 AS doc_id, text FROM documents WHERE doc_id BETWEEN 10 AND 19 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id > 9),
 {_bm25_sql(10, docs='upserted')} SELECT doc_id, round(score, 6) AS score, rank FROM bm_top""",
-    "entity_text_search": f"""WITH asked AS (SELECT * FROM (VALUES (0, 'red', 1), (0, 'widget', 1), (1, 'small', 1), (1, 'ring', 2)) AS t(query_id, term, times)),
+    "entity_text_search": f"""WITH asked AS (SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'red', 1), (0, 'widget', 1), (1, 'small', 1), (1, 'ring', 2)) AS t(query_id, term, times)),
 {_bm25_sql(10, docs='part', text='p_name', key='p_partkey', asked='unused AS (SELECT 1)')} SELECT query_id, doc_id AS p_partkey, round(score, 6) AS score, rank FROM bm_top""",
-    "text_contains": "SELECT doc_id, 1.0 AS score FROM documents WHERE contains(lower(text), 'there') ORDER BY doc_id LIMIT 10",
+    "text_contains": "SELECT doc_id, CAST(1 AS DOUBLE) AS score FROM documents WHERE contains(lower(text), 'there') ORDER BY doc_id LIMIT 10",
     "rrf_two": f"{_LISTS} SELECT id, round(rrf, 6) AS rrf, hits, sources FROM ({_FUSED}) ORDER BY round(rrf, 9) DESC, id LIMIT 10",
     "rrf_many": f"""WITH {_bm25_sql(20, '0, 1, 2')}, lists AS (SELECT 'q' || query_id AS source, doc_id AS id, rank FROM bm_top)
 SELECT id, round(rrf, 6) AS rrf, hits, sources FROM ({_FUSED}) ORDER BY round(rrf, 9) DESC, id LIMIT 10""",
@@ -283,7 +283,7 @@ SELECT id, round(rrf, 6) AS rrf, hits FROM f ORDER BY round(rrf, 9) DESC, id LIM
     "rank_weighted": f"""{_LISTS}, f AS (SELECT id, sum(w * (1 - (rank - 1) / n)) AS fused FROM (
   SELECT *, CASE source WHEN 'vector' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS w, count(*) OVER (PARTITION BY source) AS n FROM lists) GROUP BY id)
 SELECT id, round(fused, 6) AS fused FROM f ORDER BY round(fused, 9) DESC, id LIMIT 10""",
-    "fuse_linear": f"""{_LISTS}, f AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 0.0 ELSE 1.0 END AS score_b, 0.7 * coalesce(a.score, 0) + 0.3 * CASE WHEN b.id IS NULL THEN 0 ELSE 1 END AS fused
+    "fuse_linear": f"""{_LISTS}, f AS (SELECT coalesce(a.id, b.id) AS id, CAST(CASE WHEN b.id IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS score_b, 0.7 * coalesce(a.score, 0) + 0.3 * CASE WHEN b.id IS NULL THEN 0 ELSE 1 END AS fused
   FROM (SELECT * FROM lists WHERE source = 'vector') a FULL JOIN (SELECT * FROM lists WHERE source = 'text') b ON a.id = b.id)
 SELECT id, round(fused, 6) AS fused, score_b FROM f ORDER BY round(fused, 9) DESC, id LIMIT 10""",
     "merge_dedup": _merge_sql(200, 10),

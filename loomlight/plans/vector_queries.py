@@ -236,7 +236,7 @@ FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q, s ORDER BY dis
     "vec_seed_expand": f"SELECT vec_id, round(score, 6) AS score, rank FROM ({_nearest_sql(8, 'vec_id = 7')})",
     "vec_post_filter": f"SELECT vec_id, label, round(score, 6) AS score FROM ({_nearest_sql(50, 'vec_id = 0')}) WHERE label = 3 ORDER BY rank LIMIT 10",
     "vec_threshold": f"SELECT vec_id, round(score, 6) AS score FROM ({_nearest_sql(20, 'vec_id = 0')}) WHERE score >= 0.2",
-    "vec_l2_normalise": f"""SELECT vec_id, round(sqrt(n2), 6) AS norm_before, CASE WHEN n2 = 0 THEN 0.0 ELSE 1.0 END AS norm_after,
+    "vec_l2_normalise": f"""SELECT vec_id, round(sqrt(n2), 6) AS norm_before, CAST(CASE WHEN n2 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS norm_after,
   round(CAST(embedding[1] AS DOUBLE) / CASE WHEN n2 = 0 THEN 1 ELSE sqrt(n2) END, 6) AS first FROM (SELECT *, {_dot('embedding', 'embedding')} AS n2 FROM embeddings)""",
     "vec_index_info": "SELECT count(*) AS rows, count(embedding) AS indexed, max(len(embedding)) AS dim, count(DISTINCT label) AS cells FROM embeddings",
     "ivf_fixed_centroids": f"WITH {_IVF} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM found",
