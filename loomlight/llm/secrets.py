@@ -22,7 +22,7 @@ from loomlight.llm.shared import cut
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 MIN_VALUE, MIN_RANDOM = 6, 20
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,400}[0-9])(?=[0-9+/_=-]{0,400}[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 RATE, STEPS = 0.01, 20
 KINDS = ("assign", "access", "hex", "random")
 #: Places are summed in blocks of this many matches, so that a text with very many isn't quadratic.
@@ -32,10 +32,12 @@ ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 1.0, 0.2),
     ("base32", r"^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.1, 0.1),
     ("base36", r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 1.4, 0.1),
-    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 3.2, 0.15),
+    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 3.2, 0.25),
 )
 #: Correlation of neighbouring symbols of readable identifiers.
 CORRELATION = 0.35
+#: How far one kind of readable identifier is from another: standard deviations of the excess (as a share of it), of the share of class changes and of the correlation.
+EXCESS_SPREAD, CHANGES_SPREAD, CORRELATION_SPREAD = 0.25, 0.08, 0.15
 
 
 def _total(x: Column) -> Column:
@@ -120,11 +122,11 @@ def _score(symbols: Column, letters: Column, k: int, excess: float, changes: flo
         n = a["n"]
         chi = squares * k / n - n
         more = (n - 1) * excess
-        z_chi = ((k - 1) + more - chi) / F.sqrt(2.0 * (k - 1) + 4 * more)
-        z_runs = (a["changed"] - (n - 1) * changes) / F.sqrt((n - 1) * changes * (1 - changes))
+        z_chi = ((k - 1) + more - chi) / F.sqrt(2.0 * (k - 1) + 4 * more + F.pow(EXCESS_SPREAD * more, F.lit(2)))
+        z_runs = (a["changed"] - (n - 1) * changes) / F.sqrt((n - 1) * changes * (1 - changes) + F.pow(CHANGES_SPREAD * (n - 1), F.lit(2)))
         spread = n * a["xx"] - a["x"] * a["x"]
         r = F.when(spread > 0, (n * (a["xy"] + a["last"] * a["first"]) - a["x"] * a["x"]) / spread).otherwise(1.0)
-        z_serial = (CORRELATION - r) * F.sqrt(n)
+        z_serial = (CORRELATION - r) / F.sqrt(1 / n + CORRELATION_SPREAD**2)
         p = _phi(-(z_chi + z_runs + z_serial) / F.sqrt(F.lit(3.0)))
         return F.floor(F.least(F.lit(40.0), -F.log10(F.greatest(p, F.lit(1e-40)))) * STEPS).cast("int")
 
