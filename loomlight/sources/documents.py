@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """A document for each file: doc_id (its path), text, filename, file_size. Compressed files are opened by their ending."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("file_size"))
 
 
 def json_documents(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
     """Documents of JSON lines (or, with many, files with an array `documents`): doc_id, title, text, metadata (JSON). Broken lines are dropped."""
-    body = "doc_id string, title string, content string, metadata struct<source: string, category: string, year: int>"
+    body = "doc_id: string, title: string, content: string, metadata: struct<source: string, category: string, year: int>"
     reader = spark.read.option("mode", "DROPMALFORMED")
     if many:
-        rows = reader.option("multiLine", True).schema(f"documents array<struct<{body.replace(' string', ': string').replace(' struct', ': struct')}>>").json(path).select(F.explode("documents").alias("d")).select("d.*")
+        rows = reader.option("multiLine", True).schema(f"documents array<struct<{body}>>").json(path).select(F.explode("documents").alias("d")).select("d.*")
     else:
-        rows = reader.schema(body).json(path)
+        rows = reader.schema(T.StructType.fromDDL(body)).json(path)
     return rows.select("doc_id", "title", F.col("content").alias("text"), F.to_json("metadata").alias("metadata"))
 
 
