@@ -168,3 +168,37 @@ def nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     at = lambda p: F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1)
     rows = _counted(df, group, value)
     return rows.groupBy(group).agg(F.first("n").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"), _nth(at(0.95)).alias("p95"), _nth(at(0.99)).alias("p99"))
+
+
+def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: H with the correction for ties, degrees of freedom. Values are counted before they are ranked."""
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    per_value = c.groupBy("v").agg(F.sum("c").alias("t"))
+    upto = F.sum("t").over(Window.orderBy("v"))
+    ranks = per_value.select("v", "t", (upto - (F.col("t") - 1) / 2).alias("rank"))
+    sums = c.join(ranks, "v").groupBy("g").agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("n"))
+    ties = per_value.agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
+    total = sums.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(ties))  # one row
+    n = F.col("n").cast("double")
+    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    return total.select(h.alias("h"), (F.col("k") - 1).alias("df"))
+
+
+def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: the smaller signed rank sum of paired differences (none of zero), n. Equal sizes share their mean rank."""
+    gap = (F.col(x) - F.col(y)).cast("double")
+    c = df.select(F.round(gap, 9).alias("d")).where("d != 0").groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    rank = F.sum("t").over(Window.orderBy("v")) - (F.col("t") - 1) / 2
+    s = c.select("t", "up", rank.alias("rank")).agg(F.sum(F.col("rank") * F.col("up")).alias("a"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("b"), F.sum("t").alias("n"))
+    return s.select(F.least("a", "b").alias("w"), "n")
+
+
+def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
+    """One row: chi-squared of ranks within blocks (equal values share their mean rank, no correction), degrees of freedom, blocks."""
+    w = Window.partitionBy(block).orderBy(value)
+    same = F.count(F.lit(1)).over(Window.partitionBy(block, value))
+    ranked = df.select(treatment, block, (F.rank().over(w) + (same - 1) / 2).alias("r"))
+    sums = ranked.groupBy(treatment).agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    total = sums.agg(F.sum(F.col("r") * F.col("r")).alias("s"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    chi = 12 / (F.col("n") * F.col("k") * (F.col("k") + 1)) * F.col("s") - 3 * F.col("n") * (F.col("k") + 1)
+    return total.select(chi.alias("chi"), (F.col("k") - 1).alias("df"), F.col("n").alias("blocks"))

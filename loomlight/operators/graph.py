@@ -312,3 +312,19 @@ def by_label(edges: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 def weight_of(edges: DataFrame, default: Column | float = 1.0) -> DataFrame:
     """edges with weights that are missing filled in."""
     return edges.withColumn("w", F.coalesce("w", default if isinstance(default, Column) else F.lit(default)))
+
+
+def adjacency_from(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """src, pred, targets of the nodes within so many hops of the seeds."""
+    near = khop(edges, seeds, hops)
+    some = edges.join(near.select(F.col("node").alias("src")), "src", "left_semi")
+    return some.groupBy("src", "pred").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("targets"))
+
+
+def with_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges and new ones; of the same src, pred and dst the new one."""
+    return without_edges(edges, new).unionByName(new.select("src", "pred", "dst", "w").dropDuplicates(["src", "pred", "dst"]))
+
+
+def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone.select("src", "pred", "dst").distinct(), ["src", "pred", "dst"], "left_anti").select("src", "pred", "dst", "w")

@@ -59,3 +59,19 @@ def probed_documents(assigned: DataFrame, centroids: DataFrame, query: DataFrame
 def plaid(tokens: DataFrame, assigned: DataFrame, centroids: DataFrame, query: DataFrame, k: int, probes: int = 4, per_token: bool = False) -> DataFrame:
     """Two stages: candidate documents from cells, exact maxsim on them."""
     return maxsim(tokens, query, k, cut(probed_documents(assigned, centroids, query, probes, per_token)))
+
+
+def normalised(tokens: DataFrame) -> DataFrame:
+    """Tokens with unit vectors, as an ingest stores them."""
+    return tokens.withColumn("vec", V.normalise("vec"))
+
+
+def maxsim_of_hits(tokens: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """maxsim over hits (q, tok, dot) of an approximate index."""
+    return top_k(_sum_of_best(hits.join(tokens.select("doc", "tok"), "tok")), k, F.desc("score"), "doc")
+
+
+def two_step(tokens: DataFrame, query: DataFrame, k: int, per_token: int = 50, factor: int = 2) -> DataFrame:
+    """min(factor * k, 100) documents by their nearest tokens, rescored exactly and cut to k."""
+    wide = cut(maxsim_of_nearest(tokens, query, min(factor * k, 100), per_token))
+    return maxsim(tokens, query, k, wide.select("doc"))

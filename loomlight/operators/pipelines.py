@@ -86,3 +86,27 @@ def multi_query(docs: DataFrame, query: DataFrame, k: int, variants: int = 4, wi
     found = lexical.search(lexical.bags(docs), lexical.asked(forms, "n", "q"), wide)
     fused = fusion.reciprocal(found.select(F.col("query_id").cast("string").alias("source"), F.col("key").alias("id"), "rank"))
     return top_k(fused, k, F.desc(rounded("rrf", 9)), "id").withColumnRenamed("id", "doc_id")
+
+
+def dispatch(mode: str, backends: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The result of the backend of a mode. An unknown mode, or one without a backend here, raises ValueError; nothing falls back silently."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is not one of {', '.join(MODES)}")
+    if mode not in backends:
+        raise ValueError(f"mode {mode!r} has no backend here")
+    return backends[mode]()
+
+
+def reasoned(entities: DataFrame, edges: DataFrame, expanded: DataFrame, query: str, depth: int, k: int) -> DataFrame:
+    """graph for a query and the terms it expands to (term): doc_id, entities. Expansions are few."""
+    terms = expanded.select("term").union(expanded.sparkSession.createDataFrame([(query,)], "term string"))
+    seeds = entities.join(sized(cut(terms.distinct()), 64), F.contains(F.lower("term"), F.lower("name")), "left_semi").select(F.col("entity").alias("node"))
+    return G.documents_of(entities, G.neighbourhood(edges, seeds, depth).select("node"), k)
+
+
+def insights(concepts: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """key, id, score: concepts of a query, 1 if it holds the label, 0.5 if only a synonym."""
+    from loomlight.operators import ontology
+
+    found = ontology.matched(concepts, queries, key, text).join(concepts.select("id", "label"), "id")
+    return found.groupBy(key, "id").agg(F.max(F.when(F.col("term") == F.col("label"), 1.0).otherwise(0.5)).alias("score"))

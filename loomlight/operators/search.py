@@ -175,3 +175,16 @@ def recall(exact: DataFrame, found: DataFrame, key: str = "vec_id") -> DataFrame
     b = found.groupBy("query_id").agg(F.collect_set(key).alias("b"))
     share = F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<bigint>")))) / F.size("a")
     return a.join(b, "query_id", "left").select("query_id", share.alias("recall"))
+
+
+def with_fallback(corpus: DataFrame, queries: DataFrame, k: int, recent: Column, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k best by dot; if no row has a vector, the k most recent with score 0.5."""
+    if corpus.where(F.col(vector).isNotNull()).isEmpty():
+        pool = corpus if where is None else corpus.where(where)
+        return top_k(pool.withColumn("score", F.lit(0.5)), k, recent.desc(), key)
+    return nearest(corpus, queries, k, "dot", where, key, vector)
+
+
+def by_text(corpus: DataFrame, texts: DataFrame, k: int, embed, key: str = "vec_id", vector: str = "embedding", query_id: str = "item_id", text: str = "text") -> DataFrame:
+    """Neighbours of texts: embed(column) gives their vectors, a built-in expression or a pandas UDF around a model."""
+    return nearest(corpus, texts.select(F.col(query_id).alias("query_id"), embed(F.col(text)).alias("query")), k, key=key, vector=vector)
