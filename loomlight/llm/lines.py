@@ -20,11 +20,13 @@ from loomlight.llm.shared import cut, sized
 
 #: Lines of fewer words are never removed: one word in five is the least similarity that the bound of one word allows.
 MIN_WORDS = 5
+#: Words whose changes of place are summed together, so that variants of very long lines take few steps each.
+BLOCK = 32
 _SPACES = "\t\x0b\x0c\r"
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.translate(F.lower(line), _SPACES, " " * len(_SPACES)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.lower(line), _SPACES, " " * len(_SPACES)), " "), "")
 
 
 def _half(n: Column) -> Column:
@@ -73,14 +75,14 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = cut(first.groupBy("id", "t").agg(F.collect_list(F.struct("line", "h1")).alias("wanted")))
     found = docs.select(F.struct("id", "t").alias("doc"), "lines").join(sized(wanted.select(F.struct("id", "t").alias("doc"), "wanted"), 64), "doc")
     found = found.select("doc.*", "lines", F.explode("wanted").alias("w")).select("id", "t", F.col("w.line").alias("line"), words_of(F.get("lines", F.col("w.line"))).alias("words"))
-    held = cut(_hashed(found).select("h1", _place().alias("first"), "words", "h", "n").dropDuplicates(["h1"]))
+    held = cut(_mixed(_hashed(found).select("h1", _place().alias("first"), "words", "h").dropDuplicates(["h1"])))
 
-    variants = held.select("h1", "first", F.posexplode(_variants(F.col("h"), F.col("n"))).alias("i", "v"))
+    variants = held.select("h1", "first", F.posexplode(_variants()).alias("i", "v"))
     replaced = variants.groupBy("v", "i").agg(F.min("first").alias("by"), F.max("first").alias("latest")).where("by < latest").drop("latest")
     near = variants.join(sized(cut(replaced), 64), ["v", "i"]).where("by < first").select("h1", "by")
-    grown = cut(variants.select("h1", "first", "v").join(held.select(F.col("h1").alias("v"), F.col("first").alias("whole")), "v"))
+    grown = cut(variants.select("h1", "first", "v").join(held.select(F.col("all").alias("v"), F.col("h1").alias("short"), F.col("first").alias("whole")), "v"))
     near = near.union(grown.where("whole < first").select("h1", F.col("whole").alias("by")))
-    near = near.union(grown.groupBy("v").agg(F.min("first").alias("by"), F.first("whole").alias("whole")).where("by < whole").select("v", "by"))
+    near = near.union(grown.groupBy("short").agg(F.min("first").alias("by"), F.first("whole").alias("whole")).where("by < whole").select("short", "by"))
     pairs = near.distinct().join(held.select("h1", "words"), "h1").join(held.select(F.col("first").alias("by"), F.col("words").alias("other")), "by")
     late = cut(pairs.where(within_one(F.col("words"), F.col("other"))).select("h1").distinct())
 
@@ -90,8 +92,34 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return gone.groupBy("id", "t").agg(F.collect_list("line").alias("removed"))
 
 
-def _variants(h: Column, n: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.slice(h, F.lit(1), i - 1), F.slice(h, i + 1, n))))
+def _xor(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+
+
+def _mixed(lines: DataFrame) -> DataFrame:
+    """lines (with word hashes h) and what makes each variant's key in a few steps.
+
+    A line's key is the exclusive or of its words' hashes mixed with their places (all). Without
+    word i, words before i keep their places and those after it move down by one: `moved` has each
+    word's hash at the place below, `turn` what such a move changes, `upto` the changes of all
+    earlier blocks of BLOCK words.
+    """
+    lines = lines.withColumns({"at": F.transform("h", lambda w, j: F.xxhash64(w, j)), "moved": F.transform("h", lambda w, j: F.xxhash64(w, j - 1))})
+    lines = lines.withColumns({"all": _xor(F.col("at")), "below": _xor(F.col("moved")), "turn": F.zip_with("at", "moved", lambda a, b: a.bitwiseXOR(b))})
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("turn") / BLOCK).cast("int")), lambda k: _xor(F.slice("turn", k * BLOCK + 1, BLOCK)))
+    lines = lines.withColumn("blocks", blocks).withColumn("upto", F.transform("blocks", lambda _, k: _xor(F.slice("blocks", F.lit(1), k))))
+    return lines.drop("h", "at", "blocks")
+
+
+def _variants() -> Column:
+    """The key of the line without each of its words in turn."""
+
+    def without(moved: Column, i: Column) -> Column:
+        k = F.floor(i / BLOCK).cast("int")
+        earlier = F.get("upto", k).bitwiseXOR(_xor(F.slice("turn", k * BLOCK + 1, i - k * BLOCK)))
+        return F.col("below").bitwiseXOR(moved).bitwiseXOR(earlier)
+
+    return F.transform("moved", without)
 
 
 def within_one(x: Column, y: Column) -> Column:
@@ -111,6 +139,19 @@ def within_one(x: Column, y: Column) -> Column:
     )
 
 
+def _kept(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row (a document's columns), lines, removed (null without any) and thinned (the text of the other lines)."""
+    removed = cut(duplicates(documents, doc_id, text)).select(F.struct("id", "t").alias("doc"), "removed")
+    rows = documents.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")).alias("doc"), F.split(F.col(text), "\n", -1).alias("lines"))
+    others = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    thinned = F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(others, lambda i: F.get("lines", i)), "\n"))
+    return rows.join(sized(removed, 128), "doc", "left").select("row", "lines", "removed", thinned.alias("thinned"))
+
+
+def _columns(documents: DataFrame, text: str) -> list[Column]:
+    return [F.col("thinned").alias(c) if c == text else F.col("row")[c].alias(c) for c in documents.columns]
+
+
 def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """documents without repeated lines, and with n_lines and n_removed after their columns (columns of these names are replaced).
 
@@ -119,19 +160,12 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows that share only the id are apart. Other columns pass unchanged; an empty table gives none.
     """
     base = documents.drop("n_lines", "n_removed")
-    names = base.columns
-    removed = cut(duplicates(base, doc_id, text)).select(F.struct("id", "t").alias("_doc"), "removed")
-    rows = base.withColumn("_doc", F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")))
-    joined = rows.join(sized(removed, 128), "_doc", "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed")
-    thinned = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    out = [F.when(F.col("removed").isNull(), F.col(c)).otherwise(thinned).alias(c) if c == text else F.col(c) for c in names]
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines")
-    return joined.select(*out, n_lines, F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
-
-
-def thin(documents: DataFrame) -> DataFrame:
-    """documents without repeated lines; those that lost lines and have only white space left go."""
-    found = deduplicate(documents)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n" + _SPACES, "     ")) == "")
-    return found.where(~emptied | F.col("text").isNull()).select(*documents.columns)
+    n_lines = F.when(F.col("row")[text].isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines")
+    n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed")
+    return _kept(base, doc_id, text).select(*_columns(base, text), n_lines, n_removed)
+
+
+def thin(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents without repeated lines; those that lost lines and have only white space left go. Other columns pass unchanged."""
+    emptied = F.col("removed").isNotNull() & (F.trim(F.translate("thinned", "\n" + _SPACES, "     ")) == "")
+    return _kept(documents, doc_id, text).where(~emptied).select(*_columns(documents, text))
