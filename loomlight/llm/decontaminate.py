@@ -153,7 +153,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple
         yield block
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """documents with n_words, n_hit, n_items, items (ids as sorted strings), longest (words of the longest verbatim match) and contaminated after the others.
 
     Columns of these names are replaced. A null text, or one without words, has no hits. Repeated
@@ -216,6 +216,8 @@ def digests(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no window of a benchmark item occurs, with their own columns."""
-    return contamination(documents, benchmark).where(~F.col("contaminated")).select(*documents.columns)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents in which no window of a benchmark item occurs, with their own columns, whatever their names."""
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    found = contamination(documents.toDF(*names), benchmark, text=names[documents.columns.index(text)])
+    return found.where(~F.col("contaminated")).select(*(F.col(a).alias(b) for a, b in zip(names, documents.columns)))

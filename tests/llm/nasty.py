@@ -20,9 +20,9 @@ def rows(n: int, seed: int = 1) -> list[tuple]:
 
 
 SCHEMA = "doc_id long, text string"
-EXTRA = "doc_id long, text string, n_tokens string, score string, held_out string, fingerprint string, _text string, row string, key string, word string, n int, a string, t string, v int, base string, found string"
+EXTRA = "doc_id long, text string, n_tokens string, score string, held_out string, fingerprint string, _text string, row string, key string, word string, n int, a string, t string, v int, base string, found string, n_words string, contaminated string, items string"
 
 
 def extra(spark, data):
     """The rows with columns whose names clash with what operators make."""
-    return spark.createDataFrame([(*r, *["z"] * 8, 1, "z", "z", 1, "z", "z") for r in data], EXTRA)
+    return spark.createDataFrame([(*r, *["z"] * 8, 1, "z", "z", 1, *["z"] * 5) for r in data], EXTRA)

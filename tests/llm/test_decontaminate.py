@@ -71,4 +71,4 @@ def test_empty_tables_and_pipeline_stage(spark):
     kept = decontaminate.decontaminate(nasty.extra(spark, docs), spark.createDataFrame([(*r, "z") for r in items], ITEMS))
     clean = sorted((d for d, n, h, *_ in brute(docs, items) if not h), key=str)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == clean and bad
-    assert kept.columns == nasty.extra(spark, docs).columns
+    assert kept.columns == nasty.extra(spark, docs).columns and {r.n_words for r in kept.collect()} == {"z"}
