@@ -97,15 +97,15 @@ def dijkstra(spark, sf):
 
 
 def pagerank(spark, sf):
-    return G.pagerank(star_edges(spark, sf), rounds=4, tolerance=None).select("node", rounded("score").alias("score"))
+    return G.pagerank(star_edges(spark, sf), rounds=4, tolerance=None).select("node", rounded("score", 9).alias("score"))
 
 
 def ppr(spark, sf):
-    return G.pagerank(star_edges(spark, sf, parts=True), rounds=4, seeds=_seeds(spark, "p1", "c1"), tolerance=None).select("node", rounded("score").alias("score"))
+    return G.pagerank(star_edges(spark, sf, parts=True), rounds=4, seeds=_seeds(spark, "p1", "c1"), tolerance=None).select("node", rounded("score", 9).alias("score"))
 
 
 def ppr_local(spark, sf):
-    return G.local_pagerank(star_edges(spark, sf, parts=True), "p1", rounds=3).select("node", rounded("score").alias("score"))
+    return G.local_pagerank(star_edges(spark, sf, parts=True), "p1", rounds=3).select("node", rounded("score", 9).alias("score"))
 
 
 def ppr_subgraph(spark, sf):
@@ -178,12 +178,12 @@ SELECT array_to_string(path, '>') AS path, array_to_string(rels, '>') AS rels, C
   UNION SELECT e.dst, walk.cost + e.w, e.src, e.pred FROM walk JOIN edges e ON e.src = walk.node WHERE walk.cost + e.w <= 12)
 SELECT node, cost, parent, pred FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY cost, parent, pred) = 1""",
     "pagerank": f"""WITH {_STAR}, {_rank_sql(4, 'SELECT DISTINCT src AS node, 1.0 / (SELECT count(*) FROM deg) AS score FROM edges', 'SELECT node, 0.15 / (SELECT count(*) FROM deg) FROM r{i}')}
-SELECT node, round(score, 6) AS score FROM r4""",
+SELECT node, round(score, 9) AS score FROM r4""",
     "ppr": f"""WITH {_PARTS}, {_rank_sql(4, "SELECT unnest(['p1', 'c1']) AS node, CAST(0.5 AS DOUBLE) AS score", "SELECT unnest(['p1', 'c1']), CAST(0.075 AS DOUBLE)")}
-SELECT node, round(score, 6) AS score FROM r4""",
+SELECT node, round(score, 9) AS score FROM r4""",
     "ppr_local": f"""WITH RECURSIVE {_PARTS}, {_REACH.format(seeds="'p1'", hops=2)}, inner_edges AS MATERIALIZED (SELECT * FROM edges WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)),
 {_rank_sql(3, "SELECT 'p1' AS node, CAST(1.0 AS DOUBLE) AS score", "SELECT 'p1', CAST(0.15 AS DOUBLE)", "inner_edges", False)}
-SELECT near.node, round(coalesce(score, 0), 6) AS score FROM near LEFT JOIN r3 ON r3.node = near.node""",
+SELECT near.node, round(coalesce(score, 0), 9) AS score FROM near LEFT JOIN r3 ON r3.node = near.node""",
     "wcc": f"""WITH RECURSIVE {_STAR}, ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON ways.a = reach.other) SELECT node, min(other) AS component FROM reach GROUP BY node""",
     "cdlp": f"WITH {_STAR}, {_cdlp_sql(3)} SELECT node, label AS community FROM l3",
