@@ -135,8 +135,13 @@ def score(documents: DataFrame, model: RuleModel, doc_id: str = "doc_id", text:
     return rows.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, with their own columns."""
-    model = train(documents, labels)
-    marks = documents.select(F.struct("*").alias("_row"), F.col("text"))
-    return with_statistics(marks).where(model.score() >= CUTOFF).select("_row.*")
+def keep_good(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents predicted to be good, with their own columns.
+
+    Rows that pass come out of a generator: a filter would be pushed below the statistics, and each
+    rule would compute those it names anew.
+    """
+    model = train(documents, labels, doc_id, text)
+    marks = with_statistics(documents.select(F.struct("*").alias("_row"), F.col(text).alias("_own")), "_own")
+    passed = F.when(model.score() >= CUTOFF, F.array(F.struct(F.lit(True).alias("_good"), "_row")))
+    return marks.select(F.inline_outer(passed)).where("_good").select("_row.*")
