@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomlight.llm import bpe, token_files
+from loomlight.llm import bpe, token_files, words
 from tests.llm import nasty
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -49,11 +49,22 @@ def test_random_words(library):
     rng = random.Random(5)
     v = bpe.vocabulary(PATH)
     letters = "abcdefghijklmnopqrstuvwxyzéüñ"
-    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
-    for word, ids in zip(words, v.encode_words(words)):
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    for word, ids in zip(made, v.encode_words(made)):
         assert ids == library.encode(word, add_special_tokens=False).ids, word
 
 
+def test_emptied_tables_and_short_passes_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(words, "LIMIT", 5)
+    monkeypatch.setattr(words, "PASS_CHARS", 40)
+    v = bpe.vocabulary(PATH)
+    encoder, texts = words.Encoder(v.encode_words, v.specials), nasty.texts(200, 8)
+    for _ in range(2):
+        counts, ids = encoder.encode(texts)
+        for text, n, end in zip(texts, counts.tolist(), np.cumsum(counts).tolist()):
+            assert ids[end - n : end].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_encode_and_decode_keep_columns(spark, library):
     df = nasty.extra(spark, nasty.rows(20))
     out = bpe.decode(bpe.encode(df, PATH), PATH).collect()
