@@ -52,7 +52,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.nd
     edges = np.flatnonzero(mask[1:] != mask[:-1]) + 1
     edges = np.concatenate([[0], edges]) if mask[0] else edges
     at, ends = edges[0::2], edges[1::2]
-    up, down = _powers(1 << max(22, (len(data) - 1).bit_length()))
+    up, down = _powers(1 << max(20, (len(data) - 1).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(mixed[codes] * up[: len(data)], out=sums[1:])
     hashes = (sums[ends] - sums[at]) * down[at]

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-LIMIT = 800_000
+LIMIT = 150_000
 #: Characters handled in one numpy pass; longer texts are cut at white space, where no word is torn.
 PASS_CHARS = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
