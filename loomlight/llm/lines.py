@@ -63,7 +63,8 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
     not be kept itself.
     """
     docs = _documents(documents, doc_id, text)
-    lines = docs.select("id", "t", F.posexplode("lines").alias("line", "s")).select("id", "t", "line", words_of(F.col("s")).alias("words"))
+    # words come out of the generator: made after it, the filter below would be pushed under them and make them twice
+    lines = docs.select("id", "t", F.posexplode(F.transform("lines", lambda s: words_of(s))).alias("line", "words"))
     lines = _hashed(lines.where(F.size("words") >= MIN_WORDS))
     occurrences = cut(lines.select("id", "t", "line", "h1", "h2", _ends(F.col("h"), F.col("n")).alias("ends")))
     distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("ends").alias("ends")))
