@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlight.llm import bpe, decontaminate, lines, quality, simhash
+from loomlight.llm import bpe, copies, decontaminate, lines, quality
 from loomlight.llm.queries import TOKENIZER
 from loomlight.llm.shared import scratch, table
 
@@ -21,7 +21,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
