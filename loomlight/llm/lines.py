@@ -1,7 +1,8 @@
 """Line deduplication by deletion neighbourhoods over words.
 
-A line's words (lower-cased, without the white space between them) are its symbols, and two lines
-are equal within the bound if one word was inserted, deleted or replaced. Deleting each word of a
+A line's words (lower-cased, without the white space between them) are its symbols; in scripts
+written without spaces each character is one. Two lines are equal within the bound if one word was
+inserted, deleted or replaced. Deleting each word of a
 line in turn gives its variants; two lines within the bound share a variant that both lose at the
 same place (replacement), or one is a variant of the other (insertion). Each variant becomes a
 hashed key, keys join, and the partner found is verified word by word.
@@ -18,15 +19,20 @@ from pyspark.sql import functions as F
 
 from loomlight.llm.shared import cut, sized
 
-#: Lines of fewer words are never removed: one word in five is the least similarity that the bound of one word allows.
+#: Lines of fewer words are removed as exact repeats only: one word in five is the least similarity that the bound of one word allows.
 MIN_WORDS = 5
 #: Words whose changes of place are summed together, so that variants of very long lines take few steps each.
 BLOCK = 32
-_SPACES = "\t\x0b\x0c\r"
+#: White space within a line, other than the space itself.
+_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters of scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana and ideographs.
+_ALONE = r"([\x{E01}-\x{EDF}\x{1000}-\x{109F}\x{1780}-\x{17D3}\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}])"
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), _SPACES, " " * len(_SPACES)), " "), "")
+    spaced = F.translate(F.lower(line), _SPACES, " " * len(_SPACES))
+    apart = F.when(F.octet_length(spaced) > F.length(spaced) + 1, F.regexp_replace(spaced, _ALONE, " $1 ")).otherwise(spaced)
+    return F.array_remove(F.split(apart, " "), "")
 
 
 def _half(n: Column) -> Column:
@@ -56,17 +62,18 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"n": F.size("h"), "h1": F.xxhash64("h"), "h2": F.xxhash64(F.lit(1), "words")})
 
 
-def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
     """id, t (a document's id and the hash of its text) and removed: the numbers, from 0, of its lines that an earlier line equals or is within one word of.
 
     Earlier means a smaller doc_id (null first), then a smaller line number. The earlier line need
-    not be kept itself.
+    not be kept itself. Lines of fewer words than MIN_WORDS go as exact repeats only, those of fewer
+    than shortest (at least 1) never.
     """
     docs = _documents(documents, doc_id, text)
     # words come out of the generator: made after it, the filter below would be pushed under them and make them twice
     lines = docs.select("id", "t", F.posexplode(F.transform("lines", lambda s: words_of(s))).alias("line", "words"))
-    lines = _hashed(lines.where(F.size("words") >= MIN_WORDS))
-    occurrences = cut(lines.select("id", "t", "line", "h1", "h2", _ends(F.col("h"), F.col("n")).alias("ends")))
+    lines = _hashed(lines.where(F.size("words") >= max(1, shortest)))
+    occurrences = cut(lines.select("id", "t", "line", "h1", "h2", F.when(F.col("n") >= MIN_WORDS, _ends(F.col("h"), F.col("n"))).alias("ends")))
     distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("ends").alias("ends")))
 
     keys = distinct.select("h1", F.explode("ends").alias("key"))
@@ -140,9 +147,9 @@ def within_one(x: Column, y: Column) -> Column:
     )
 
 
-def _kept(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _kept(documents: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
     """row (a document's columns), lines, removed (null without any) and thinned (the text of the other lines)."""
-    removed = cut(duplicates(documents, doc_id, text)).select(F.struct("id", "t").alias("doc"), "removed")
+    removed = cut(duplicates(documents, doc_id, text, shortest)).select(F.struct("id", "t").alias("doc"), "removed")
     rows = documents.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")).alias("doc"), F.split(F.col(text), "\n", -1).alias("lines"))
     others = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     thinned = F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(others, lambda i: F.get("lines", i)), "\n"))
@@ -153,20 +160,20 @@ def _columns(documents: DataFrame, text: str) -> list[Column]:
     return [F.col("thinned").alias(c) if c == text else F.col("row")[c].alias(c) for c in documents.columns]
 
 
-def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
     """documents without repeated lines, and with n_lines and n_removed after their columns (columns of these names are replaced).
 
     A null text stays null with no lines; an empty one has one empty line. Lines of fewer than
-    MIN_WORDS words stay. Rows that agree in id and text are one document and keep the same lines;
+    shortest words stay; with 1, all repeats but blank lines go. Rows that agree in id and text are one document and keep the same lines;
     rows that share only the id are apart. Other columns pass unchanged; an empty table gives none.
     """
     base = documents.drop("n_lines", "n_removed")
     n_lines = F.when(F.col("row")[text].isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines")
     n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed")
-    return _kept(base, doc_id, text).select(*_columns(base, text), n_lines, n_removed)
+    return _kept(base, doc_id, text, shortest).select(*_columns(base, text), n_lines, n_removed)
 
 
-def thin(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without repeated lines; those that lost lines and have only white space left go. Other columns pass unchanged."""
-    emptied = F.col("removed").isNotNull() & (F.trim(F.translate("thinned", "\n" + _SPACES, "     ")) == "")
-    return _kept(documents, doc_id, text).where(~emptied).select(*_columns(documents, text))
+def thin(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
+    """documents without repeated lines of at least shortest words; those that lost lines and have only white space left go. Other columns pass unchanged."""
+    emptied = F.col("removed").isNotNull() & (F.trim(F.translate("thinned", "\n" + _SPACES, " " * (1 + len(_SPACES)))) == "")
+    return _kept(documents, doc_id, text, shortest).where(~emptied).select(*_columns(documents, text))

@@ -44,7 +44,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
