@@ -81,7 +81,7 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     partnered = cut(keys.join(sized(shared, 16), "key", "left_semi").select("h1").distinct())
     first = distinct.join(sized(partnered, 16), "h1", "left_semi").select("h1", "first.*")
     wanted = cut(first.groupBy("id", "t").agg(F.collect_list(F.struct("line", "h1")).alias("wanted")))
-    found = docs.select(F.struct("id", "t").alias("doc"), "lines").join(sized(wanted.select(F.struct("id", "t").alias("doc"), "wanted"), 64), "doc")
+    found = docs.select(F.struct("id", "t").alias("doc"), "lines").join(sized(wanted.select(F.struct("id", "t").alias("doc"), "wanted"), 64, "wanted", 40), "doc")
     found = found.select("doc.*", "lines", F.explode("wanted").alias("w")).select("id", "t", F.col("w.line").alias("line"), words_of(F.get("lines", F.col("w.line"))).alias("words"))
     held = cut(_mixed(_hashed(found).select("h1", _place().alias("first"), "words", "h").dropDuplicates(["h1"])))
 
@@ -153,7 +153,7 @@ def _kept(documents: DataFrame, doc_id: str, text: str, shortest: int) -> DataFr
     rows = documents.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")).alias("doc"), F.split(F.col(text), "\n", -1).alias("lines"))
     others = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     thinned = F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(others, lambda i: F.get("lines", i)), "\n"))
-    return rows.join(sized(removed, 128), "doc", "left").select("row", "lines", "removed", thinned.alias("thinned"))
+    return rows.join(sized(removed, 128, "removed", 8), "doc", "left").select("row", "lines", "removed", thinned.alias("thinned"))
 
 
 def _columns(documents: DataFrame, text: str) -> list[Column]:

@@ -34,9 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df (already cut, so that counting is cheap) with a broadcast hint if its size is proven small."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def sized(df: DataFrame, row_bytes: int, array: str | None = None, entry_bytes: int = 8) -> DataFrame:
+    """df (already cut, so that counting is cheap) with a broadcast hint if its size is proven small; a column of arrays adds entry_bytes for each entry."""
+    if array is None:
+        return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    rows, entries = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(array)), F.lit(0))).first()
+    return F.broadcast(df) if rows * row_bytes + entries * entry_bytes <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
