@@ -1,9 +1,11 @@
 """Licence statements by sparse TF-IDF cosine to templates, and inheritance from licence files of ancestor directories.
 
-Every line of a text that holds a cue word is a segment. Segments and templates are bags of words;
-weights are term frequency times inverse document frequency over all segments, counted for the
+Every line of a text that holds a cue is a segment. So are, in the header (the comment a file begins
+with) and in licence files, the whole and each run of two to four lines, as notices are wrapped. Segments and templates are bags of words;
+weights are term frequency times inverse document frequency over all cue lines, counted for the
 templates' words (a word outside every template adds to a segment's length with the largest
-weight). A segment declares the licence of the most similar template from COSINE on. A file without
+weight). A segment declares the licence of the most similar template from COSINE on; a GPL or LGPL
+version only if it names that version. A file without
 a declaration takes that of the licence file in its nearest ancestor directory.
 """
 
@@ -19,7 +21,7 @@ from loomlight.llm.shared import cut, sized
 COSINE = 0.6
 #: Lines at the head of a file that are taken for its header.
 HEADER_LINES = 5
-CUES = r"(?i)licen[sc]e|copyright|spdx|redistribution|warranty|public domain"
+CUES = r"(?i)licen[sc]e|copyright|spdx|redistribution|warranty|public domain|permission is hereby granted"
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)(\.\w+)?$"
 #: Notices that licences ask for, in short; fixed values.
 TEMPLATES = {
@@ -37,6 +39,17 @@ TEMPLATES = {
 }
 
 
+#: Terms of which one must be in a segment that declares the licence.
+VERSIONS = {
+    "GPL-3.0": ["3", "3.0", "v3", "v3.0", "gpl3", "gplv3"],
+    "GPL-2.0": ["2", "2.0", "v2", "v2.0", "gpl2", "gplv2"],
+    "LGPL-3.0": ["3", "3.0", "v3", "v3.0", "lgpl3", "lgplv3"],
+}
+#: Lines that are joined to one segment where notices are wrapped.
+RUNS = (2, 3, 4)
+_COMMENT = r"^\s*(#|//|/\*|\*|--|;|%|<!--)"
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
 
@@ -47,10 +60,35 @@ def segments(files: DataFrame, text: str) -> DataFrame:
     return lines.select("row", "line", terms(F.col("s")).alias("terms"))
 
 
-def declared(files: DataFrame, text: str = "text") -> DataFrame:
+def header(text: Column) -> Column:
+    """The comment that a text begins with: up to its closing mark, or the leading lines with a comment mark; empty without one."""
+    lines = F.split(text, "\n", -1)
+    end = F.array_position(F.transform(lines, lambda s: s.rlike(_COMMENT)), F.lit(False)).cast("int")
+    leading = F.array_join(F.when(end > 0, F.slice(lines, F.lit(1), end - 1)).otherwise(lines), "\n")
+    closed = lambda start, mark: (F.ltrim(text).startswith(start) & text.contains(mark), F.substring_index(text, mark, 1))
+    (a, x), (b, y) = closed("/*", "*/"), closed("<!--", "-->")
+    return F.when(a, x).when(b, y).otherwise(leading)
+
+
+def blocks(files: DataFrame, text: str, whole: Column) -> DataFrame:
+    """row, line and terms of runs of lines and of the whole, in files' headers or, where whole holds, texts."""
+    block = F.when(whole, F.col(text)).otherwise(header(F.col(text)))
+    rows = files.where(F.col(text).rlike(CUES)).select("row", block.alias("block")).where(F.col("block").rlike(CUES))
+    lines = F.filter(F.transform(F.split("block", "\n", -1), lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: F.trim(x["s"]) != "")
+    rows = rows.select("row", lines.alias("lines")).where(F.size("lines") > 1)
+    joined = lambda i, n: F.struct(F.get("lines", i)["line"].alias("line"), F.array_join(F.slice(F.col("lines")["s"], i + 1, n), " ").alias("s"))
+    runs_of = lambda n: F.transform("lines", lambda _, i: joined(i, F.lit(n)))
+    runs = [runs_of(n) for n in RUNS]
+    runs.append(F.array(joined(F.lit(0), F.size("lines"))))
+    found = rows.select("row", F.explode(F.concat(*runs)).alias("x")).where(F.col("x.s").rlike(CUES))
+    return found.select("row", "x.line", terms(F.col("x.s")).alias("terms")).distinct()
+
+
+def declared(files: DataFrame, text: str = "text", whole: Column | None = None) -> DataFrame:
     """row, licence, cosine, in_header: for each file with a declaration its most similar one; equal ones go to the earlier line, then the licence's name.
 
-    Inverse document frequencies count all segments of all files. Only words of the templates, of
+    Texts of rows where whole holds are compared as a whole too. Inverse document frequencies count
+    the cue lines of all files. Only words of the templates, of
     which there are a fixed number, are gathered.
     """
     spark = files.sparkSession
@@ -67,11 +105,19 @@ def declared(files: DataFrame, text: str = "text") -> DataFrame:
     by_template = templates.groupBy("template", "licence", "term").count().withColumn("w", F.col("count") * weight(F.col("term")))
     norms = by_template.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     postings = by_template.join(norms, "template").select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("tw"))
+    # a segment's key: the runs of several lengths begin at the same line
+    found = found.union(cut(blocks(files, text, F.lit(False) if whole is None else F.coalesce(whole, F.lit(False)))))
+    found = found.select("row", F.struct("line", F.xxhash64("terms").alias("h")).alias("line"), "terms").distinct()
+    versions = [(F.col("licence") != name) | F.arrays_overlap("terms", F.array(*map(F.lit, named))) for name, named in VERSIONS.items()]
     bags = found.select("row", "line", F.explode("terms").alias("term")).groupBy("row", "line", "term").count()
     bags = bags.withColumn("w", F.col("count") * weight(F.col("term")))
     lengths = bags.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = bags.join(F.broadcast(postings), "term").groupBy("row", "line", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     near = dots.join(lengths, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("cosine") >= COSINE)
+    near = near.join(found, ["row", "line"])
+    for version in versions:
+        near = near.where(version)
+    near = near.withColumn("line", F.col("line.line"))
     best = near.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "licence")).alias("b"))
     return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), (F.col("b.line") < HEADER_LINES).alias("in_header"))
 
@@ -91,7 +137,7 @@ def resolve(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     """
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     keyed = rows.withColumn("row", F.struct("path", F.xxhash64("text").alias("t")))
-    own = cut(declared(keyed))
+    own = cut(declared(keyed, whole=F.substring_index(F.col("row.path"), "/", -1).rlike(FILE_NAMES)))
     base = keyed.select("row", "path")
     marked = base.join(sized(own, 96), "row", "left").select("path", "licence", "cosine")
     name, folder = F.substring_index("path", "/", -1), F.expr("substring(path, 1, greatest(0, length(path) - length(substring_index(path, '/', -1)) - 1))")
