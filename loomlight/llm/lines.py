@@ -31,7 +31,7 @@ _ALONE = r"([\x{E01}-\x{EDF}\x{1000}-\x{109F}\x{1780}-\x{17D3}\x{3005}-\x{3007}\
 
 def words_of(line: Column) -> Column:
     spaced = F.translate(F.lower(line), _SPACES, " " * len(_SPACES))
-    apart = F.when(F.octet_length(spaced) > F.length(spaced) + 1, F.regexp_replace(spaced, _ALONE, " $1 ")).otherwise(spaced)
+    apart = F.when(F.octet_length(line) > F.length(line) + 1, F.regexp_replace(spaced, _ALONE, " $1 ")).otherwise(spaced)
     return F.array_remove(F.split(apart, " "), "")
 
 
@@ -150,10 +150,12 @@ def within_one(x: Column, y: Column) -> Column:
 def _kept(documents: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
     """row (a document's columns), lines, removed (null without any) and thinned (the text of the other lines)."""
     removed = cut(duplicates(documents, doc_id, text, shortest)).select(F.struct("id", "t").alias("doc"), "removed")
-    rows = documents.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")).alias("doc"), F.split(F.col(text), "\n", -1).alias("lines"))
+    rows = documents.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")).alias("doc"))
     others = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     thinned = F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(others, lambda i: F.get("lines", i)), "\n"))
-    return rows.join(sized(removed, 128, "removed", 8), "doc", "left").select("row", "lines", "removed", thinned.alias("thinned"))
+    # split after the join, which would else move each text twice
+    joined = rows.join(sized(removed, 128, "removed", 8), "doc", "left").withColumn("lines", F.split(F.col("row")[text], "\n", -1))
+    return joined.select("row", "lines", "removed", thinned.alias("thinned"))
 
 
 def _columns(documents: DataFrame, text: str) -> list[Column]:
