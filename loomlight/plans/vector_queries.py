@@ -85,7 +85,7 @@ def ivf_fixed(spark, sf):
 def ivf_kmeans(spark, sf):
     rows = _vectors(spark, sf)
     listed, centroids = search.kmeans_cells(rows, 16)
-    return search.ivf_search(listed, centroids, search.query_of(rows, F.col("vec_id") % 100 == 0), 5, 4).select("query_id", "vec_id", "rank", rounded("score").alias("score"))
+    return search.ivf_search(listed, centroids, search.query_of(rows, F.col("vec_id") % 50 == 0), 5, 13).select("query_id", "vec_id", "rank", rounded("score").alias("score"))
 
 
 def lsh(spark, sf):
