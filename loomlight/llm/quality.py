@@ -84,6 +84,8 @@ class RuleModel:
 
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
+    #: Whether any label was seen.
+    fitted: bool = True
 
     def score(self) -> Column:
         """The probability of label 1, over the columns FEATURES."""
@@ -97,7 +99,7 @@ def fit(rows: DataFrame) -> RuleModel:
     """A model of rows: FEATURES and label (0.0 or 1.0), few enough for the driver's choice of FIT_ROWS. Without rows, or with one label only, the score is a constant."""
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
-        return RuleModel(0.0 if not counts else 5.0 if 1.0 in counts else -5.0, ())
+        return RuleModel(0.0 if not counts else 5.0 if 1.0 in counts else -5.0, (), bool(counts))
     data = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select("x", "label", *FEATURES))
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=max(1, min(20, sum(counts.values()) // 50)), featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=SEED
@@ -122,7 +124,8 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     the largest counts. At most FIT_ROWS labelled ids with a document are taken.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("label")).where("_id is not null and label in (0, 1)").where(~held_out(F.col("_id")))
-    known = cut(known.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS))
+    known = known.groupBy("_id").agg(F.max("label").alias("label")).join(documents.select(F.col(doc_id).alias("_id")), "_id", "left_semi")
+    known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS))
     rows = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(sized(known, 24), "_id")
     chosen = cut(with_statistics(rows).select("_id", "label", *FEATURES).orderBy(F.xxhash64("_id"), *FEATURES).limit(FIT_ROWS))
     return fit(chosen)
@@ -136,12 +139,14 @@ def score(documents: DataFrame, model: RuleModel, doc_id: str = "doc_id", text:
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents predicted to be good, with their own columns.
+    """The documents predicted to be good, with their own columns; all of them where no document has a label to fit.
 
     Rows that pass come out of a generator: a filter would be pushed below the statistics, and each
     rule would compute those it names anew.
     """
     model = train(documents, labels, doc_id, text)
+    if not model.fitted:
+        return documents
     marks = with_statistics(documents.select(F.struct("*").alias("_row"), F.col(text).alias("_own")), "_own")
     passed = F.when(model.score() >= CUTOFF, F.array(F.struct(F.lit(True).alias("_good"), "_row")))
     return marks.select(F.inline_outer(passed)).where("_good").select("_row.*")
