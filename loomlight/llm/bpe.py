@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.words import Encoder
+from loomlight.llm.words import Encoder, rules
 
 NEVER = np.int64(1) << 40
 #: Texts handed to an encoder at once, in characters.
@@ -168,9 +168,12 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, known: bytes) -> Encoder:
+    """known: words.rules(path), made once in the driver."""
+    from tokenizers import Tokenizer
+
     v = vocabulary(path)
-    return Encoder(v.encode_words, v.specials)
+    return Encoder(v.encode_words, v.specials, known, Tokenizer.from_file(path).normalizer.normalize_str)
 
 
 def text_batches(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
@@ -186,15 +189,17 @@ def text_batches(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def encode(documents: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """documents with a column of token ids (array of int) after the others; a null text has no ids.
+    """documents with a column of token ids (array of int) after the others; a null or empty text has no ids.
 
     A column named like `into` is replaced. Special tokens' strings in a text become their ids.
+    Repeated rows each keep their row; an empty table gives none.
     """
     base = documents.drop(into)
     schema = base.select("*", F.array(F.lit(0)).alias(into)).schema
+    known = rules(path)
 
     def run(batches):
-        coder = encoder(path)
+        coder = encoder(path, known)
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(text)).to_pylist()
             for a, b in text_batches(values):
@@ -237,8 +242,10 @@ def digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")
     ).schema
 
+    known = rules(path)
+
     def run(batches):
-        names, coder = vocabulary(path), encoder(path)
+        names, coder = vocabulary(path), encoder(path, known)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in text_batches(texts):

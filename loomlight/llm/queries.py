@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import bpe, decontaminate, licences, lines, quality, secrets, simhash, token_files, topk, warc
+from loomlight.llm import bpe, decontaminate, licences, lines, quality, secrets, simhash, token_files, topk, warc, words
 from loomlight.llm.shared import table
 
 #: The tokenizer's file, and the id that ends a document in token files.
@@ -31,7 +31,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), functools.partial(token_files.library_encoder, TOKENIZER), END_ID, id_bytes=2)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), functools.partial(token_files.library_encoder, TOKENIZER, words.rules(TOKENIZER)), END_ID, id_bytes=2)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

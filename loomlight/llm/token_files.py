@@ -33,6 +33,10 @@ from loomlight.llm.words import Encoder
 
 MAGIC = b"LLEF0001"
 BLOCK_BITS = 512
+#: Numbers handled at once; a multiple of 8, so that packed low bits end with a byte.
+STEP = 8192
+#: For each byte the places of its set bits in order.
+_NTH_BIT = np.array([[*(k for k in range(8) if b >> k & 1), *[0] * (8 - b.bit_count())] for b in range(256)])
 #: A file is closed once it has this many tokens.
 FILE_TOKENS = 4 << 20
 
@@ -51,13 +55,14 @@ class EliasFano:
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.int64)
         n, base = len(values), int(values[0]) if len(values) else 0
-        rest = values - base
-        low_bits = max(0, int((int(rest[-1]) + 1) // n).bit_length() - 1) if n else 0
-        low = np.packbits(((rest[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
-        high = rest >> low_bits
-        bits = np.zeros(int(high[-1]) + n if n else 0, np.uint8)
-        bits[high + np.arange(n)] = 1
-        return cls(n, low_bits, base, low, np.packbits(bits, bitorder="little"))
+        span = int(values[-1]) - base + 1 if n else 0
+        low_bits = max(0, (span // n).bit_length() - 1) if n else 0
+        low, bits = [], np.zeros(((span - 1) >> low_bits) + n if n else 0, np.uint8)
+        for k in range(0, n, STEP):
+            rest = values[k : k + STEP] - base
+            low.append(np.packbits(((rest[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8).ravel(), bitorder="little"))
+            bits[(rest >> low_bits) + np.arange(k, k + len(rest))] = 1
+        return cls(n, low_bits, base, np.concatenate(low) if low else np.empty(0, np.uint8), np.packbits(bits, bitorder="little"))
 
     def dump(self) -> bytes:
         return struct.pack("<QQqQQ", self.n, self.low_bits, self.base, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
@@ -75,20 +80,24 @@ class EliasFano:
         return (((self.low[at >> 3] >> (at & 7)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
     def select(self, i) -> np.ndarray:
-        """The numbers at the given places."""
+        """The numbers at the given places: the block of 512 bits by the counts, the byte by its bits' sums, the bit by a table."""
         i = np.atleast_1d(np.asarray(i, np.int64))
-        block = np.searchsorted(self.before, i, side="right") - 1
-        width = BLOCK_BITS // 8
-        whole = np.pad(self.high, (0, -len(self.high) % width)).reshape(-1, width)
-        bits = np.unpackbits(whole[block], axis=1, bitorder="little")
-        rank = (i - self.before[block] + 1)[:, None]
-        place = (np.cumsum(bits, axis=1, dtype=np.int64) < rank).sum(axis=1)
-        return self.base + (((block * BLOCK_BITS + place - i) << self.low_bits) | self._low(i))
+        out = np.empty(len(i), np.int64)
+        for k in range(0, len(i), STEP):
+            out[k : k + STEP] = self._select(i[k : k + STEP])
+        return out
 
-    def values(self) -> np.ndarray:
-        """All numbers."""
-        i = np.arange(self.n)
-        return self.base + (((np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - i) << self.low_bits) | self._low(i))
+    def _select(self, i: np.ndarray) -> np.ndarray:
+        width = BLOCK_BITS // 8
+        block = np.searchsorted(self.before, i, side="right") - 1
+        at = np.minimum(block[:, None] * width + np.arange(width), len(self.high) - 1)
+        upto = np.cumsum(np.bitwise_count(self.high[at]), axis=1, dtype=np.uint16)
+        rank = i - self.before[block]
+        byte = (upto <= rank[:, None]).sum(axis=1)
+        rows = np.arange(len(i))
+        within = rank - np.where(byte > 0, upto[rows, byte - 1], 0)
+        place = (block * width + byte) * 8 + _NTH_BIT[self.high[at[rows, byte]], within]
+        return self.base + (((place - i) << self.low_bits) | self._low(i))
 
 
 def write_file(uri: str, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, id_bytes: int):
@@ -116,7 +125,7 @@ class TokenFile:
         self.ids = np.frombuffer(data, f"<u{id_bytes}", tokens, at + known + bounds)
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + self.known.values().tolist()
+        return [None] * self.nulls + self.known.select(np.arange(self.known.n)).tolist()
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, found by two selects."""
@@ -125,20 +134,26 @@ class TokenFile:
 
 
 @functools.lru_cache(maxsize=2)
-def library_encoder(path: str) -> Encoder:
-    """Words go to the tokenizers library, many at once with spaces between; a word's ids end at the first entry with a word end."""
-    from tokenizers import Tokenizer
+def library_encoder(path: str, known: bytes) -> Encoder:
+    """Words go to the tokenizers library's own model, many at once with spaces between; a word's ids end at the first entry with a word end.
+
+    known: words.rules(path), made once in the driver. Words come normalised and are not normalised
+    again: a letter lower-cased after composition may compose anew.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     names = tokenizer.get_vocab(with_added_tokens=True)
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     last = np.zeros(1 + max(names.values()), bool)
     last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def encode_words(words: list[str]) -> list[list[int]]:
         groups = [words[k : k + 2000] for k in range(0, len(words), 2000)]
         out = []
-        for group, found in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for group, found in zip(groups, bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(found.ids, np.int64)
             ends = (np.flatnonzero(last[ids]) + 1).tolist()
             if len(ends) != len(group):
@@ -146,40 +161,59 @@ def library_encoder(path: str) -> Encoder:
             out += [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
         return out
 
-    return Encoder(encode_words, specials)
+    return Encoder(encode_words, specials, known, tokenizer.normalizer.normalize_str)
+
+
+def encoded(documents: DataFrame, encoder: Callable[[], Encoder], end_id: int, id_bytes: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, tie (a number of the row) and ids (little-endian, end_id last) of every row, computed once."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in text_batches(texts):
+                n, flat = encoder().encode(texts[a:b])
+                if len(flat) and int(flat.max()) >> (8 * id_bytes):
+                    raise ValueError(f"an id doesn't fit into {id_bytes} bytes")
+                flat = np.insert(flat, np.cumsum(n), end_id).astype(f"<u{id_bytes}")
+                offsets = np.concatenate([[0], np.cumsum(n + 1)]) * id_bytes
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column.cast(pa.binary())], names=["doc_id", "ids"])
+
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return cut(rows.select("doc_id", F.monotonically_increasing_id().alias("tie"), "ids"))
 
 
 def write(documents: DataFrame, folder: str, encoder: Callable[[], Encoder], end_id: int, id_bytes: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes all texts in ascending order of doc_id and returns the list of files, one row each, computed once.
+    """Writes the ids of all texts in ascending order of doc_id and returns the list of files, one row each, computed once.
 
     Null texts are empty; every document ends with end_id. Documents without an id come first,
-    repeated ids stay next to each other. An empty table gives no files. Only the files listed
-    count: what a failed task leaves has a name that no list holds.
+    repeated ids stay next to each other and may be dealt to several tasks. An empty table gives no
+    files. Only the files listed count: what a failed task leaves has a name that no list holds.
+    Texts are encoded where they are read; only ids move.
     """
 
     def run(batches):
-        part, ids, docs, counts, seq = TaskContext.get().partitionId(), [], [], [], 0
+        part, ids, docs, counts, size, seq = TaskContext.get().partitionId(), [], [], [], 0, 0
         stem = f"{folder}/{part:06d}-{TaskContext.get().taskAttemptId()}"
 
         def close():
-            flat, uri = np.concatenate(ids), f"{stem}-{seq:06d}.tok"
+            flat, uri = np.frombuffer(b"".join(ids), f"<u{id_bytes}"), f"{stem}-{seq:06d}.tok"
             write_file(uri, docs, np.concatenate(counts), flat, id_bytes)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "uri": [uri], "n_docs": [len(docs)], "n_tokens": [len(flat)]})
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                n, flat = encoder().encode(texts[a:b])
-                ids.append(np.insert(flat, np.cumsum(n), end_id))
-                counts.append(n + 1)
-                docs += keys[a:b]
-                if sum(map(len, ids)) >= FILE_TOKENS:
-                    yield close()
-                    ids, docs, counts, seq = [], [], [], seq + 1
+            keys, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids += rows
+            docs += keys
+            counts.append(np.fromiter(map(len, rows), np.int64, len(rows)) // id_bytes)
+            size += int(counts[-1].sum())
+            if size >= FILE_TOKENS:
+                yield close()
+                ids, docs, counts, size, seq = [], [], [], 0, seq + 1
         if docs:
             yield close()
 
-    ordered = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = encoded(documents, encoder, end_id, id_bytes, doc_id, text).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     return cut(ordered.mapInArrow(run, "part long, seq long, uri string, n_docs long, n_tokens long"))
 
 
@@ -209,7 +243,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = TokenFile(uri)
-                bounds = f.bounds.values()
+                bounds = f.bounds.select(np.arange(f.docs + 1))
                 wide = f.ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -220,5 +254,5 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, encoder: Callable[[], Encoder], end_id: int, id_bytes: int = 4) -> DataFrame:
-    """Writes documents to a new folder and reads its files back."""
+    """Writes documents to a new folder and reads its files back, every document found by select. What write says of nulls, repeats and empty tables holds."""
     return read(write(documents, scratch(documents.sparkSession, "tokens"), encoder, end_id, id_bytes))
