@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomlight.operators.common import sized
 
 # Weights of the metrics in an overall score, in this order.
-METRIC_WEIGHTS = {"answer_correctness": 0.25, "faithfulness": 0.20, "context_precision": 0.15, "context_recall": 0.15, "answer_relevance": 0.20, "context_utilization": 0.05}
+METRIC_WEIGHTS = {"faithfulness": 0.25, "answer_relevancy": 0.20, "context_precision": 0.15, "context_recall": 0.15, "answer_correctness": 0.20, "answer_similarity": 0.05}
 
 
 def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -156,11 +156,14 @@ def overall(scores: DataFrame, weights: dict[str, float] = METRIC_WEIGHTS, syste
     return scores.where(w.isNotNull()).groupBy(system).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("overall"))
 
 
-def context_quality(results: DataFrame, relevant: DataFrame, query: str = "query_id", key: str = "vec_id") -> DataFrame:
-    """query, precision (share of results that are relevant), recall (share of relevant ones found), utilisation (relevant results with a score over 0.7)."""
-    hit = results.join(relevant.select(query, key).withColumn("_hit", F.lit(1)), [query, key], "left").groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"), F.count_if(F.col("score") > 0.7).alias("close"))
-    known = relevant.groupBy(query).agg(F.count(F.lit(1)).alias("known"))
-    return hit.join(known, query, "left").select(query, (F.col("hits") / F.col("n")).alias("precision"), F.coalesce(F.col("hits") / F.col("known"), F.lit(0.0)).alias("recall"), (F.col("close") / F.col("n")).alias("utilisation"))
+def context_quality(results: DataFrame, known: DataFrame, hit: str = "hit", query: str = "query_id") -> DataFrame:
+    """query, precision (share of results that are relevant), recall (share of relevant ones found), utilisation (relevant results with a score over 0.7).
+
+    results: query, score, hit (whether relevant). known: query, known (how many are relevant); the
+    relevant ones themselves, which grow with queries times rows, are never listed.
+    """
+    hits = results.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.count_if(F.col("score") > 0.7).alias("close"))
+    return hits.join(known, query, "left").select(query, (F.col("hits") / F.col("n")).alias("precision"), F.coalesce(F.col("hits") / F.col("known"), F.lit(0.0)).alias("recall"), (F.col("close") / F.col("n")).alias("utilisation"))
 
 
 def nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -151,12 +151,12 @@ def shortest_paths(edges: DataFrame, src: str, dst: str, hops: int, preds: list[
     return paths.drop("at")
 
 
-def dijkstra(edges: DataFrame, src: str, most: float | None = None, direction: str = "out", rounds: int = 100) -> DataFrame:
+def dijkstra(edges: DataFrame, src: str, most: float | None = None, direction: str = "out") -> DataFrame:
     """node, cost, parent, pred: cheapest ways from a node, by relaxing until nothing improves. Weights of zero or less count 1; costs beyond `most` are cut; ties go to the smaller parent."""
     walk = _steps(edges, direction).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)).select("at", "to", "pred", "w")
     best = cut(edges.sparkSession.createDataFrame([(src, 0.0, None, None)], "node string, cost double, parent string, pred string"))
     active = best
-    for _ in range(rounds):
+    while True:
         offers = walk.join(active.select(F.col("node").alias("at"), "cost"), "at").select(F.col("to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("at").alias("parent"), "pred")
         offers = offers if most is None else offers.where(F.col("cost") <= most)
         offers = offers.groupBy("node").agg(F.min(F.struct("cost", "parent", "pred")).alias("o")).select("node", "o.*")
@@ -290,17 +290,21 @@ def broken(edges: DataFrame, known: DataFrame) -> DataFrame:
     return lost("src").unionByName(lost("dst").join(have, F.col("src") == have["node"], "left_semi"))
 
 
-def backtrack(best: DataFrame, dst: str, hops: int = 100) -> list[tuple[str, str | None, float]]:
-    """The way to a node from dijkstra's parents, as (node, pred, cost) from the start on; empty if there is none. A way has few nodes."""
-    way: list[tuple[str, str | None, float]] = []
-    at: str | None = dst
-    while at is not None and len(way) <= hops:
-        row = best.where(F.col("node") == at).first()
-        if row is None:
-            return []
-        way.append((row.node, row.pred, row.cost))
-        at = row.parent
-    return way[::-1]
+def backtrack(best: DataFrame, dst: str) -> list[tuple[str, str | None, float]]:
+    """The way to a node from dijkstra's parents, as (node, pred, cost) from the start on; empty if there is none.
+
+    Each round doubles the ancestors known of every node on the way's frontier: pointers jump, so
+    that a way of n nodes takes log n joins. Only the way itself reaches the driver.
+    """
+    jump = best.select("node", F.col("parent").alias("up"))
+    way = cut(best.where(F.col("node") == dst).select("node"))
+    while True:
+        found = cut(way.join(jump, "node").where("up is not null").select(F.col("up").alias("node")).union(way).distinct())
+        if found.count() == way.count():
+            break
+        via = jump.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        way, jump = found, cut(jump.join(via, "up", "left").select("node", F.col("further").alias("up")))
+    return [(r.node, r.pred, r.cost) for r in best.join(way, "node", "left_semi").orderBy("cost", F.col("parent").isNotNull()).collect()]
 
 
 def by_label(edges: DataFrame, labels: DataFrame, label: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +14,14 @@ from loomlight.operators.common import cut, sized
 TRANSITIVE, SYMMETRIC = ("is_a", "part_of"), ("related_to", "equivalent_to")
 
 
-def ancestors(is_a: DataFrame, depth: int = 10) -> DataFrame:
-    """node, ancestor, distance (the least), from edges (child, parent); cycles end where nothing new is reached."""
+def ancestors(is_a: DataFrame, depth: int | None = 10) -> DataFrame:
+    """node, ancestor, distance (the least), from edges (child, parent), up to so many steps, or all with None; cycles end where nothing new is reached."""
     step = cut(is_a.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
     front, out = step.withColumn("distance", F.lit(1)), []
     seen = step
-    for d in range(2, depth + 2):
+    for d in count(2):
         out.append(front)
-        if d > depth:
+        if depth is not None and d > depth:
             break
         up = front.select("node", F.col("ancestor").alias("via")).join(step.select(F.col("node").alias("via"), "ancestor"), "via").select("node", "ancestor").distinct()
         new = cut(up.join(seen, ["node", "ancestor"], "left_anti"))
@@ -83,8 +84,8 @@ def infer_all(relations: DataFrame) -> DataFrame:
     return best(subsumption(is_a).union(transitivity(relations)).union(symmetry(relations)))
 
 
-def cycles(is_a: DataFrame, depth: int = 10) -> DataFrame:
-    """node: those that are their own ancestors."""
+def cycles(is_a: DataFrame, depth: int | None = None) -> DataFrame:
+    """node: those that are their own ancestors, however long the way round, or within depth steps."""
     return ancestors(is_a, depth).where("node = ancestor").select("node").distinct()
 
 

@@ -38,7 +38,7 @@ def dot_with_fallback(spark, sf):
 
 
 def search_by_text(spark, sf):
-    q = table(spark, sf, "benchmark").where("item_id < 3")
+    q = table(spark, sf, "benchmark")
     found = search.by_text(table(spark, sf, "embeddings"), q, 4, lambda t: X.hash_embedding(t, 64))
     return found.select("query_id", "vec_id", "rank", rounded("score").alias("score"))
 
@@ -72,7 +72,7 @@ def kruskal_h(spark, sf):
 
 
 def wilcoxon_w(spark, sf):
-    return evaluation.wilcoxon(table(spark, sf, "lineitem").where("l_orderkey < 5000"), "l_discount", "l_tax")
+    return evaluation.wilcoxon(table(spark, sf, "lineitem"), "l_discount", "l_tax")
 
 
 def friedman_chi(spark, sf):
@@ -139,14 +139,14 @@ ORACLE_SQL = {
     "time_range_status": "SELECT event_id, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06 12:00:00' AND event_type = 'error'",
     "entity_filter": "SELECT p_partkey, p_type, p_size FROM part WHERE upper(p_type) IN ('ECONOMY', 'LARGE') AND p_size >= 40",
     "dot_with_fallback": "SELECT vec_id, label, CAST(0.5 AS DOUBLE) AS score FROM embeddings WHERE label = 2 ORDER BY vec_id DESC LIMIT 5",
-    "search_by_text": f"""WITH h AS (SELECT item_id, md5(text) AS h FROM benchmark WHERE item_id < 3), q AS (SELECT item_id AS query_id, list_transform(range(0, 64), lambda i: (CAST('0x' || substr(h, CAST((i % 16) * 2 + 1 AS BIGINT), 2) AS INTEGER) - 127.5) / 127.5) AS v FROM h)
+    "search_by_text": f"""WITH h AS (SELECT item_id, md5(text) AS h FROM benchmark), q AS (SELECT item_id AS query_id, list_transform(range(0, 64), lambda i: (CAST('0x' || substr(h, CAST((i % 16) * 2 + 1 AS BIGINT), 2) AS INTEGER) - 127.5) / 127.5) AS v FROM h)
 SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_COS('e.embedding', 'q.v')} DESC, vec_id) AS INTEGER) AS rank, round({_COS('e.embedding', 'q.v')}, 6) AS score FROM embeddings e, q QUALIFY rank <= 4""",
     "sql_functions": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
 SELECT a.vec_id, round({_DOT('a.x', 'b.x')}, 6) AS dot, round({_COS('a.x', 'b.x')}, 6) AS cosine, round({_L2}, 6) AS l2, round(sqrt({_DOT('a.x', 'a.x')}), 6) AS norm, round(list_sort(a.x)[33], 6) AS middle, 3 AS tokens FROM v a, (SELECT x FROM v WHERE vec_id = 1) b""",
     "kruskal_h": """WITH c AS (SELECT event_type AS g, value AS v, count(*) AS c FROM events GROUP BY 1, 2), t AS (SELECT v, sum(c) AS t FROM c GROUP BY v), r AS (SELECT v, t, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS rank FROM t),
 s AS (SELECT g, sum(c * rank) AS r, sum(c) AS n FROM c JOIN r USING (v) GROUP BY g), k AS (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(r * r / n) AS s, count(*) AS k FROM s), e AS (SELECT sum(pow(CAST(t AS DOUBLE), 3) - t) AS e FROM t)
 SELECT round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - e / (n * n * n - n)), 4) AS h, k - 1 AS df FROM k, e""",
-    "wilcoxon_w": """WITH c AS (SELECT abs(d) AS v, count(*) AS t, count(*) FILTER (d > 0) AS up FROM (SELECT round(l_discount - l_tax, 9) AS d FROM lineitem WHERE l_orderkey < 5000) WHERE d <> 0 GROUP BY 1), r AS (SELECT *, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS rank FROM c)
+    "wilcoxon_w": """WITH c AS (SELECT abs(d) AS v, count(*) AS t, count(*) FILTER (d > 0) AS up FROM (SELECT round(l_discount - l_tax, 9) AS d FROM lineitem) WHERE d <> 0 GROUP BY 1), r AS (SELECT *, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS rank FROM c)
 SELECT least(sum(rank * up), sum(rank * (t - up))) AS w, CAST(sum(t) AS BIGINT) AS n FROM r""",
     "friedman_chi": """WITH e AS (SELECT user_id, event_type, round(avg(value), 6) AS value FROM events GROUP BY 1, 2), w AS (SELECT * FROM e WHERE user_id IN (SELECT user_id FROM e GROUP BY 1 HAVING count(*) = 5)),
 r AS (SELECT event_type, rank() OVER (PARTITION BY user_id ORDER BY value) + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2 AS r FROM w), s AS (SELECT event_type, sum(r) AS r, count(*) AS n FROM r GROUP BY 1)

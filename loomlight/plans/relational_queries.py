@@ -45,13 +45,13 @@ def join_cross(spark, sf):
 
 def join_pairs(spark, sf):
     """Pairs of suppliers of one part."""
-    s = table(spark, sf, "lineitem").where("l_partkey < 50").select("l_partkey", "l_suppkey").distinct()
+    s = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return s.alias("a").join(s.alias("b"), F.expr("a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey")).select(F.col("a.l_partkey").alias("part"), F.col("a.l_suppkey").alias("one"), F.col("b.l_suppkey").alias("other"))
 
 
 def join_range(spark, sf):
     """Words of a document within ten places of each other: a band join on blocks of ten places."""
-    w = table(spark, sf, "benchmark").where("item_id < 10").select("item_id", F.posexplode(X.tokens("text")).alias("pos", "word")).where("length(word) > 6")
+    w = table(spark, sf, "benchmark").select("item_id", F.posexplode(X.tokens("text")).alias("pos", "word")).where("length(word) > 6")
     a = w.withColumn("block", F.explode(F.array(F.floor(F.col("pos") / 10), F.floor(F.col("pos") / 10) + 1)))
     b = w.select(F.col("item_id").alias("i"), F.col("pos").alias("q"), F.col("word").alias("other"), F.floor(F.col("pos") / 10).alias("block"))
     pairs = a.join(b, (a["item_id"] == b["i"]) & (a["block"] == b["block"]) & (F.col("q") > F.col("pos")) & (F.col("q") <= F.col("pos") + 10))
@@ -110,7 +110,7 @@ def effect_size(spark, sf):
 
 
 def t_stat(spark, sf):
-    found = E.paired_t(table(spark, sf, "lineitem").where("l_orderkey < 5000"), "l_discount", "l_tax")
+    found = E.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax")
     return found.select(rounded("t").alias("t"), "n")
 
 
@@ -123,15 +123,15 @@ def anova_f(spark, sf):
 
 
 def bh_adjust(spark, sf):
-    tests = table(spark, sf, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("test"), (F.pmod(F.col("p_partkey") * 37, F.lit(97)) / 970).alias("p"))
+    tests = table(spark, sf, "part").select(F.col("p_partkey").alias("test"), (F.pmod(F.col("p_partkey") * 37, F.lit(97)) / 970).alias("p"))
     return E.adjusted(tests).select("test", *(rounded(c).alias(c) for c in ("p", "bonferroni", "bh")), "significant")
 
 
 def _scores(spark, sf):
     """Users as systems, event types as metrics."""
-    names = {"view": "faithfulness", "click": "context_recall", "purchase": "answer_correctness", "signup": "answer_relevance", "error": "context_precision"}
+    names = {"view": "faithfulness", "click": "context_recall", "purchase": "answer_correctness", "signup": "answer_relevancy", "error": "context_precision"}
     metric = F.element_at(F.create_map(*(F.lit(x) for p in names.items() for x in p)), F.col("event_type"))
-    return events(spark, sf).where("user_id < 6").groupBy(F.col("user_id").alias("system"), metric.alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return events(spark, sf).groupBy(F.col("user_id").alias("system"), metric.alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
 
 
 def metric_rank(spark, sf):
@@ -147,7 +147,7 @@ def metric_overall(spark, sf):
 
 
 def batch_metrics(spark, sf):
-    b = events(spark, sf).where("user_id < 50").select((F.pmod("event_id", F.lit(10))).alias("documents"), F.pmod("event_id", F.lit(7)).alias("entities"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("ms"))
+    b = events(spark, sf).select((F.pmod("event_id", F.lit(10))).alias("documents"), F.pmod("event_id", F.lit(7)).alias("entities"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("ms"))
     found = S.batch_metrics(b)
     return found.withColumn("mean_ms", rounded("mean_ms"))
 
@@ -178,7 +178,7 @@ def win_rank(spark, sf):
 
 def win_lead(spark, sf):
     """Shared words of neighbouring sentences over the smaller of their word sets."""
-    s = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.posexplode(X.sentences("text")).alias("n", "s")).withColumn("w", F.array_distinct(X.tokens("s")))
+    s = table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("n", "s")).withColumn("w", F.array_distinct(X.tokens("s")))
     pairs = s.withColumn("next", F.lead("w").over(Window.partitionBy("doc_id").orderBy("n"))).where("size(w) > 0 and size(next) > 0")
     return pairs.select("doc_id", "n", rounded(F.size(F.array_intersect("w", "next")) / F.least(F.size("w"), F.size("next"))).alias("overlap"))
 
@@ -236,8 +236,8 @@ QUERIES = {
 
 _TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', chr(92) || '1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')".replace("chr(92) || '1' || chr(1)", r"'\1' || chr(1)")
-_METRICS = """scores AS (SELECT user_id AS system, CASE event_type WHEN 'view' THEN 'faithfulness' WHEN 'click' THEN 'context_recall' WHEN 'purchase' THEN 'answer_correctness' WHEN 'signup' THEN 'answer_relevance' ELSE 'context_precision' END AS metric,
-  round(avg(value), 6) AS value FROM events WHERE user_id < 6 GROUP BY 1, 2)"""
+_METRICS = """scores AS (SELECT user_id AS system, CASE event_type WHEN 'view' THEN 'faithfulness' WHEN 'click' THEN 'context_recall' WHEN 'purchase' THEN 'answer_correctness' WHEN 'signup' THEN 'answer_relevancy' ELSE 'context_precision' END AS metric,
+  round(avg(value), 6) AS value FROM events GROUP BY 1, 2)"""
 _SORTED = "s AS (SELECT event_type, list_sort(list(value)) AS a FROM events GROUP BY event_type)"
 
 ORACLE_SQL = {
@@ -247,8 +247,8 @@ ORACLE_SQL = {
     "join_not_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)",
     "join_cross": "SELECT n_name, r_name FROM nation CROSS JOIN region",
-    "join_pairs": "WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey < 50) SELECT a.l_partkey AS part, a.l_suppkey AS one, b.l_suppkey AS other FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey",
-    "join_range": f"""WITH t AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark WHERE item_id < 10), p AS (SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(i) WHERE length(w[i]) > 6)
+    "join_pairs": "WITH s AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT a.l_partkey AS part, a.l_suppkey AS one, b.l_suppkey AS other FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey",
+    "join_range": f"""WITH t AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark), p AS (SELECT item_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM t, unnest(range(1, len(w) + 1)) AS u(i) WHERE length(w[i]) > 6)
 SELECT a.item_id, a.pos, a.word, b.word AS other, round(1 / (b.pos - a.pos + 1), 6) AS strength FROM p a JOIN p b ON a.item_id = b.item_id AND b.pos > a.pos AND b.pos <= a.pos + 10""",
     "join_full": """SELECT coalesce(a.k, b.k) AS k, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_nationkey > 3 GROUP BY 1) a
 FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey < 20 GROUP BY 1) b ON a.k = b.k""",
@@ -265,26 +265,26 @@ WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""",
     "effect_size": """WITH s AS (SELECT count(value) FILTER (event_type = 'view') AS n0, avg(value) FILTER (event_type = 'view') AS m0, var_samp(value) FILTER (event_type = 'view') AS v0,
   count(value) FILTER (event_type = 'purchase') AS n1, avg(value) FILTER (event_type = 'purchase') AS m1, var_samp(value) FILTER (event_type = 'purchase') AS v1 FROM events), p AS (SELECT *, sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)) AS sp FROM s)
 SELECT round(m0, 6) AS mean_a, round(m1, 6) AS mean_b, round((m0 - m1) / sp, 6) AS cohens_d, round((m0 - m1) / (sp * sqrt(1 / n0 + 1 / n1)), 6) AS t, n0 + n1 - 2 AS df FROM p""",
-    "t_stat": "SELECT round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 6) AS t, count(*) AS n FROM lineitem WHERE l_orderkey < 5000",
+    "t_stat": "SELECT round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 6) AS t, count(*) AS n FROM lineitem",
     "mann_whitney": """WITH c AS (SELECT value AS v, count(*) FILTER (event_type = 'view') AS x, count(*) FILTER (event_type = 'click') AS y FROM events WHERE event_type IN ('view', 'click') GROUP BY value)
 SELECT round(sum(x * (coalesce(below, 0) + y / 2)), 6) AS u, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b FROM (SELECT *, sum(y) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM c)""",
     "anova_f": """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) * (count(*) - 1) AS ss FROM events GROUP BY event_type), t AS (SELECT count(*) AS k, sum(n) AS n, sum(ss) AS w, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b FROM g)
 SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS f, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within, round(b / (b + w), 6) AS eta_squared FROM t""",
-    "bh_adjust": """WITH t AS (SELECT p_partkey AS test, p_partkey * 37 % 97 / 970 AS p FROM part WHERE p_partkey < 40), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, test) AS r, least(1.0, p * count(*) OVER ()) AS bf FROM t),
+    "bh_adjust": """WITH t AS (SELECT p_partkey AS test, p_partkey * 37 % 97 / 970 AS p FROM part), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, test) AS r, least(1.0, p * count(*) OVER ()) AS bf FROM t),
 h AS (SELECT *, least(1.0, min(r) OVER (ORDER BY p DESC, test DESC ROWS UNBOUNDED PRECEDING)) AS bh FROM r) SELECT test, round(p, 6) AS p, round(bf, 6) AS bonferroni, round(bh, 6) AS bh, bh <= 0.05 AS significant FROM h""",
     "metric_rank": f"WITH {_METRICS} SELECT system, metric, value, CAST(rank() OVER (PARTITION BY metric ORDER BY value DESC) AS INTEGER) AS rank FROM scores",
     "metric_best": f"WITH {_METRICS} SELECT metric, system AS best, value FROM scores QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, system) = 1",
-    "metric_overall": f"""WITH {_METRICS}, w AS (SELECT *, CASE metric WHEN 'faithfulness' THEN 0.2 WHEN 'context_recall' THEN 0.15 WHEN 'answer_correctness' THEN 0.25 WHEN 'answer_relevance' THEN 0.2 ELSE 0.15 END AS w FROM scores)
+    "metric_overall": f"""WITH {_METRICS}, w AS (SELECT *, CASE metric WHEN 'faithfulness' THEN 0.25 WHEN 'answer_relevancy' THEN 0.20 WHEN 'context_precision' THEN 0.15 WHEN 'context_recall' THEN 0.15 WHEN 'answer_correctness' THEN 0.20 END AS w FROM scores)
 SELECT system, round(sum(w * value) / sum(w), 6) AS overall FROM w GROUP BY system""",
     "batch_metrics": """SELECT count(*) AS batches, count(*) FILTER (event_type = 'error') AS failures, CAST(sum(event_id % 10) FILTER (event_type <> 'error') AS BIGINT) AS documents, CAST(sum(event_id % 7) FILTER (event_type <> 'error') AS BIGINT) AS entities,
-  round(avg(value) FILTER (event_type <> 'error'), 6) AS mean_ms, count(*) FILTER (event_type <> 'error' AND event_id % 7 = 0) AS without_entities FROM events WHERE user_id < 50""",
+  round(avg(value) FILTER (event_type <> 'error'), 6) AS mean_ms, count(*) FILTER (event_type <> 'error' AND event_id % 7 = 0) AS without_entities FROM events""",
     "ema": """WITH o AS (SELECT user_id, list(CASE event_type WHEN 'error' THEN CAST(1 AS DOUBLE) ELSE 0 END ORDER BY ts, event_id) AS a FROM events GROUP BY user_id), r AS (SELECT user_id, round(list_reduce(a, lambda s, x: 0.1 * x + 0.9 * s), 6) AS average FROM o)
 SELECT user_id, average, CASE WHEN average > 0.1 THEN 'degraded' ELSE 'healthy' END AS status FROM r""",
     "health_rollup": """WITH e AS (SELECT user_id, CASE WHEN count(*) < 5 THEN 2 WHEN count(*) < 10 THEN 1 ELSE 0 END AS s FROM events GROUP BY user_id, event_type) SELECT user_id, ['healthy', 'degraded', 'unavailable'][max(s) + 1] AS status FROM e GROUP BY user_id""",
     "latency_nearest_rank": f"WITH {_SORTED} SELECT event_type, len(a) AS n, round(list_avg(a), 6) AS mean, a[least(CAST(floor(len(a) * 0.95) AS BIGINT), len(a) - 1) + 1] AS p95, a[least(CAST(floor(len(a) * 0.99) AS BIGINT), len(a) - 1) + 1] AS p99 FROM s",
     "win_sliding_count": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events",
     "win_rank": "SELECT c_custkey, c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer QUALIFY rank <= 3",
-    "win_lead": f"""WITH d AS (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, list_distinct({_TOKENS.format('s[i]')}) AS w FROM d, unnest(range(1, len(s) + 1)) AS u(i)),
+    "win_lead": f"""WITH d AS (SELECT doc_id, {_SENTENCES} AS s FROM documents), p AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, list_distinct({_TOKENS.format('s[i]')}) AS w FROM d, unnest(range(1, len(s) + 1)) AS u(i)),
 x AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY n) AS nx FROM p) SELECT doc_id, n, round(len(list_intersect(w, nx)) / least(len(w), len(nx)), 6) AS overlap FROM x WHERE len(w) > 0 AND len(nx) > 0""",
     "greedy_batches": """WITH RECURSIVE i AS (SELECT doc_id, source, CAST(ceil(length(text) / 4) AS BIGINT) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
 g AS (SELECT doc_id, source, n, CAST(0 AS BIGINT) AS batch, t AS used FROM i WHERE n = 1

@@ -109,7 +109,7 @@ STOP_WORDS = ("the", "of", "and", "in", "to", "a", "is", "on", "it", "by", "with
 def key_terms(spark, sf):
     from loomlight.operators.common import top_k_per
 
-    w = _docs(spark, sf).where("lang = 'en'").select("doc_id", F.explode(X.tokens("text")).alias("term")).where(F.col("term").rlike(r"^\p{L}+$") & ~F.col("term").isin(*STOP_WORDS))
+    w = _docs(spark, sf).select("doc_id", F.explode(X.tokens("text")).alias("term")).where(F.col("term").rlike(r"^\p{L}+$") & ~F.col("term").isin(*STOP_WORDS))
     return top_k_per(w.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")), "doc_id", 10, F.desc("n"), "term")
 
 
@@ -144,7 +144,7 @@ def entity_capitals(spark, sf):
 
 
 def cooccurrence(spark, sf):
-    found = N.capitals(_docs(spark, sf).where("doc_id < 200"))
+    found = N.capitals(_docs(spark, sf))
     return N.cooccurrences(found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), rounded(F.sum("strength")).alias("strength"))
 
 
@@ -228,7 +228,7 @@ def onto_cycles(spark, sf):
 
 
 def onto_extract(spark, sf):
-    docs = _docs(spark, sf).where("doc_id < 100").select("doc_id", F.concat(F.substring("text", 1, 20), F.lit(" Land 2 "), F.lit("nation_"), F.pmod("doc_id", F.lit(25)).cast("string")).alias("text"))
+    docs = _docs(spark, sf).select("doc_id", F.concat("text", F.lit(" Land 2 "), F.lit("nation_"), F.pmod("doc_id", F.lit(25)).cast("string")).alias("text"))
     return ontology.extract(_concepts(spark, sf), docs).withColumn("confidence", rounded("confidence"))
 
 
@@ -237,14 +237,15 @@ def eval_context(spark, sf):
     rows = table(spark, sf, "embeddings")
     asked = search.query_of(rows, F.col("vec_id") % 100 == 0)
     label = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = rows.join(F.broadcast(label), "label").select("query_id", "vec_id")  # a row for each query
-    found = evaluation.context_quality(search.nearest(rows, asked, 10), relevant)
+    known = label.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("known")), "label").select("query_id", "known")
+    results = search.nearest(rows, asked, 10).select("query_id", "vec_id", "score").join(rows.select("vec_id", F.col("label").alias("own")), "vec_id").join(label, "query_id")
+    found = evaluation.context_quality(results.withColumn("hit", F.col("own") == F.col("label")), known)
     return found.select("query_id", *(rounded(c).alias(c) for c in ("precision", "recall", "utilisation")))
 
 
 def claim_support(spark, sf):
     """Sentences of assistants held against the other turns of their conversation."""
-    turns = table(spark, sf, "conversations").where("conv_id < 20")
+    turns = table(spark, sf, "conversations")
     claims = turns.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(X.sentences("text")).alias("n", "s")).where("length(s) >= 10").select("conv_id", "turn", "n", F.array_distinct(X.tokens("s")).alias("w"))
     proof = turns.where("role <> 'assistant'").select("conv_id", F.array_distinct(X.tokens("text")).alias("d"))
     share = F.size(F.array_intersect("w", "d"))
@@ -417,7 +418,7 @@ SELECT doc_id, round(least(1.0, CASE WHEN len({_WORDS.format('title')}) >= 3 THE
   WHEN {_any(_LOW, X.COMPLEXITY[1][1])} THEN CASE WHEN n > 200 THEN 'advanced' ELSE 'intermediate' END WHEN {_any(_LOW, X.COMPLEXITY[2][1])} THEN 'advanced' WHEN n < 50 THEN 'basic' WHEN n < 150 THEN 'intermediate' ELSE 'advanced' END AS complexity FROM n""",
     "text_domain": f"SELECT p_partkey, {_domain_sql(False, 'none')} AS domain, {_domain_sql(True, 'general')} AS share_domain FROM part",
     "document_valid": f"SELECT doc_id FROM documents WHERE len({_W}) >= 50 AND coalesce(lang, 'en') = 'en'",
-    "key_terms": rf"""SELECT doc_id, term, count(*) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS INTEGER) AS rank FROM (SELECT doc_id, unnest({_T}) AS term FROM documents WHERE lang = 'en')
+    "key_terms": rf"""SELECT doc_id, term, count(*) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS INTEGER) AS rank FROM (SELECT doc_id, unnest({_T}) AS term FROM documents)
 WHERE regexp_matches(term, '^\p{{L}}+$') AND term NOT IN {STOP_WORDS} GROUP BY doc_id, term QUALIFY rank <= 10""",
     "chunk_plain": f"WITH {_CHUNKS} SELECT doc_id, start, finish, md5(chunk) AS digest FROM kept",
     "chunk_stats": f"""WITH {_CHUNKS} SELECT count(*) AS chunks, round(avg(length(chunk)), 6) AS mean, CAST(min(length(chunk)) AS INTEGER) AS least, CAST(max(length(chunk)) AS INTEGER) AS most, round(stddev_samp(length(chunk)), 6) AS sd,
@@ -428,7 +429,7 @@ m AS (SELECT 'Symptom' AS entity_type, unnest(regexp_extract_all(lower(text), '\
   UNION ALL SELECT 'Disease', unnest(regexp_extract_all(lower(text), '\\b(diabetes|hypertension|cancer|asthma|arthritis)\\b')), text FROM d)
 SELECT entity_type, entity, count(*) AS n, CAST(min(instr(lower(text), entity)) - 1 AS INTEGER) AS first FROM m GROUP BY entity_type, entity""",
     "entity_capitals": f"WITH {_CAPITALS} SELECT doc_id, pos, entity FROM caps",
-    "cooccurrence": f"""WITH {_CAPITALS} SELECT a.doc_id, count(*) AS pairs, round(sum(1 / (b.pos - a.pos + 1)), 6) AS strength FROM caps a JOIN caps b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 10 WHERE a.doc_id < 200 GROUP BY a.doc_id""",
+    "cooccurrence": f"""WITH {_CAPITALS} SELECT a.doc_id, count(*) AS pairs, round(sum(1 / (b.pos - a.pos + 1)), 6) AS strength FROM caps a JOIN caps b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 10 GROUP BY a.doc_id""",
     "entity_match": "SELECT CAST(0 AS BIGINT) AS item_id, n_name AS name FROM nation WHERE contains('from nation_1 to nation_22', lower(n_name)) ORDER BY n_name LIMIT 10",
     "entity_links": "SELECT count(d.doc_id) AS linked, count(*) - count(d.doc_id) AS orphaned, round(count(d.doc_id) * 100.0 / count(*), 2) AS completeness FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id * 3",
     "top_entities": f"WITH {_CAPITALS} SELECT entity, 'Name' AS entity_type, count(*) AS n FROM caps GROUP BY entity ORDER BY n DESC, entity LIMIT 20",
@@ -446,12 +447,12 @@ SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, kind, term FROM (SELECT * FR
     "onto_similarity": f"""WITH RECURSIVE {_ISA}, sets AS (SELECT node, list(ancestor) AS a FROM up GROUP BY node), n AS (SELECT 'n' || n_nationkey AS id FROM nation)
 SELECT x.id AS a, y.id AS b, CASE WHEN x.id = y.id THEN 1.0 ELSE round(len(list_intersect(s.a, t.a)) / len(list_distinct(list_concat(s.a, t.a))), 6) END AS similarity FROM n x JOIN sets s ON s.node = x.id, n y JOIN sets t ON t.node = y.id WHERE x.id IN ('n1', 'n22', 'n5')""",
     "onto_cycles": "SELECT 'world' AS node UNION ALL SELECT 'r2'",
-    "onto_extract": f"""WITH {_CONCEPTS}, d AS (SELECT doc_id, lower(left(text, 20)) || ' land 2 nation_' || (doc_id % 25) AS text FROM documents WHERE doc_id < 100)
+    "onto_extract": f"""WITH {_CONCEPTS}, d AS (SELECT doc_id, lower(text) || ' land 2 nation_' || (doc_id % 25) AS text FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, id, term, CAST(instr(text, lower(term)) - 1 AS INTEGER) AS start, CAST(instr(text, lower(term)) - 1 + length(term) AS INTEGER) AS finish, CAST(0.9 AS DOUBLE) AS confidence FROM d, terms WHERE contains(text, lower(term))""",
     "eval_context": f"""WITH found AS (SELECT q.vec_id AS query_id, q.label AS ql, e.label, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) <= 10),
 known AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
 SELECT query_id, round(count(*) FILTER (found.label = ql) / count(*), 6) AS precision, round(count(*) FILTER (found.label = ql) / any_value(known.n), 6) AS recall, round(count(*) FILTER (score > 0.7) / count(*), 6) AS utilisation FROM found JOIN known ON known.label = ql GROUP BY query_id""",
-    "claim_support": f"""WITH t AS (SELECT * FROM conversations WHERE conv_id < 20), c AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, list_distinct({_TOKENS.format('s[i]')}) AS w FROM (SELECT conv_id, turn, {_S} AS s FROM t WHERE role = 'assistant'), unnest(range(1, len(s) + 1)) AS u(i) WHERE length(s[i]) >= 10),
+    "claim_support": f"""WITH t AS (SELECT * FROM conversations), c AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS n, list_distinct({_TOKENS.format('s[i]')}) AS w FROM (SELECT conv_id, turn, {_S} AS s FROM t WHERE role = 'assistant'), unnest(range(1, len(s) + 1)) AS u(i) WHERE length(s[i]) >= 10),
 d AS (SELECT conv_id, list_distinct({_T}) AS d FROM t WHERE role <> 'assistant'), h AS (SELECT c.conv_id, turn, n, coalesce(max(len(list_intersect(w, d))), 0) AS overlap, any_value(len(w)) AS words FROM c LEFT JOIN d ON d.conv_id = c.conv_id GROUP BY c.conv_id, turn, n)
 SELECT conv_id, turn, n, CAST(overlap AS INTEGER) AS overlap, overlap >= greatest(2.0, 0.4 * words) AS supported, CASE WHEN words = 0 THEN 0.5 ELSE round(greatest(0.1, 1 - overlap / words), 2) END AS doubt FROM h""",
     "metric_means": "SELECT user_id, round((avg(value) + max(value)) / 2, 6) AS mean FROM events GROUP BY user_id",

@@ -13,10 +13,10 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_size").alias("file_size"))
 
 
-def json_documents(spark: SparkSession, path: str, many: bool = False) -> DataFrame:
-    """Documents of JSON lines (or, with many, files with an array `documents`): doc_id, title, text, metadata (JSON). Broken lines are dropped."""
+def json_documents(spark: SparkSession, path: str, many: bool = False, broken: str = "fail") -> DataFrame:
+    """Documents of JSON lines (or, with many, files with an array `documents`): doc_id, title, text, metadata (JSON). Broken lines raise when they are read, or, with broken="drop", are left out."""
     body = "doc_id: string, title: string, content: string, metadata: struct<source: string, category: string, year: int>"
-    reader = spark.read.option("mode", "DROPMALFORMED")
+    reader = spark.read.option("mode", {"fail": "FAILFAST", "drop": "DROPMALFORMED"}[broken])
     if many:
         rows = reader.option("multiLine", True).schema(f"documents array<struct<{body}>>").json(path).select(F.explode("documents").alias("d")).select("d.*")
     else:
@@ -56,7 +56,7 @@ def owl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(concepts, relations) of the classes in an OWL file in RDF/XML: id, label, synonyms; src, type (is_a), dst."""
     rows = _ontology(spark, path, "owl:Class", f"`rdfs:label` array<string>, `rdfs:subClassOf` array<{_REF}>").where(F.col("`_rdf:about`").isNotNull())
     labels = F.col("`rdfs:label`")
-    concepts = rows.select(F.col("`_rdf:about`").alias("id"), F.coalesce(F.get(labels, F.lit(0)), F.regexp_extract("`_rdf:about`", r"[^/#]+$", 0)).alias("label"), F.coalesce(F.slice(labels, 2, 100), F.array().cast("array<string>")).alias("synonyms"))
+    concepts = rows.select(F.col("`_rdf:about`").alias("id"), F.coalesce(F.get(labels, F.lit(0)), F.regexp_extract("`_rdf:about`", r"[^/#]+$", 0)).alias("label"), F.coalesce(F.slice(labels, F.lit(2), F.greatest(F.size(labels), F.lit(1))), F.array().cast("array<string>")).alias("synonyms"))
     up = rows.select(F.col("`_rdf:about`").alias("src"), F.lit("is_a").alias("type"), F.explode(F.transform("`rdfs:subClassOf`", lambda r: r["_rdf:resource"])).alias("dst")).where("dst is not null")
     return concepts, up
 

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from loomlight.operators.common import sized
 
 # Metadata keys that filters may name.
-FILTER_KEYS = ("source", "category", "year", "author", "title", "lang", "label", "doc_id", "id", "type", "date", "score", "similarity", "section", "journal", "domain", "tags")
+FILTER_KEYS = (
+    "doc_id", "source", "title", "author", "created_at", "updated_at", "content_type", "file_type", "page_number",
+    "section", "chunk_id", "chunk_index", "language", "collection_id", "metadata_hash", "parent_doc_id", "version",
+)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id", kept_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """old with the rows of new in place of those of the same key. Columns named in kept_if_null keep the old value where the new one is null. Of several new rows of a key an arbitrary one stays."""
-    last = new.dropDuplicates([key])
+    """old with the rows of new in place of those of the same key. Columns named in kept_if_null keep the old value where the new one is null. Of several new rows of a key the greatest stays, column by column in their order, so that runs agree."""
+    last = new.groupBy(F.col(key).alias("_k")).agg(F.max(F.struct(*new.columns)).alias("_row")).select("_row.*")
     if kept_if_null:
         before = old.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in kept_if_null))
         last = last.join(before, F.col(key) == F.col("_k"), "left")
@@ -42,14 +45,15 @@ def attach(spark: SparkSession, name: str, rows: DataFrame, key: str, text: str,
 
 
 def insert_counted(rows: DataFrame, path: str) -> int:
-    """Appends rows to a table of files and returns how many went, counted as they are written. Raises ValueError if they can't be found there."""
+    """Appends rows to a table of files and returns how many went, counted as they are written. Raises ValueError if the files that came hold another number; those there before are not read."""
     from pyspark.sql import Observation
 
     spark, seen = rows.sparkSession, Observation()
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
+    before = set(spark.read.parquet(path).inputFiles()) if _exists(spark, path) else set()
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     n = seen.get["n"]
-    if spark.read.parquet(path).count() != before + n:
+    came = [f for f in spark.read.parquet(path).inputFiles() if f not in before]
+    if (spark.read.parquet(*came).count() if came else 0) != n:
         raise ValueError(f"{path} lacks rows that were written")
     return n
 
