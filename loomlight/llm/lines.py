@@ -2,10 +2,10 @@
 
 A line's words (lower-cased, without the white space between them) are its symbols; in scripts
 written without spaces each character is one. Two lines are equal within the bound if one word was
-inserted, deleted or replaced. Deleting each word of a
-line in turn gives its variants; two lines within the bound share a variant that both lose at the
-same place (replacement), or one is a variant of the other (insertion). Each variant becomes a
-hashed key, keys join, and the partner found is verified word by word.
+inserted, deleted or replaced. Deleting each word of a line in turn gives its variants; two lines
+within the bound share a variant that both lose at the same place (replacement), or one is a
+variant of the other (insertion). Each variant becomes a hashed key, keys join, and the partner
+found is verified word by word.
 
 Only lines that can have a partner emit variants: of two lines within the bound, the first or the
 last 2**k words are equal, where 2**k is at most half of the shorter one's words. Per key only the
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from loomlight.llm.shared import cut, sized
 
-#: Lines of fewer words are removed as exact repeats only: one word in five is the least similarity that the bound of one word allows.
-MIN_WORDS = 5
+#: Default of near_words: lines of fewer words are removed as exact repeats only, as one word in five is the least similarity that the bound of one word allows.
+NEAR_WORDS = 5
 #: Words whose changes of place are summed together, so that variants of very long lines take few steps each.
 BLOCK = 32
 #: White space within a line, other than the space itself.
@@ -29,10 +29,22 @@ _SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2
 _ALONE = r"([\x{E01}-\x{EDF}\x{1000}-\x{109F}\x{1780}-\x{17D3}\x{3005}-\x{3007}\x{3041}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}])"
 
 
+def spaced(text: Column) -> Column:
+    """A text in lower case, with a space for other white space (but line ends) and around characters that stand alone."""
+    low = F.lower(text)
+    # translate takes a look-up for each character: only where there is something to replace
+    low = F.when(low.rlike(f"[{_SPACES}]"), F.translate(low, _SPACES, " " * len(_SPACES))).otherwise(low)
+    return F.when(F.octet_length(text) > F.length(text) + 1, F.regexp_replace(low, _ALONE, " $1 ")).otherwise(low)
+
+
+def tidy(line: Column) -> Column:
+    """A spaced line's words with one space between them."""
+    bare = F.trim(line)
+    return F.when(F.contains(bare, F.lit("  ")), F.regexp_replace(bare, " +", " ")).otherwise(bare)
+
+
 def words_of(line: Column) -> Column:
-    spaced = F.translate(F.lower(line), _SPACES, " " * len(_SPACES))
-    apart = F.when(F.octet_length(line) > F.length(line) + 1, F.regexp_replace(spaced, _ALONE, " $1 ")).otherwise(spaced)
-    return F.array_remove(F.split(apart, " "), "")
+    return F.array_remove(F.split(tidy(spaced(line)), " "), "")
 
 
 def _half(n: Column) -> Column:
@@ -40,40 +52,40 @@ def _half(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(n / 2.0) + 1e-9)).cast("int")
 
 
-def _ends(h: Column, n: Column) -> Column:
-    """Keys of a line's first and last words; those for lines of one word less too where they differ."""
+def _ends(s: Column, n: Column) -> Column:
+    """Keys of the first and last words of a tidy line of n words; those for lines of one word less too where they differ."""
     k, less = _half(n), _half(n - 1)
-    of = lambda k: F.array(F.xxhash64(F.lit("first"), k, F.slice(h, F.lit(1), k)), F.xxhash64(F.lit("last"), k, F.slice(h, n - k + 1, k)))
+    part = lambda k: F.call_function("substring_index", s, F.lit(" "), k)
+    of = lambda k: F.array(F.xxhash64(F.lit("first"), k, part(k)), F.xxhash64(F.lit("last"), k, part(-k)))
     return F.when(k == less, of(k)).otherwise(F.concat(of(k), of(less)))
 
 
-def _documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, t (a hash of the text) and lines; rows that agree in id and t are one document."""
-    return documents.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t"), F.split(F.col(text), "\n", -1).alias("lines"))
+def _document(doc_id: str, text: str) -> list[Column]:
+    """id and t, a hash of the text; rows that agree in both are one document."""
+    return [F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")]
 
 
 def _place() -> Column:
     return F.struct("id", "line", "t")
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """lines (id, t, line, words) with the words' hashes h, their number n and the identity (h1, h2)."""
-    lines = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    return lines.withColumns({"n": F.size("h"), "h1": F.xxhash64("h"), "h2": F.xxhash64(F.lit(1), "words")})
+def _occurrences(documents: DataFrame, doc_id: str, text: str, shortest: int, near_words: int) -> DataFrame:
+    """id, t, line, the line's identity (h1, h2) and, of lines of at least near_words words, the keys of its ends."""
+    lines = documents.select(*_document(doc_id, text), F.posexplode(F.split(spaced(F.col(text)), "\n", -1)).alias("line", "raw"))
+    lines = lines.select("id", "t", "line", tidy(F.col("raw")).alias("s"))
+    n = F.when(F.col("s") == "", 0).otherwise(F.length("s") - F.length(F.replace("s", F.lit(" "))) + 1)
+    lines = lines.select("id", "t", "line", "s", n.alias("n")).where(F.col("n") >= max(1, shortest))
+    return lines.select("id", "t", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), F.when(F.col("n") >= near_words, _ends(F.col("s"), F.col("n"))).alias("ends"))
 
 
-def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
+def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 1, near_words: int = NEAR_WORDS) -> DataFrame:
     """id, t (a document's id and the hash of its text) and removed: the numbers, from 0, of its lines that an earlier line equals or is within one word of.
 
     Earlier means a smaller doc_id (null first), then a smaller line number. The earlier line need
-    not be kept itself. Lines of fewer words than MIN_WORDS go as exact repeats only, those of fewer
-    than shortest (at least 1) never.
+    not be kept itself. Lines of fewer words than near_words (2 at least) go as exact repeats only,
+    those of fewer than shortest (at least 1) never: blank lines stay.
     """
-    docs = _documents(documents, doc_id, text)
-    # words come out of the generator: made after it, the filter below would be pushed under them and make them twice
-    lines = docs.select("id", "t", F.posexplode(F.transform("lines", lambda s: words_of(s))).alias("line", "words"))
-    lines = _hashed(lines.where(F.size("words") >= max(1, shortest)))
-    occurrences = cut(lines.select("id", "t", "line", "h1", "h2", F.when(F.col("n") >= MIN_WORDS, _ends(F.col("h"), F.col("n"))).alias("ends")))
+    occurrences = cut(_occurrences(documents, doc_id, text, shortest, max(2, near_words)))
     distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("ends").alias("ends")))
 
     keys = distinct.select("h1", F.explode("ends").alias("key"))
@@ -81,13 +93,17 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     partnered = cut(keys.join(sized(shared, 16), "key", "left_semi").select("h1").distinct())
     first = distinct.join(sized(partnered, 16), "h1", "left_semi").select("h1", "first.*")
     wanted = cut(first.groupBy("id", "t").agg(F.collect_list(F.struct("line", "h1")).alias("wanted")))
-    found = docs.select(F.struct("id", "t").alias("doc"), "lines").join(sized(wanted.select(F.struct("id", "t").alias("doc"), "wanted"), 64, "wanted", 40), "doc")
-    found = found.select("doc.*", "lines", F.explode("wanted").alias("w")).select("id", "t", F.col("w.line").alias("line"), words_of(F.get("lines", F.col("w.line"))).alias("words"))
-    held = cut(_mixed(_hashed(found).select("h1", _place().alias("first"), "words", "h").dropDuplicates(["h1"])))
+    # null ids meet too: a struct that holds a null is not null
+    doc = F.struct("id", "t").alias("doc")
+    found = documents.select(F.struct(*_document(doc_id, text)).alias("doc"), F.col(text).alias("text")).join(sized(wanted.select(doc, "wanted"), 64, "wanted", 40), "doc")
+    found = found.select("doc.*", "wanted", F.split("text", "\n", -1).alias("lines"))
+    found = found.select("id", "t", F.inline(F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), w["h1"].alias("h1"), F.get("lines", w["line"]).alias("s")))))
+    found = found.select("h1", _place().alias("first"), words_of(F.col("s")).alias("words")).dropDuplicates(["h1"])
+    held = cut(_mixed(found.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))))
 
     variants = held.select("h1", "first", F.posexplode(_variants()).alias("i", "v"))
     replaced = variants.groupBy("v", "i").agg(F.min("first").alias("by"), F.max("first").alias("latest")).where("by < latest").drop("latest")
-    near = variants.join(sized(cut(replaced), 64), ["v", "i"]).where("by < first").select("h1", "by")
+    near = variants.join(cut(replaced), ["v", "i"]).where("by < first").select("h1", "by")
     grown = cut(variants.select("h1", "first", "v").join(held.select(F.col("all").alias("v"), F.col("h1").alias("short"), F.col("first").alias("whole")), "v"))
     near = near.union(grown.where("whole < first").select("h1", F.col("whole").alias("by")))
     near = near.union(grown.groupBy("short").agg(F.min("first").alias("by"), F.first("whole").alias("whole")).where("by < whole").select("short", "by"))
@@ -95,8 +111,9 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     late = cut(pairs.where(within_one(F.col("words"), F.col("other"))).select("h1").distinct())
 
     doubtful = distinct.join(sized(late, 16).withColumn("near", F.lit(True)), "h1", "left").where("copies > 1 or near")
-    doubtful = cut(doubtful.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = occurrences.join(sized(doubtful, 72), ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
+    doubtful = doubtful.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # doubtful and removed lines grow with the corpus: both are shuffled at every size
+    gone = occurrences.select("id", "t", "line", "h1", "h2").join(doubtful, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
     return gone.groupBy("id", "t").agg(F.collect_list("line").alias("removed"))
 
 
@@ -147,14 +164,14 @@ def within_one(x: Column, y: Column) -> Column:
     )
 
 
-def _kept(documents: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
+def _kept(documents: DataFrame, doc_id: str, text: str, shortest: int, near_words: int) -> DataFrame:
     """row (a document's columns), lines, removed (null without any) and thinned (the text of the other lines)."""
-    removed = cut(duplicates(documents, doc_id, text, shortest)).select(F.struct("id", "t").alias("doc"), "removed")
-    rows = documents.select(F.struct("*").alias("row"), F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("t")).alias("doc"))
+    removed = duplicates(documents, doc_id, text, shortest, near_words).select(F.struct("id", "t").alias("doc"), "removed")
+    rows = documents.select(F.struct("*").alias("row"), F.struct(*_document(doc_id, text)).alias("doc"))
     others = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     thinned = F.when(F.col("removed").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(others, lambda i: F.get("lines", i)), "\n"))
     # split after the join, which would else move each text twice
-    joined = rows.join(sized(removed, 128, "removed", 8), "doc", "left").withColumn("lines", F.split(F.col("row")[text], "\n", -1))
+    joined = rows.join(removed, "doc", "left").withColumn("lines", F.split(F.col("row")[text], "\n", -1))
     return joined.select("row", "lines", "removed", thinned.alias("thinned"))
 
 
@@ -162,20 +179,26 @@ def _columns(documents: DataFrame, text: str) -> list[Column]:
     return [F.col("thinned").alias(c) if c == text else F.col("row")[c].alias(c) for c in documents.columns]
 
 
-def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
+def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 1, near_words: int = NEAR_WORDS) -> DataFrame:
     """documents without repeated lines, and with n_lines and n_removed after their columns (columns of these names are replaced).
 
-    A null text stays null with no lines; an empty one has one empty line. Lines of fewer than
-    shortest words stay; with 1, all repeats but blank lines go. Rows that agree in id and text are one document and keep the same lines;
-    rows that share only the id are apart. Other columns pass unchanged; an empty table gives none.
+    A null text stays null with no lines; an empty one has one empty line. Blank lines stay, and
+    lines of fewer than shortest words. Rows that agree in id and text are one document and keep the
+    same lines; rows that share only the id are apart, null ids too. Other columns pass unchanged;
+    an empty table gives none.
     """
     base = documents.drop("n_lines", "n_removed")
     n_lines = F.when(F.col("row")[text].isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines")
     n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed")
-    return _kept(base, doc_id, text, shortest).select(*_columns(base, text), n_lines, n_removed)
+    return _kept(base, doc_id, text, shortest, near_words).select(*_columns(base, text), n_lines, n_removed)
+
 
+def thin(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = 1, near_words: int = NEAR_WORDS) -> DataFrame:
+    """documents without repeated lines; those that lost lines and have only white space left go.
 
-def thin(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
-    """documents without repeated lines of at least shortest words; those that lost lines and have only white space left go. Other columns pass unchanged."""
+    Null and empty texts lose nothing and stay. Rows that repeat an id and a text lose the same
+    lines, so that none is left out for being a copy of itself. Other columns pass unchanged,
+    whatever their names; an empty table gives none.
+    """
     emptied = F.col("removed").isNotNull() & (F.trim(F.translate("thinned", "\n" + _SPACES, " " * (1 + len(_SPACES)))) == "")
-    return _kept(documents, doc_id, text, shortest).where(~emptied).select(*_columns(documents, text))
+    return _kept(documents, doc_id, text, shortest, near_words).where(~emptied).select(*_columns(documents, text))

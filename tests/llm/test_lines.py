@@ -41,7 +41,7 @@ def brute(rows):
 
 
 def run(spark, rows):
-    got = lines.deduplicate(spark.createDataFrame(rows, SCHEMA))
+    got = lines.deduplicate(spark.createDataFrame(rows, SCHEMA), shortest=5)
     return sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()), key=str)
 
 
@@ -84,7 +84,7 @@ def test_clashing_columns_and_long_line(spark):
     long = " ".join(f"t{k}" for k in range(5000))
     rows = [(1, long, 9, "a"), (2, long + " more", 9, "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, removed string")
-    got = {r.doc_id: r for r in lines.deduplicate(df).collect()}
+    got = {r.doc_id: r for r in lines.deduplicate(df, shortest=5).collect()}
     assert got[2].n_removed == 1 and got[1].n_removed == 0
     assert got[1].removed == "a" and got[1].n_lines == 1
-    assert lines.thin(df).columns == df.columns and lines.thin(df).count() == 1
+    assert lines.thin(df, shortest=5).columns == df.columns and lines.thin(df, shortest=5).count() == 1
