@@ -33,6 +33,7 @@ from loomlight.llm.words import Encoder
 
 MAGIC = b"LLEF0001"
 BLOCK_BITS = 512
+_FIRST = -(1 << 63)
 #: Numbers handled at once; a multiple of 8, so that packed low bits end with a byte.
 STEP = 8192
 #: For each byte the places of its set bits in order.
@@ -164,11 +165,26 @@ def library_encoder(path: str, known: bytes) -> Encoder:
     return Encoder(encode_words, specials, known, tokenizer.normalizer.normalize_str)
 
 
-def encoded(documents: DataFrame, encoder: Callable[[], Encoder], end_id: int, id_bytes: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tie (a number of the row) and ids (little-endian, end_id last) of every row, computed once."""
+def _bounds(documents: DataFrame, doc_id: str, parts: int) -> np.ndarray:
+    """Ids that cut the documents into parts of about equal size, from a sketch of the ids alone; a frequent id is named several times."""
+    if parts < 2:
+        return np.empty(0, np.int64)
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST))
+    found = documents.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("b")).first().b
+    return np.array(found or [], np.int64)
+
+
+def encoded(documents: DataFrame, encoder: Callable[[], Encoder], end_id: int, id_bytes: int, parts: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, part and ids (little-endian, end_id last) of every row; parts ascend with the ids, and rows of an id that fills several are dealt to these in turn."""
+    bounds = _bounds(documents, doc_id, parts)
 
     def run(batches):
+        dealt = 0
         for batch in batches:
+            keys = batch.column(0).fill_null(_FIRST).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+            part = (low + (dealt + np.arange(len(keys))) % (high - low + 1)).astype(np.int32)
+            dealt += len(keys)
             texts = batch.column(1).to_pylist()
             for a, b in text_batches(texts):
                 n, flat = encoder().encode(texts[a:b])
@@ -177,10 +193,10 @@ def encoded(documents: DataFrame, encoder: Callable[[], Encoder], end_id: int, i
                 flat = np.insert(flat, np.cumsum(n), end_id).astype(f"<u{id_bytes}")
                 offsets = np.concatenate([[0], np.cumsum(n + 1)]) * id_bytes
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column.cast(pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(part[a:b]), column.cast(pa.binary())], names=["doc_id", "part", "ids"])
 
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
-    return cut(rows.select("doc_id", F.monotonically_increasing_id().alias("tie"), "ids"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, part int, ids binary")
 
 
 def write(documents: DataFrame, folder: str, encoder: Callable[[], Encoder], end_id: int, id_bytes: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +205,7 @@ def write(documents: DataFrame, folder: str, encoder: Callable[[], Encoder], end
     Null texts are empty; every document ends with end_id. Documents without an id come first,
     repeated ids stay next to each other and may be dealt to several tasks. An empty table gives no
     files. Only the files listed count: what a failed task leaves has a name that no list holds.
-    Texts are encoded where they are read; only ids move.
+    Texts are encoded where they are read, once; only ids move, once.
     """
 
     def run(batches):
@@ -213,7 +229,8 @@ def write(documents: DataFrame, folder: str, encoder: Callable[[], Encoder], end
         if docs:
             yield close()
 
-    ordered = encoded(documents, encoder, end_id, id_bytes, doc_id, text).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = encoded(documents, encoder, end_id, id_bytes, parts, doc_id, text).repartitionById(parts, "part").sortWithinPartitions("doc_id").select("doc_id", "ids")
     return cut(ordered.mapInArrow(run, "part long, seq long, uri string, n_docs long, n_tokens long"))
 
 

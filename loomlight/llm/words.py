@@ -27,9 +27,9 @@ import pandas as pd
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Set beside the class of a code point on which the library and Python may differ.
 ODD = 4
-LIMIT = 150_000
+LIMIT = 400_000
 #: Characters handled in one numpy pass; longer texts are cut at white space, where no word is torn.
-PASS_CHARS = 1 << 20
+PASS_CHARS = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _CUT = re.compile(r"[ \n\t]")
 #: The steps of a tokenizer file that this module follows; fixed values.

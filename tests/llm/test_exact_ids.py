@@ -62,3 +62,19 @@ def test_select_over_many_blocks():
         e = token_files.EliasFano.parse(token_files.EliasFano.of(values).dump())
         at = rng.permutation(len(values))
         assert np.array_equal(e.select(at), values[at])
+
+
+def test_a_frequent_id_is_dealt_to_several_files(spark, tmp_path):
+    """Two thirds of the rows share an id or have none; files still ascend, and starts add up."""
+    import functools
+
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    make = functools.partial(token_files.library_encoder, PATH, words.rules(PATH))
+    listed = token_files.write(docs, f"file://{tmp_path}", make, 2, 2).orderBy("part", "seq").collect()
+    held = [token_files.TokenFile(r.uri).doc_ids() for r in listed]
+    flat = [i for ids in held for i in ids]
+    assert len(held) > 2 and flat == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert max(map(len, held)) < 200
+    got = token_files.round_trip(docs, make, 2, 2).orderBy("start").collect()
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
