@@ -1,23 +1,28 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task turns its documents, a few megabytes at a time, into a shard: the words in one sequence
-and an array of the places where a match can begin, sorted by the words that follow. Every suffix
-of the benchmark's items is found in the shard by binary search, which gives all places where its
-first words occur. Places that can't begin a match (too few of the words that follow are
-benchmark words at all) are left out of the array. The benchmark travels to the tasks in blocks of
-bounded size; documents are never shuffled.
+and a suffix array, the places where a match can begin, sorted by all the words that follow. Every
+suffix of the benchmark's items is found in the shard by binary search, word by word for as long
+as it matches, which gives all places where it occurs and how far. Places that can't begin a match
+(too few of the words that follow are benchmark words at all) are left out of the array. Hashes
+only propose which words are equal; bytes decide. The benchmark is written in indexed blocks of
+bounded size, which tasks read one at a time; documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlight.llm import files
+from loomlight.llm.shared import cut, scratch
+
 #: Words of a match. An item with fewer words must match whole.
 WINDOW = 10
 #: Texts of a shard, and of a block of the benchmark, together, in bytes.
@@ -61,163 +66,267 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.nd
 
 
 class Benchmark:
-    """A block of items: their word numbers, and their windows."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        hashes, counts, self.data, self.at, self.ends = words([t for _, t in items])
-        self.names = [str(i) for i, _ in items]
-        self.known, self.ids = np.unique(hashes, return_inverse=True)
-        self.ids = self.ids.astype(np.int64) + 1
-        ends = np.cumsum(counts)
-        self.windows: dict[int, list[tuple[int, int]]] = {}
-        for item, (end, n) in enumerate(zip(ends.tolist(), counts.tolist())):
-            size = min(n, WINDOW)
-            if size:
-                self.windows.setdefault(size, []).extend((item, k) for k in range(end - n, end - size + 1))
-        self.least = min(self.windows, default=0)
+    """A block of items: their words by number, the places where a match may begin in them, and their distinct windows."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        hashes, counts, data, at, ends = words([t for _, t in items])
+        self.names = [i for i, _ in items]
+        ranks = {n: k for k, n in enumerate(sorted(set(self.names)))}
+        self.by_rank = list(ranks)
+        self.numbers_of: dict[bytes, int] = {}
+        self.seq = np.fromiter((self.numbers_of.setdefault(data[a:b], len(self.numbers_of) + 1) for a, b in zip(at.tolist(), ends.tolist())), np.int64, len(at))
+        numbers, first = np.unique(self.seq, return_index=True)
+        self.data, self.at, self.ends = data, np.append(0, at[first]), np.append(0, ends[first])
+        order = np.argsort(hashes[first], kind="stable")
+        self.hashes, self.of_hash = hashes[first][order], numbers[order]
+        upto = np.cumsum(counts)
+        left = np.repeat(upto, counts) - np.arange(len(self.seq))
+        whole = np.repeat(counts, counts)
+        size = np.minimum(whole, window)
+        # an item of fewer words is one window; of others every place with as many words left begins one
+        self.tests = np.flatnonzero((left >= size) & ((whole >= window) | (left == whole)))
+        self.size, self.left = size[self.tests], left[self.tests]
+        self.rank = np.repeat([ranks[n] for n in self.names], counts).astype(np.int64)[self.tests]
+        self.least, self.most = (int(self.size.min()), int(self.left.max())) if len(self.tests) else (0, 0)
+        deep = np.arange(window)
+        spelled = np.where(deep < self.size[:, None], np.append(self.seq, np.zeros(window, np.int64))[self.tests[:, None] + deep], 0)
+        _, self.window = np.unique(spelled, axis=0, return_inverse=True) if len(spelled) else (None, np.empty(0, np.int64))
+        self.window = self.window.reshape(-1)
+        # the items of each distinct window, in one list
+        pairs = np.unique(np.stack([self.window, self.rank], axis=1), axis=0) if len(spelled) else np.empty((0, 2), np.int64)
+        self.item_ranks, self.items_from = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(pairs) + 1))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word, 0 for words that no item has."""
-        k = np.searchsorted(self.known, hashes)
-        k[k == len(self.known)] = 0
-        return np.where(self.known[k] == hashes, k + 1, 0) if len(self.known) else np.zeros(len(hashes), np.int64)
-
-    def matches(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
-        """Words of each text, and its matches: (first word, number of words, item), in any order."""
-        hashes, counts, data, at, ends = words(texts)
-        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        if not self.windows or not len(hashes):
-            return counts, found
-        ids = self.numbers(hashes)
-        text_of_end = np.cumsum(counts)
-        # how many benchmark words follow one another from each place on, within the text
-        stops = np.unique(np.concatenate([np.flatnonzero(ids == 0), text_of_end]))
-        stops = stops[stops <= len(ids)]
-        array = np.flatnonzero(ids)
-        room = stops[np.searchsorted(stops, array, side="right")] - array if len(array) else array
-        # a text's end is a stop only for the words before it
-        array = array[room >= self.least]
-        if not len(array):
-            return counts, found
-        room = room[room >= self.least]
-        depth = np.arange(WINDOW)
-        padded = np.concatenate([ids, np.zeros(WINDOW, np.int64)])
-        keys = np.where(depth < room[:, None], padded[array[:, None] + depth], 0)
-        order = np.lexsort(keys.T[::-1])
-        array, keys = array[order], keys[order]
-        for size, windows in self.windows.items():
-            tests = self.ids[np.array([k for _, k in windows])[:, None] + np.arange(size)]
-            low, high = search(keys[:, :size], tests)
-            for w in np.flatnonzero(high > low).tolist():
-                item, begin = windows[w]
-                for place in array[low[w] : high[w]].tolist():
-                    if any(data[at[place + i] : ends[place + i]] != self.data[self.at[begin + i] : self.ends[begin + i]] for i in range(size)):
-                        continue
-                    text = int(np.searchsorted(text_of_end, place, side="right"))
-                    found[text].append((place - int(text_of_end[text] - counts[text]), size, item))
-        return counts, found
-
-
-def search(keys: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each test row the bounds of the equal rows of keys, which are sorted: a binary search word by word, each within the bounds so far."""
-    low, high = np.zeros(len(tests), np.int64), np.full(len(tests), len(keys), np.int64)
-    for d in range(tests.shape[1]):
-        column, wanted = keys[:, d], tests[:, d]
-        live = np.flatnonzero(low < high)
-        for side in (0, 1):
-            a, b = low[live].copy(), high[live].copy()
-            while len(open_ := np.flatnonzero(a < b)):
-                mid = (a[open_] + b[open_]) // 2
-                value, target = column[mid], wanted[live[open_]]
-                right = (value < target) if side == 0 else (value <= target)
-                a[open_[right]] = mid[right] + 1
-                b[open_[~right]] = mid[~right]
-            if side == 0:
-                lows = a
-            else:
-                low[live], high[live] = lows, a
-    return low, high
-
-
-def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about BLOCK_BYTES, one at a time; one block at least. Items without an id or a text take no part."""
+        """The number that each word's hash proposes, 0 for words that no item has."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == hashes, self.of_hash[k], 0)
+
+    def checked(self, ids: np.ndarray, asked: np.ndarray, data: bytes, at: np.ndarray, ends: np.ndarray) -> bool:
+        """Compares the words at the places asked, byte by byte, with those of their numbers; corrects ids and tells whether any was wrong."""
+        n = ends[asked] - at[asked]
+        own = ids[asked]
+        wrong = n != self.ends[own] - self.at[own]
+        same, n = asked[~wrong], n[~wrong]
+        if len(same):
+            upto = np.cumsum(n)
+            inside = np.arange(upto[-1]) - np.repeat(upto - n, n)
+            mine, theirs = np.frombuffer(data, np.uint8), np.frombuffer(self.data, np.uint8)
+            unequal = mine[np.repeat(at[same], n) + inside] != theirs[np.repeat(self.at[ids[same]], n) + inside]
+            wrong[np.flatnonzero(~wrong)] = np.logical_or.reduceat(unequal, upto - n)
+        for p in asked[wrong].tolist():
+            ids[p] = self.numbers_of.get(data[at[p] : ends[p]], 0)
+        return bool(wrong.any())
+
+
+class Shard:
+    """Texts as one sequence of words, with what blocks of the benchmark have found in them so far."""
+
+    def __init__(self, texts: list[str | None]):
+        self.hashes, self.counts, self.data, self.at, self.ends = words(texts)
+        self.upto = np.cumsum(self.counts)
+        self.hit = np.zeros(len(self.hashes), bool)
+        self.items: list[set[str]] = [set() for _ in texts]
+        self.longest: list[tuple[int, int, str] | None] = [None] * len(texts)
+
+    def _room(self, ids: np.ndarray) -> np.ndarray:
+        """How many words of the benchmark follow one another from each place on, within the text."""
+        stops = np.unique(np.concatenate([np.flatnonzero(ids == 0), self.upto]))
+        return np.where(ids > 0, stops[np.searchsorted(stops, np.arange(len(ids)), side="right")] - np.arange(len(ids)), 0) if len(ids) else ids
+
+    def _array(self, block: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers, the suffix array of the places where a match can begin, and their room. Suffixes are ordered as far as the longest item reaches."""
+        ids = block.numbers(self.hashes)
+        while True:
+            room = self._room(ids)
+            array = np.flatnonzero(room >= max(1, block.least))
+            reach = np.zeros(len(ids) + 1, np.int64)
+            np.add.at(reach, array, 1)
+            np.add.at(reach, array + room[array], -1)
+            if not block.checked(ids, np.flatnonzero(np.cumsum(reach[:-1])), self.data, self.at, self.ends):
+                break
+        begins = np.append(True, np.zeros(max(0, len(array) - 1), bool))
+        depth, tied = 0, np.arange(len(array))
+        while len(tied) and depth < block.most:
+            group = np.cumsum(begins)[tied]
+            keys = _next_words(ids, array[tied], room[array[tied]], depth)
+            order = np.lexsort([*keys.T[::-1], group])
+            array[tied], keys = array[tied][order], keys[order]
+            begins[tied[1:]] |= (keys[1:] != keys[:-1]).any(axis=1)
+            depth += WINDOW
+            # what follows is a tie only where a neighbour is equal so far and words are left
+            alone = begins & np.append(begins[1:], True)
+            tied = np.flatnonzero(~alone)
+            if not (room[array[tied]] > depth).any():
+                break
+        return ids, array, room
+
+    def search(self, block: Benchmark):
+        """Finds every suffix of the block's items in the array, word by word for as long as it matches, and notes hits and longest matches."""
+        if not len(block.tests) or not len(self.hashes):
+            return
+        ids, array, room = self._array(block)
+        low, high = np.zeros(len(block.tests), np.int64), np.full(len(block.tests), len(array), np.int64)
+        best, named = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
+        live, d = np.flatnonzero(low < high), 0
+        while len(live):
+            column = np.where(room[array] > d, ids[np.minimum(array + d, len(ids) - 1)], 0)
+            low[live], high[live] = narrow(column, block.seq[block.tests[live] + d], low[live], high[live])
+            d += 1
+            live = live[low[live] < high[live]]
+            self._windows(block, live[block.size[live] == d], array, low, high)
+            # equal beginnings have the same range: one of them, of the least item, marks it
+            whole = live[block.size[live] <= d]
+            whole = whole[np.lexsort((block.rank[whole], low[whole]))]
+            whole = whole[np.append(True, low[whole][1:] != low[whole][:-1])] if len(whole) else whole
+            places, owner = _ranges(low[whole], high[whole])
+            best[places], named[places] = d, block.rank[whole][owner]
+            live = live[block.left[live] > d]
+        found = np.flatnonzero(best)
+        text = np.searchsorted(self.upto, array[found], side="right")
+        order = np.lexsort((named[found], array[found], -best[found], text))
+        for k in order[np.append(True, text[order][1:] != text[order][:-1])] if len(order) else ():
+            i, place = int(text[k]), int(array[found[k]])
+            match = (int(best[found[k]]), place - int(self.upto[i] - self.counts[i]), block.by_rank[named[found[k]]])
+            self.longest[i] = min((m for m in (self.longest[i], match) if m), key=lambda m: (-m[0], m[1], m[2]))
+
+    def _windows(self, block: Benchmark, whole: np.ndarray, array: np.ndarray, low: np.ndarray, high: np.ndarray):
+        """Notes the words hit and the items of windows found whole; equal windows are taken once."""
+        _, first = np.unique(block.window[whole], return_index=True)
+        whole = whole[first]
+        places, owner = _ranges(low[whole], high[whole])
+        places, windows, size = array[places], block.window[whole][owner], block.size[whole][owner]
+        cover = np.zeros(len(self.hit) + 1, np.int64)
+        np.add.at(cover, places, 1)
+        np.add.at(cover, places + size, -1)
+        self.hit |= np.cumsum(cover[:-1]) > 0
+        text = np.searchsorted(self.upto, places, side="right")
+        pairs = np.unique(text * (len(block.items_from) + 1) + windows)
+        text, windows = np.divmod(pairs, len(block.items_from) + 1)
+        named, owner = _ranges(block.items_from[windows], block.items_from[windows + 1])
+        for i, rank in zip(text[owner].tolist(), block.item_ranks[named].tolist()):
+            self.items[i].add(block.by_rank[rank])
+
+    def results(self) -> dict[str, pa.Array]:
+        upto = np.concatenate([[0], np.cumsum(self.hit)])
+        n_hit = upto[self.upto] - upto[self.upto - self.counts]
+        items = [sorted(x) for x in self.items]
+        length, at, item = zip(*(m or (0, None, None) for m in self.longest)) if self.longest else ((), (), ())
+        return {
+            "n_words": pa.array(self.counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(list(map(len, items)), pa.int64()), "items": pa.array(items, pa.list_(pa.string())),
+            "longest": pa.array(length, pa.int64()), "longest_at": pa.array(at, pa.int64()), "longest_item": pa.array(item, pa.string()), "contaminated": pa.array(n_hit > 0, pa.bool_()),
+        }
+
+
+def _next_words(ids: np.ndarray, places: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
+    """The WINDOW words that follow each place after depth words, 0 beyond its room."""
+    deep = depth + np.arange(WINDOW)
+    return np.where(deep < room[:, None], ids[np.minimum(places[:, None] + deep, len(ids) - 1)], 0)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the range that each belongs to."""
+    n = high - low
+    owner = np.repeat(np.arange(len(n)), n)
+    return low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
+
+
+def narrow(column: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each range, in which column ascends, that equals the word wanted: two binary searches for all ranges at once."""
+    out = []
+    for right in (False, True):
+        a, b = low.copy(), high.copy()
+        while len(open_ := np.flatnonzero(a < b)):
+            mid = (a[open_] + b[open_]) // 2
+            value = column[mid]
+            up = (value <= wanted[open_]) if right else (value < wanted[open_])
+            a[open_[up]] = mid[up] + 1
+            b[open_[~up]] = mid[~up]
+        out.append(a)
+    return out[0], out[1]
+
+
+def write_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[str]:
+    """Writes the items, indexed, in files of about BLOCK_BYTES of text to the shared folder and returns the files' names.
+
+    Items without an id or a text take no part. Neither the driver nor any task holds more than a block.
+    """
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
-    block, size, some = [], 0, False
-    for row in rows.toLocalIterator():
-        block.append((row.i, row.t))
-        size += len(row.t)
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size, some = [], 0, True
-    if block or not some:
-        yield block
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """documents with n_words, n_hit, n_items, items (ids as sorted strings), longest (words of the longest verbatim match) and contaminated after the others.
-
-    Columns of these names are replaced. A null text, or one without words, has no hits. Repeated
-    rows each get their own row. Rows of the benchmark that share an id count as one item with all
-    their windows; items without an id, a text or words have none. An empty benchmark hits nothing.
+    total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first().n
+    folder, most, window = scratch(benchmark.sparkSession, "benchmark"), BLOCK_BYTES, WINDOW
+
+    def run(batches):
+        block, size, seq = [], 0, 0
+
+        def close():
+            uri = f"{folder}/{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}-{seq:06d}.block"
+            with files.publish(uri) as out:
+                out.write(pickle.dumps(Benchmark(block, window), protocol=5))
+            return pa.RecordBatch.from_pydict({"uri": [uri]})
+
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block.append((i, t))
+                size += len(t)
+                if size >= most:
+                    yield close()
+                    block, size, seq = [], 0, seq + 1
+        if block:
+            yield close()
+
+    return sorted(r.uri for r in cut(rows.repartition(max(1, total // most)).mapInArrow(run, "uri string")).collect())
+
+
+@functools.lru_cache(maxsize=1)
+def _load(uri: str) -> Benchmark:
+    return pickle.loads(files.read(uri))
+
+
+ADDED = "n_words long, n_hit long, n_items long, items array<string>, longest long, longest_at long, longest_item string, contaminated boolean"
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """documents (or of their columns those to keep) with n_words, n_hit, n_items, items (ids as sorted strings), the longest verbatim match (longest: words, longest_at: its first word's place from 0, longest_item) and contaminated after the others.
+
+    A match lies within one item; of equally long ones the first place counts, then the smallest
+    item. Columns of the added names are replaced. A null text, or one without words, has no hits.
+    Repeated rows each get their own row. Rows of the benchmark that share an id count as one item
+    with all their windows; items without an id, a text or words have none. An empty benchmark hits
+    nothing. Blocks of the benchmark are read one after another for each shard.
     """
-    added = ["n_words", "n_hit", "n_items", "items", "longest", "contaminated"]
-    base = documents.drop(*added, "_hits")
-    out = base.withColumns({"n_words": F.lit(0).cast("long"), "_hits": F.expr("cast(array() as array<struct<a: int, n: int, item: string>>)")})
-    hit_type = pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32()), ("item", pa.string())]))
-    for items in blocks(benchmark, item_id, item_text):
-        sent = documents.sparkSession.sparkContext.broadcast(items)
-        schema, names = out.schema, out.columns
-
-        def run(batches, sent=sent, names=names):
-            block = Benchmark(sent.value)
-            for batch in batches:
-                texts = batch.column(names.index(text)).cast(pa.string()).to_pylist()
-                begin = size = 0
-                for k in range(len(texts)):
-                    size += len(texts[k] or "")
-                    if size < SHARD_BYTES and k + 1 < len(texts):
-                        continue
-                    part = batch.slice(begin, k + 1 - begin)
-                    counts, found = block.matches(texts[begin : k + 1])
-                    before = part.column(names.index("_hits")).to_pylist()
-                    hits = [[*x, *({"a": a, "n": n, "item": block.names[i]} for a, n, i in y)] for x, y in zip(before, found)]
-                    columns = {"n_words": pa.array(counts, pa.int64()), "_hits": pa.array(hits, hit_type)}
-                    yield pa.RecordBatch.from_arrays([columns.get(c, part.column(i)) for i, c in enumerate(names)], names=names)
-                    begin, size = k + 1, 0
-
-        out = out.mapInArrow(run, schema)
-    return out.withColumns(_summary(F.col("_hits"))).drop("_hits").select(*base.columns, *added)
-
-
-def _summary(hits: Column) -> dict[str, Column]:
-    """Words hit and the longest run, from the matches in order of their first word; and the items."""
-    begin = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("hit"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
-
-    def step(s, h):
-        end = h["a"] + h["n"]
-        new = F.greatest(F.lit(0), end - F.greatest(s["upto"], h["a"]))
-        run = F.when(h["a"] <= s["upto"], s["run"] + new).otherwise(h["n"])
-        return F.struct(F.greatest(s["upto"], end).alias("upto"), (s["hit"] + new).alias("hit"), run.alias("run"), F.greatest(s["longest"], run).alias("longest"))
-
-    folded = F.aggregate(F.array_sort(hits), begin, step)
-    items = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item"])))
-    return {
-        "n_hit": folded["hit"].cast("long"),
-        "longest": folded["longest"].cast("long"),
-        "items": items,
-        "n_items": F.size(items).cast("long"),
-        "contaminated": F.size(hits) > 0,
-    }
+    added = [f.split()[0] for f in ADDED.split(", ")]
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in added]
+    base = documents.select(*kept, F.col(text).cast("string").alias("_text"))
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.drop("_text").schema.fields), ADDED])
+    uris, most = write_blocks(benchmark, item_id, item_text), SHARD_BYTES
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(len(kept)).to_pylist()
+            begin = size = 0
+            for k in range(len(texts)):
+                size += len(texts[k] or "")
+                if size < most and k + 1 < len(texts):
+                    continue
+                shard = Shard(texts[begin : k + 1])
+                for uri in uris:
+                    shard.search(_load(uri))
+                own = batch.slice(begin, k + 1 - begin).columns[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*own, *shard.results().values()], names=[*kept, *shard.results()])
+                begin, size = k + 1, 0
+
+    return base.mapInArrow(run, schema)
 
 
 def digests(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 (of the items' ids joined by commas), contaminated, longest."""
-    found = contamination(documents.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest")
+    """doc_id, n_words, n_hit, n_items, items_sha256 (of the items' ids joined by commas), contaminated, longest, longest_at, longest_item. What contamination says of nulls, repeats and empty tables holds."""
+    found = contamination(documents, benchmark, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest", "longest_at", "longest_item")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents in which no window of a benchmark item occurs, with their own columns, whatever their names."""
+    """The documents in which no window of a benchmark item occurs, with their own columns, whatever their names. Null and empty texts stay, and so does every repeat of a clean row."""
     names = [f"c{k}" for k in range(len(documents.columns))]
     found = contamination(documents.toDF(*names), benchmark, text=names[documents.columns.index(text)])
     return found.where(~F.col("contaminated")).select(*(F.col(a).alias(b) for a, b in zip(names, documents.columns)))

@@ -93,25 +93,22 @@ FROM p LEFT JOIN k ON p.html = k.html AND p.payload_bytes >= 1000
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents
 ), b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT row_number() OVER () AS b, CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL
 ), bw AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  SELECT b, item, i, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
   FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(i) WHERE len(w) > 0
 ), dw AS (
   SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM d, (SELECT DISTINCT n FROM bw) AS sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)
-), m AS (SELECT r, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+), m AS (SELECT r, dw.i, dw.n, item, b, dw.i - bw.i AS diagonal FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
 h AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM m, unnest(range(0, n)) AS t(k) GROUP BY r),
-g AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY r),
+g AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
 runs AS (
-  SELECT r, max(c) AS longest FROM (
-    SELECT r, grp, count(*) AS c FROM (
-      SELECT r, j - row_number() OVER (PARTITION BY r ORDER BY j) AS grp FROM (SELECT DISTINCT r, i + k AS j FROM m, unnest(range(0, n)) AS t(k))
-    ) GROUP BY r, grp
-  ) GROUP BY r
-)
+  SELECT r, item, min(i) AS i, count(*) + any_value(n) - 1 AS longest
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, b, diagonal ORDER BY i) AS run FROM m) GROUP BY r, b, item, diagonal, run
+), l AS (SELECT r, longest, i - 1 AS longest_at, item AS longest_item FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY longest DESC, i, item) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest
-FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r) LEFT JOIN runs USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest, longest_at, longest_item
+FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r) LEFT JOIN l USING (r)
 """,
 }
