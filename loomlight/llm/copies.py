@@ -1,126 +1,173 @@
-"""Near-duplicates by resemblance: documents whose sets of five-word shingles have a Jaccard coefficient of at least LEAST.
+"""SimHash near-duplicates by resemblance: documents whose sets of five-word shingles have a Jaccard coefficient of at least LEAST.
 
-Each distinct set gets ROWS * BANDS least hashes. Sets that agree in all ROWS hashes of a band are
-candidates, and every link is verified on the sets themselves. Two sets at LEAST share no band with
-a probability of (1 - 0.8 ** 5) ** 30, below 1 in 100,000; the more alike, the less. Candidates
-first meet the least member of their group; only those that this leaves in different components
-meet each other.
+The index of simhash proposes: two fingerprints of each text's words, one of the distinct words and
+one of all, link in it at DISTANCE or fewer differing bits. Words, not shingles, are printed since
+one changed word changes five shingles: shingles' fingerprints of texts at LEAST differ in 10 bits
+on average. The sets of shingles decide on every link. Candidates first meet the least member of
+their group; only those that this leaves in different components meet each other.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlight.llm import simhash
 from loomlight.llm.shared import cut, sized
 from loomlight.llm.simhash import components
 
-SHINGLE, LEAST, ROWS, BANDS, SEED = 5, 0.8, 5, 30, 42
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-#: Hashes that meet all factors at once.
-_STEP = 4096
+SHINGLE, LEAST, DISTANCE, SEED = 5, 0.8, 6, 42
+#: Hashes whose bits are counted at once.
+_STEP = 1 << 15
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a text of fewer words has one shingle, one without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = _words(text)
     if not words:
         return np.zeros(0, np.uint64)
     n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + SHINGLE]), SEED) for k in range(n)), np.uint64, n))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """For each band a signed hash of the least values; none for an empty set."""
-    if not len(hashes):
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    of = xxhash.xxh64_intdigest
+    spans = zip(begins[:n].tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist())
+    return np.unique(np.fromiter((of(joined[a:b], SEED) for a, b in spans), np.uint64, n))
+
+
+def prints(text: str | None) -> list[int]:
+    """Two signed fingerprints: of the distinct words, each once, and of all words; none without words."""
+    counts = Counter(_words(text))
+    if not counts:
         return []
-    least = np.min([(_FACTORS * hashes[k : k + _STEP]).min(axis=1) for k in range(0, len(hashes), _STEP)], axis=0)
-    return [int(np.uint64(xxhash.xxh64_intdigest(rows.tobytes(), k)).view(np.int64)) for k, rows in enumerate(least.reshape(BANDS, ROWS))]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    out = []
+    for weights, mixed in ((np.ones(len(times), np.int64), hashes), (times, (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15))):
+        total = np.zeros(64, np.int64)
+        for k in range(0, len(mixed), _STEP):
+            bits = np.unpackbits(mixed[k : k + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total += weights[k : k + _STEP] @ bits
+        out.append(int(np.packbits(total * 2 > weights.sum(), bitorder="little").view("<i8")[0]))
+    return out
 
 
 def _sets(documents: DataFrame) -> DataFrame:
-    """doc_id, t (a hash of the text), s (of its set of shingles), n (the set's size) and bands of every row."""
+    """doc_id, t (a hash of the text), s (of its set of shingles), n (the set's size) and fps, the fingerprints, of every row."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    schema = rows.select("doc_id", "t", F.lit("").alias("s"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("bands")).schema
+    schema = rows.select("doc_id", "t", F.lit("").alias("s"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("fps")).schema
 
     def run(batches):
         for batch in batches:
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            found = [shingles(t) for t in texts]
             columns = [
                 batch.column("doc_id"),
                 batch.column("t"),
                 pa.array([xxhash.xxh128_hexdigest(h.tobytes(), SEED) for h in found], pa.string()),
                 pa.array([len(h) for h in found], pa.int32()),
-                pa.array([bands(h) for h in found], pa.list_(pa.int64())),
+                pa.array([prints(t) for t in texts], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "s", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "s", "n", "fps"])
 
     return rows.mapInArrow(run, schema)
 
 
 def _hashes(texts: DataFrame) -> DataFrame:
-    """i and the set of shingles of each row (i, text)."""
+    """s and the set of shingles of each row (s, text)."""
 
     def run(batches):
         for batch in batches:
-            for i, text in zip(batch.column("i").to_pylist(), batch.column("text").to_pylist()):
+            for s, text in zip(batch.column("s").to_pylist(), batch.column("text").to_pylist()):
                 found = pa.array([shingles(text).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), found], names=["i", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), found], names=["s", "set"])
+
+    return texts.mapInArrow(run, "s string, set array<long>")
 
-    return texts.mapInArrow(run, "i long, set array<long>")
 
+def _pair(one: str, other: str) -> list:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of at least LEAST."""
-    both = pairs.join(sets.select(F.col("i").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("i").alias("b"), F.col("set").alias("y")), "b")
+
+def _close(n: str, m: str):
+    """Whether sets of these sizes can be alike enough."""
+    return F.least(n, m) >= LEAST * F.greatest(n, m) - 1e-9
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of at least LEAST, from the texts that they come from."""
+    named = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    wanted = cut(distinct.select("s", "t").join(named, "s", "left_semi"))
+    sets = cut(_hashes(texts.join(sized(wanted, 64), "t").select("s", "text").dropDuplicates(["s"])))
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where(common >= LEAST * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
 
 
 def _links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of the sets i of distinct (i, t, n, bands), whose texts have the hash t, that connect what chains of verified pairs connect."""
-    keyed = distinct.select("i", "n", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    members = cut(keyed.join(shared, ["band", "key"]))
-    wanted = distinct.join(members.select("i").distinct(), "i", "left_semi").select("i", "t")
-    wanted = cut(wanted)
-    sets = cut(_hashes(texts.join(sized(wanted, 24), "t").dropDuplicates(["i"]).select("i", "text")))
-    close = lambda n, m: F.least(n, m) >= LEAST * F.greatest(n, m) - 1e-9
-    hubs = members.groupBy("band", "key").agg(F.min(F.struct("i", "n")).alias("hub"))
-    stars = members.join(hubs, ["band", "key"]).where((F.col("i") != F.col("hub.i")) & close(F.col("n"), F.col("hub.n")))
-    stars = cut(stars.select(F.col("hub.i").alias("a"), F.col("i").alias("b")).distinct())
-    found = _verified(stars, sets)
+    """Links (a, b) between the sets s of distinct (s, t, n, fps) that connect what chains of verified pairs connect."""
+    printed = cut(distinct.select("s", "n", F.posexplode("fps").alias("k", "fp")))
+    hubs = cut(printed.groupBy("k", "fp").agg(F.min(F.struct("s", "n")).alias("hub")))
+    steps = [simhash.links(hubs.where(F.col("k") == k).select("fp"), DISTANCE).withColumn("k", F.lit(k)) for k in (0, 1)]
+    steps = cut(steps[0].union(steps[1]))
+    own = printed.join(hubs, ["k", "fp"]).select("s", "n", "hub")
+    across = printed.join(steps.select("k", F.col("a").alias("fp"), "b"), ["k", "fp"]).join(hubs.select("k", F.col("fp").alias("b"), "hub"), ["k", "b"]).select("s", "n", "hub")
+    stars = own.union(across).where((F.col("s") != F.col("hub.s")) & _close("n", "hub.n"))
+    stars = cut(stars.select(*_pair("s", "hub.s")).distinct())
+    found = _verified(stars, distinct, texts)
+
+    # members of one chain of fingerprints in several components: all near ones of these meet
+    node = lambda fp: F.concat_ws(":", "k", F.col(fp).cast("string"))
+    chains = components(steps.select(node("a").alias("a"), node("b").alias("b"))).select("node", F.col("root").alias("chain"))
     roots = components(found)
-    placed = members.join(roots, F.col("i") == F.col("node"), "left").select("band", "key", "i", "n", F.coalesce("root", "i").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band", "key")
-    placed = cut(placed.join(mixed, ["band", "key"]))
-    one, other = (placed.select("band", "key", F.col("i").alias(i), F.col("n").alias(n), F.col("root").alias(r)) for i, n, r in (("a", "na", "ra"), ("b", "nb", "rb")))
-    rest = one.join(other, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close(F.col("na"), F.col("nb")))
-    rest = rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return found.union(_verified(rest, sets))
+    placed = printed.withColumn("at", node("fp")).join(chains, F.col("at") == F.col("node"), "left").withColumn("chain", F.coalesce("chain", "at"))
+    placed = placed.select("k", "fp", "s", "n", "chain").join(roots, F.col("s") == F.col("node"), "left").withColumn("root", F.coalesce("root", "s"))
+    mixed = placed.groupBy("chain").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("chain")
+    placed = cut(placed.join(mixed, "chain").select("k", "fp", "s", "n", "root"))
+    if placed.isEmpty():
+        return found
+    tag = F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("tag")
+    tagged = cut(placed.groupBy("k", "fp").agg(tag))
+    near = [simhash.near_pairs(tagged.where(F.col("k") == k).select("fp", "tag"), DISTANCE).withColumn("k", F.lit(k)) for k in (0, 1)]
+    near = near[0].union(near[1]).union(tagged.where("tag = 0").select(F.col("fp").alias("a"), F.col("fp").alias("b"), "k"))
+    one, other = (placed.select("k", F.col("fp").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
+    rest = near.join(one, ["k", "a"]).join(other, ["k", "b"]).where((F.col("ra") != F.col("rb")) & _close("na", "nb"))
+    rest = cut(rest.select(*_pair("sa", "sb")).distinct().join(stars, ["a", "b"], "left_anti"))
+    return found.union(_verified(rest, distinct, texts))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links reach.
 
     Equal sets link, those of null and empty texts too. Repeated rows each get a row. Rows without a
-    doc_id link, but name no component. Columns other than doc_id and text are ignored.
+    doc_id link, but name no component. Columns other than doc_id and text are ignored; an empty
+    table gives no rows.
     """
     found = cut(_sets(documents))
-    distinct = found.groupBy("s").agg(F.min("doc_id").alias("least"), F.first(F.struct("t", "n", "bands")).alias("f"))
-    distinct = cut(distinct.select("s", "least", F.xxhash64("s").alias("i"), "f.*"))
+    distinct = found.groupBy("s").agg(F.min("doc_id").alias("least"), F.first(F.struct("t", "n", "fps")).alias("f"))
+    distinct = cut(distinct.select("s", "least", "f.*"))
     texts = documents.select(F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     roots = components(_links(distinct, texts))
-    placed = cut(distinct.join(roots, F.col("i") == F.col("node"), "left").select("s", "least", F.coalesce("root", "i").alias("root")))
+    placed = cut(distinct.join(roots, F.col("s") == F.col("node"), "left").select("s", "least", F.coalesce("root", "s").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(smallest, "root").select("s", "component_id")
     return found.join(named, "s").select("doc_id", "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without those that a document with a smaller doc_id is linked to; rows that share a doc_id are one document, and rows without one stay."""
+    """documents without those that a document with a smaller doc_id is linked to.
+
+    Rows that share a doc_id are one document, and rows without one stay. Of null and empty texts
+    one stays too. Other columns pass unchanged, whatever their names; an empty table gives none.
+    """
     found = near_duplicates(documents).where("doc_id != component_id").select("doc_id").distinct()
     return documents.join(sized(cut(found), 24), "doc_id", "left_anti").select(*documents.columns)

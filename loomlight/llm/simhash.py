@@ -1,10 +1,10 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints that differ in at most DISTANCE bits agree on at least two of six blocks of bits. Each
+Fingerprints that differ in at most d bits agree on at least two of d + 2 blocks of bits. Each
 distinct fingerprint goes, for each choice of two blocks, to the group of those with the same bits
 there: this masked pattern is the top node of an index. Below it, a task sorts the group by Gray
 rank, so that neighbours share bits, and factors the bits that all members of a run share into a
-node, run upon run. Two nodes whose shared bits already differ in more than DISTANCE places are
+node, run upon run. Two nodes whose shared bits already differ in more than d places are
 dropped with all below them; the rest meet level by level down to single fingerprints. A group
 sends on one link from each member to its part's least member, never all pairs; a group of more
 than GROUP_ROWS is dealt into parts that meet two by two.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomlight.llm.shared import cut, sized
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
-BLOCKS, GROUP_ROWS, FAN = 6, 4096, 8
+GROUP_ROWS, FAN = 4096, 8
 #: Node pairs expanded at once in a task.
 FRONTIER = 1 << 18
 
@@ -59,7 +59,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, schema)
 
 
-def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """Each choice of blocks - distance blocks of bits, as a signed 64-bit mask."""
     bounds = np.linspace(0, 64, blocks + 1).astype(int).tolist()
     parts = [(1 << b) - (1 << a) for a, b in zip(bounds, bounds[1:])]
@@ -139,33 +139,35 @@ def parts(n: int, pairs) -> np.ndarray:
     return label
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of column fp that connect exactly those which chains of steps of at most distance bits connect."""
-    chosen = masks(BLOCKS, distance)
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("t", "key"))
+def _meetings(fps: DataFrame, distance: int, found) -> DataFrame:
+    """What found yields for the groups of the distinct fingerprints fps (fp, tag): pairs (a, b) of fingerprints.
+
+    found takes an Index, the fingerprints and their tags, and yields two arrays of places.
+    """
+    chosen = masks(distance + 2, distance)
+    keyed = fps.select("fp", "tag", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("t", "key"))
     large = cut(keyed.groupBy("t", "key").count().where(F.col("count") > GROUP_ROWS).select("t", "key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("n")))
     dealt = keyed.join(sized(large, 40), ["t", "key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     meet = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda other: F.least(own, other) * F.col("n") + F.greatest(own, other))
     )
-    grouped = dealt.select("t", "key", "fp", F.explode(meet).alias("part")).repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
+    grouped = dealt.select("t", "key", "fp", "tag", F.explode(meet).alias("part")).repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def close():
             rows = pa.Table.from_batches(held)
-            t, key, part, fp = (rows.column(c).to_numpy() for c in ("t", "key", "part", "fp"))
+            t, key, part, fp, tag = (rows.column(c).to_numpy() for c in ("t", "key", "part", "fp", "tag"))
             group = np.concatenate([[0], np.cumsum((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1]))])
             size = np.bincount(group)
             kept = size[group] > 1
-            group, fp = group[kept], fp[kept].view(np.uint64)
+            group, fp, tag = group[kept], fp[kept].view(np.uint64), tag[kept]
             if len(fp):
-                label = parts(len(fp), Index(group, fp).pairs(distance))
-                linked = label != np.arange(len(fp))
-                fp = fp.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], names=["a", "b"])
+                index, signed = Index(group, fp), fp.view(np.int64)
+                for a, b in found(index, signed, tag):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -184,7 +186,30 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield from close()
 
-    return grouped.select("t", "key", "part", "fp").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select("t", "key", "part", "fp", "tag").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of column fp that connect exactly those which chains of steps of at most distance bits connect: of each, to the least of its part of a group."""
+
+    def stars(index, fp, tag):
+        label = parts(len(fp), index.pairs(distance))
+        linked = np.flatnonzero(label != np.arange(len(fp)))
+        yield linked, label[linked]
+
+    return _meetings(fps.select("fp", F.lit(0).cast("long").alias("tag")), distance, stars)
+
+
+def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints fps (fp, tag) that differ in at most distance bits and have different tags or a tag of zero."""
+
+    def pairs(index, fp, tag):
+        for a, b in index.pairs(distance):
+            apart = (tag[a] != tag[b]) | (tag[a] == 0)
+            a, b = a[apart], b[apart]
+            yield np.where(fp[a] < fp[b], a, b), np.where(fp[a] < fp[b], b, a)
+
+    return _meetings(fps, distance, pairs)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,9 +253,3 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     merged = cut(smallest.where("n > 1").drop("n"))
     named = cut(placed.join(sized(merged, 40), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without those that a document with a smaller doc_id is linked to; rows that share a doc_id are one document, and rows without one stay."""
-    found = near_duplicates(documents).where("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(sized(cut(found), 24), "doc_id", "left_anti").select(*documents.columns)

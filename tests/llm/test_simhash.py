@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from loomlight.llm import simhash
+from loomlight.llm import copies, simhash
 from tests.llm import nasty
 
 
@@ -89,4 +89,4 @@ def test_one_of_each_group_stays(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(4, text), (2, text), (9, text.upper()), (7, "something else entirely here now"), (None, "kept without an id at all")]
     df = spark.createDataFrame(rows, nasty.SCHEMA)
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["2", "7", "None"]
+    assert sorted(str(r.doc_id) for r in copies.keep_one(df).collect()) == ["2", "7", "None"]
