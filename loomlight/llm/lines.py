@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.shared import cut, sized
+from loomlight.llm.shared import cut, sized, stored
 
 #: Default of near_words: lines of fewer words are removed as exact repeats only, as one word in five is the least similarity that the bound of one word allows.
 NEAR_WORDS = 5
@@ -31,9 +31,7 @@ _ALONE = r"([\x{E01}-\x{EDF}\x{1000}-\x{109F}\x{1780}-\x{17D3}\x{3005}-\x{3007}\
 
 def spaced(text: Column) -> Column:
     """A text in lower case, with a space for other white space (but line ends) and around characters that stand alone."""
-    low = F.lower(text)
-    # translate takes a look-up for each character: only where there is something to replace
-    low = F.when(low.rlike(f"[{_SPACES}]"), F.translate(low, _SPACES, " " * len(_SPACES))).otherwise(low)
+    low = F.translate(F.lower(text), _SPACES, " " * len(_SPACES))
     return F.when(F.octet_length(text) > F.length(text) + 1, F.regexp_replace(low, _ALONE, " $1 ")).otherwise(low)
 
 
@@ -71,7 +69,9 @@ def _place() -> Column:
 
 def _occurrences(documents: DataFrame, doc_id: str, text: str, shortest: int, near_words: int) -> DataFrame:
     """id, t, line, the line's identity (h1, h2) and, of lines of at least near_words words, the keys of its ends."""
-    lines = documents.select(*_document(doc_id, text), F.posexplode(F.split(spaced(F.col(text)), "\n", -1)).alias("line", "raw"))
+    # a select of its own: beside the generator, the text would be hashed for every line
+    docs = documents.select(*_document(doc_id, text), spaced(F.col(text)).alias("low"))
+    lines = docs.select("id", "t", F.posexplode(F.split("low", "\n", -1)).alias("line", "raw"))
     lines = lines.select("id", "t", "line", tidy(F.col("raw")).alias("s"))
     n = F.when(F.col("s") == "", 0).otherwise(F.length("s") - F.length(F.replace("s", F.lit(" "))) + 1)
     lines = lines.select("id", "t", "line", "s", n.alias("n")).where(F.col("n") >= max(1, shortest))
@@ -85,10 +85,11 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     not be kept itself. Lines of fewer words than near_words (2 at least) go as exact repeats only,
     those of fewer than shortest (at least 1) never: blank lines stay.
     """
-    occurrences = cut(_occurrences(documents, doc_id, text, shortest, max(2, near_words)))
-    distinct = cut(occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("ends").alias("ends")))
+    occurrences = stored(_occurrences(documents, doc_id, text, shortest, max(2, near_words)), "lines")
+    keys = occurrences.select("h1", F.explode("ends").alias("key"))
+    occurrences = occurrences.drop("ends")
+    distinct = stored(occurrences.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-lines")
 
-    keys = distinct.select("h1", F.explode("ends").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("key"))
     partnered = cut(keys.join(sized(shared, 16), "key", "left_semi").select("h1").distinct())
     first = distinct.join(sized(partnered, 16), "h1", "left_semi").select("h1", "first.*")
@@ -113,7 +114,7 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doubtful = distinct.join(sized(late, 16).withColumn("near", F.lit(True)), "h1", "left").where("copies > 1 or near")
     doubtful = doubtful.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # doubtful and removed lines grow with the corpus: both are shuffled at every size
-    gone = occurrences.select("id", "t", "line", "h1", "h2").join(doubtful, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
+    gone = occurrences.join(doubtful, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
     return gone.groupBy("id", "t").agg(F.collect_list("line").alias("removed"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset (tests). Raises RuntimeError on a cluster without one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomlight-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -34,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df computed once and kept as a Parquet table in the shared folder: for large tables, of which a checkpoint takes several times the space."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized(df: DataFrame, row_bytes: int, array: str | None = None, entry_bytes: int = 8) -> DataFrame:
     """df (already cut, so that counting is cheap) with a broadcast hint if its size is proven small; a column of arrays adds entry_bytes for each entry."""
     if array is None:
