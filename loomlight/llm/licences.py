@@ -1,19 +1,26 @@
 """Licence statements by sparse TF-IDF cosine to templates, and inheritance from licence files of ancestor directories.
 
-Every line of a text that holds a cue is a segment. So are, in the header (the comment a file begins
-with) and in licence files, the whole and each run of two to four lines, as notices are wrapped. Segments and templates are bags of words;
-weights are term frequency times inverse document frequency over all cue lines, counted for the
-templates' words (a word outside every template adds to a segment's length with the largest
-weight). A segment declares the licence of the most similar template from COSINE on; a GPL or LGPL
-version only if it names that version. A file without
-a declaration takes that of the licence file in its nearest ancestor directory.
+Three kinds of segments are compared with the templates: every line of a text; the header (the
+comment that a file begins with) and its runs of two to four lines, as notices are wrapped; and
+licence files as wholes and in such runs. Segments and templates are bags of words; weights are
+term frequency times inverse document frequency over all files, counted for the templates' words
+(a word outside every template adds to a segment's length with the largest weight). A segment
+declares the licence of the most similar template from COSINE on; a GPL or LGPL version only if it
+names that version. A licence file that resembles a text as a whole declares that one. A file
+without a declaration takes that of the licence file in its nearest ancestor directory.
+
+A segment can only reach COSINE with a template if it shares a word of the template's cover: the
+fewest of its heaviest words without which too little weight is left. Texts, lines and runs without
+a word of a cover are left out before any bag is made; that drops nothing.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import math
+import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.llm.shared import cut, sized
@@ -21,43 +28,103 @@ from loomlight.llm.shared import cut, sized
 COSINE = 0.6
 #: Lines at the head of a file that are taken for its header.
 HEADER_LINES = 5
-CUES = r"(?i)licen[sc]e|copyright|spdx|redistribution|warranty|public domain|permission is hereby granted"
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)(\.\w+)?$"
-#: Notices that licences ask for, in short; fixed values.
-TEMPLATES = {
+#: Notices that licences ask for, in short, sought in every line; fixed values.
+NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "This program is free software: you can redistribute it under the terms of the GNU General Public License version 3"],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
 }
-
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+#: Texts of licences, or the paragraphs that they and the headers they ask for begin with, sought in headers and licence files; fixed values.
+TEXTS = {
+    "MIT": [
+        "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY,
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ],
+    "GPL-3.0": [_FREE.format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _VERBATIM],
+    "GPL-2.0": [_FREE.format("General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. " + _VERBATIM],
+    "AGPL-3.0": [_FREE.format("Affero General Public License", 3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _VERBATIM],
+    "LGPL-3.0": [_FREE.format("Lesser General Public License", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _VERBATIM],
+    "BSD-3-Clause": [" ".join(("BSD 3-Clause License Copyright (c) All rights reserved.", _REDISTRIBUTION, "1.", _SOURCE, "2.", _BINARY, "3.", _NAMES)), _NAMES],
+    "BSD-2-Clause": [" ".join(("BSD 2-Clause License Copyright (c) All rights reserved.", _REDISTRIBUTION, "1.", _SOURCE, "2.", _BINARY)), " ".join((_REDISTRIBUTION, "1.", _SOURCE))],
+    "ISC": ["ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0 1. Definitions",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+}
 
 #: Terms of which one must be in a segment that declares the licence.
 VERSIONS = {
-    "GPL-3.0": ["3", "3.0", "v3", "v3.0", "gpl3", "gplv3"],
-    "GPL-2.0": ["2", "2.0", "v2", "v2.0", "gpl2", "gplv2"],
-    "LGPL-3.0": ["3", "3.0", "v3", "v3.0", "lgpl3", "lgplv3"],
+    "GPL-3.0": ["3", "v3", "gpl3", "gplv3"],
+    "GPL-2.0": ["2", "v2", "gpl2", "gplv2"],
+    "LGPL-3.0": ["3", "v3", "lgpl3", "lgplv3"],
+    "AGPL-3.0": ["3", "v3", "agpl3", "agplv3"],
+    "BSD-3-Clause": ["3", "three", "neither"],
 }
+#: A licence file that is so similar to a text as a whole declares that one, whatever its parts resemble.
+WHOLE = 0.9
 #: Lines that are joined to one segment where notices are wrapped.
 RUNS = (2, 3, 4)
 _COMMENT = r"^\s*(#|//|/\*|\*|--|;|%|<!--)"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+#: ASCII but digits and small letters.
+_MARKS = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islower()))
+
+
+def _pieces(text: Column) -> Column:
+    """terms, with empty strings between: in ASCII texts without a pattern's cost."""
+    low = F.lower(text)
+    return F.split(F.when(F.octet_length(text) == F.length(text), F.translate(low, _MARKS, " " * len(_MARKS))).otherwise(F.regexp_replace(low, "[^a-z0-9]+", " ")), " ")
 
 
-def segments(files: DataFrame, text: str) -> DataFrame:
-    """row, line and the terms of every line with a cue; row is the file's column `row`."""
-    lines = files.where(F.col(text).rlike(CUES)).select("row", F.posexplode(F.split(text, "\n", -1)).alias("line", "s")).where(F.col("s").rlike(CUES))
-    return lines.select("row", "line", terms(F.col("s")).alias("terms"))
+def cover(weights: dict[str, float]) -> list[str]:
+    """The fewest words of a template, by their weights, of which every bag at COSINE holds one: by Cauchy, what it lacks may make up 1 - COSINE ** 2 of the squares."""
+    left, out = sum(w * w for w in weights.values()), []
+    least = COSINE * COSINE * left * (1 - 1e-4)
+    for term in sorted(weights, key=lambda t: (-weights[t], t)):
+        if left < least:
+            break
+        out.append(term)
+        left -= weights[term] ** 2
+    return out
+
+
+def _holding(words: list[str]) -> str:
+    return r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(words)) + r")(?![A-Za-z0-9])"
+
+
+def segments(files: DataFrame, text: str, pattern: str) -> DataFrame:
+    """row, line and the terms of every line with a match of pattern; row is the file's column `row`."""
+    lines = files.where(F.col(text).rlike(pattern)).select("row", F.posexplode(F.split(text, "\n", -1)).alias("line", "s")).where(F.col("s").rlike(pattern))
+    return lines.select("row", "line", F.lit(False).alias("whole"), terms(F.col("s")).alias("terms"))
 
 
 def header(text: Column) -> Column:
@@ -70,61 +137,65 @@ def header(text: Column) -> Column:
     return F.when(a, x).when(b, y).otherwise(leading)
 
 
-def blocks(files: DataFrame, text: str, whole: Column) -> DataFrame:
-    """row, line and terms of runs of lines and of the whole, in files' headers or, where whole holds, texts."""
-    block = F.when(whole, F.col(text)).otherwise(header(F.col(text)))
-    rows = files.where(F.col(text).rlike(CUES)).select("row", block.alias("block")).where(F.col("block").rlike(CUES))
+def blocks(files: DataFrame, text: str, whole: Column, pattern: str) -> DataFrame:
+    """row, line, whole and terms of runs of lines and of the whole, in files' headers or, where whole holds, texts."""
+    # the anchored test spares the lines of texts that begin with no comment
+    rows = files.where(whole | F.col(text).rlike(_COMMENT)).select("row", whole.alias("all"), F.when(whole, F.col(text)).otherwise(header(F.col(text))).alias("block"))
+    rows = rows.where(F.col("block").rlike(pattern))
     lines = F.filter(F.transform(F.split("block", "\n", -1), lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: F.trim(x["s"]) != "")
-    rows = rows.select("row", lines.alias("lines")).where(F.size("lines") > 1)
-    joined = lambda i, n: F.struct(F.get("lines", i)["line"].alias("line"), F.array_join(F.slice(F.col("lines")["s"], i + 1, n), " ").alias("s"))
-    runs_of = lambda n: F.transform("lines", lambda _, i: joined(i, F.lit(n)))
+    rows = rows.select("row", "all", lines.alias("lines")).where(F.size("lines") > 0)
+    joined = lambda i, n, w: F.struct(F.get("lines", i)["line"].alias("line"), w.alias("whole"), F.array_join(F.slice(F.col("lines")["s"], i + 1, n), " ").alias("s"))
+    runs_of = lambda n: F.transform("lines", lambda _, i: joined(i, F.lit(n), F.lit(False)))
     runs = [runs_of(n) for n in RUNS]
-    runs.append(F.array(joined(F.lit(0), F.size("lines"))))
-    found = rows.select("row", F.explode(F.concat(*runs)).alias("x")).where(F.col("x.s").rlike(CUES))
-    return found.select("row", "x.line", terms(F.col("x.s")).alias("terms")).distinct()
+    runs.append(F.array(joined(F.lit(0), F.size("lines"), F.col("all"))))
+    found = rows.select("row", F.explode(F.concat(*runs)).alias("x")).where(F.col("x.s").rlike(pattern))
+    return found.select("row", "x.line", "x.whole", terms(F.col("x.s")).alias("terms")).distinct()
 
 
 def declared(files: DataFrame, text: str = "text", whole: Column | None = None) -> DataFrame:
     """row, licence, cosine, in_header: for each file with a declaration its most similar one; equal ones go to the earlier line, then the licence's name.
 
-    Texts of rows where whole holds are compared as a whole too. Inverse document frequencies count
-    the cue lines of all files. Only words of the templates, of
-    which there are a fixed number, are gathered.
+    Texts of rows where whole holds are compared as a whole too, and such a match of at least WHOLE
+    goes first. Inverse document frequencies count all files, for the words of the templates, of
+    which there are a fixed number.
     """
     spark = files.sparkSession
-    found = cut(segments(files, text))
-    known = [(f"{name}#{k}", name, t) for name, texts in TEMPLATES.items() for k, t in enumerate(texts)]
-    templates = spark.createDataFrame(known, "template string, licence string, s string").select("template", "licence", F.explode(terms(F.col("s"))).alias("term"))
-    words = sorted({r["term"] for r in templates.select("term").distinct().collect()})
-    seen = found.select(F.explode(F.array_distinct("terms")).alias("term")).where(F.col("term").isin(words)).groupBy("term").count().collect()
-    n = found.count() + len(known)
-    df = {r["term"]: r["count"] for r in seen}
-    idf = F.create_map(*(F.lit(x) for x in chain.from_iterable((w, float(_idf(n, df.get(w, 0)))) for w in words)))
-    rare = F.lit(float(_idf(n, 0)))
-    weight = lambda term: F.coalesce(F.try_element_at(idf, term), rare)
-    by_template = templates.groupBy("template", "licence", "term").count().withColumn("w", F.col("count") * weight(F.col("term")))
-    norms = by_template.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = by_template.join(norms, "template").select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("tw"))
+    known = [(f"{name}#{kind}{k}", name, t) for kind, group in (("n", NOTICES), ("t", TEXTS)) for name, texts in group.items() for k, t in enumerate(texts)]
+    bags_of = {t: Counter(re.findall("[a-z0-9]+", s.lower())) for t, _, s in known}
+    words = sorted(set().union(*bags_of.values()))
+    present = files.select(F.array_intersect(_pieces(F.col(text)), F.lit(words)).alias("present"))
+    seen = present.select(F.explode_outer("present").alias("term")).groupBy("term").count().collect()
+    n = files.count()
+    df = {r["term"]: r["count"] for r in seen if r["term"] is not None}
+    idf = {w: _idf(n, df.get(w, 0)) for w in words}
+    rare = _idf(n, 0)
+    vectors = {t: {w: c * idf[w] for w, c in bag.items()} for t, bag in bags_of.items()}
+    covers = {t: cover(v) for t, v in vectors.items()}
+    in_lines = _holding(sorted({w for t, c in covers.items() if "#n" in t for w in c}))
+    in_blocks = _holding(sorted({w for c in covers.values() for w in c}))
+    postings = [(w, t, name, x / math.sqrt(sum(y * y for y in vectors[t].values()))) for t, name, _ in known for w, x in vectors[t].items()]
+    postings = spark.createDataFrame(postings, "term string, template string, licence string, tw double")
+    weights = F.create_map(*(F.lit(x) for pair in idf.items() for x in pair))
+    weight = lambda term: F.coalesce(F.try_element_at(weights, term), F.lit(rare))
+    found = segments(files, text, in_lines).union(blocks(files, text, F.lit(False) if whole is None else F.coalesce(whole, F.lit(False)), in_blocks))
     # a segment's key: the runs of several lengths begin at the same line
-    found = found.union(cut(blocks(files, text, F.lit(False) if whole is None else F.coalesce(whole, F.lit(False)))))
-    found = found.select("row", F.struct("line", F.xxhash64("terms").alias("h")).alias("line"), "terms").distinct()
+    found = cut(found.select("row", F.struct("line", F.xxhash64("terms").alias("h"), "whole").alias("line"), "terms").distinct())
     versions = [(F.col("licence") != name) | F.arrays_overlap("terms", F.array(*map(F.lit, named))) for name, named in VERSIONS.items()]
     bags = found.select("row", "line", F.explode("terms").alias("term")).groupBy("row", "line", "term").count()
     bags = bags.withColumn("w", F.col("count") * weight(F.col("term")))
     lengths = bags.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = bags.join(F.broadcast(postings), "term").groupBy("row", "line", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    dots = bags.join(F.broadcast(postings), "term").groupBy("row", "line", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # a fixed number of words
     near = dots.join(lengths, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("cosine") >= COSINE)
     near = near.join(found, ["row", "line"])
     for version in versions:
         near = near.where(version)
-    near = near.withColumn("line", F.col("line.line"))
-    best = near.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "licence")).alias("b"))
+    first = (F.col("line.whole") & (F.col("cosine") >= WHOLE) & F.contains("template", F.lit("#t"))).cast("int")
+    order = F.struct((-first).alias("first"), (-F.col("cosine")).alias("c"), F.col("line.line").alias("line"), "licence")
+    best = near.groupBy("row").agg(F.min(order).alias("b"))
     return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"), (F.col("b.line") < HEADER_LINES).alias("in_header"))
 
 
 def _idf(n: int, df: int) -> float:
-    import math
-
     return math.log((1 + n) / (1 + df)) + 1
 
 

@@ -19,15 +19,24 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+#: What makes a document of op2 a licence file, if its header holds it.
+NOTICE = r"(?i)licen[sc]e|copyright|spdx|redistribution|warranty|public domain|permission is hereby granted"
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a directory for each source and language, and below it one for each hundred ids whose own id doesn't end in 0. One with a licence statement in its header is the licence file of its directory."""
+    """Documents as files: a directory for each source and language, and below it one for each hundred ids whose own id doesn't end in 0. One with a licence statement in its header is the licence file of its directory.
+
+    A null source or language leaves that directory out; rows without an id are nameless files of
+    theirs, and repeated rows give repeated rows. Null and empty texts declare nothing.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = F.concat_ws("/", "source", "lang", F.when(F.col("doc_id") % 10 != 0, F.floor(F.col("doc_id") / 100).cast("string")))
     header = F.array_join(F.slice(F.split(F.col("text"), "\n", -1), 1, licences.HEADER_LINES), "\n")
-    name = F.concat(F.when(header.rlike(licences.CUES), F.lit("LICENSE.")).otherwise(F.lit("file.")), F.col("doc_id").cast("string"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    name = F.concat(F.when(header.rlike(NOTICE), F.lit("LICENSE.")).otherwise(F.lit("file.")), own)
     found = licences.resolve(docs.select(F.concat_ws("/", folder, name).alias("path"), "text"))
-    doc_id = F.substring_index("path", ".", -1).cast("long").alias("doc_id")
-    return found.select(doc_id, "path", "licence", "cosine", "declared", F.substring_index("inherited_from", ".", -1).cast("long").alias("inherited_from"), "steps")
+    number = lambda path: F.substring_index(path, ".", -1).try_cast("long")
+    return found.select(number("path").alias("doc_id"), "path", "licence", "cosine", "declared", number("inherited_from").alias("inherited_from"), "steps")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,31 +10,39 @@ SCHEMA = "path string, text string, licence string, row string, leaf string"
 
 
 def terms(s):
-    return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", s.lower())
+    return re.findall("[a-z0-9]+", s.lower())
 
 
 def brute(files):
-    segments = {(p, t): [(n, terms(s)) for n, s in enumerate((t or "").split("\n")) if re.search(licences.CUES, s)] for p, t in files}
-    templates = [(name, terms(t)) for name, ts in licences.TEMPLATES.items() for t in ts]
-    words = {w for _, t in templates for w in t}
-    every = [s for p, t in files for _, s in segments[p, t]]
-    n = len(every) + len(templates)
-    df = Counter(w for s in every for w in set(s) if w in words)
+    """Every line against the notices, and licence files as wholes and in runs against all templates, without any choice of lines."""
+    notices, texts = ([(name, terms(t)) for name, ts in group.items() for t in ts] for group in (licences.NOTICES, licences.TEXTS))
+    segments = {}
+    for p, t in files:
+        rows = (t or "").split("\n")
+        segments[p, t] = [(n, terms(s), notices + texts, False) for n, s in enumerate(rows)]
+        if p is not None and re.search(licences.FILE_NAMES, p.split("/")[-1]):
+            full = [(n, s) for n, s in enumerate(rows) if s.strip(" ")]
+            runs = [full[k : k + n] for k in range(len(full)) for n in licences.RUNS]
+            segments[p, t] += [(r[0][0], terms(" ".join(s for _, s in r)), notices + texts, False) for r in runs]
+            segments[p, t] += [(full[0][0], terms(" ".join(s for _, s in full)), notices + texts, True)] if full else []
+    words = {w for _, t in notices + texts for w in t}
+    n = len(files)
+    df = Counter(w for _, t in files for w in set(terms(t or "")) if w in words)
     idf = lambda w: math.log((1 + n) / (1 + (df[w] if w in words else 0))) + 1
     vector = lambda t: {w: c * idf(w) for w, c in Counter(t).items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
     own = {}
     for key, found in segments.items():
         best = []
-        for line, s in found:
+        for line, s, templates, whole in found:
             v = vector(s)
             for name, t in templates:
                 u = vector(t)
                 cos = round(sum(x * u.get(w, 0) for w, x in v.items()) / (size(u) * size(v)), 6) if v else 0
-                if cos >= licences.COSINE:
-                    best.append((-cos, line, name))
+                if cos >= licences.COSINE and not (name in licences.VERSIONS and not set(s) & set(licences.VERSIONS[name])):
+                    best.append((-(whole and cos >= licences.WHOLE and (name, t) in texts), -cos, line, name))
         if best:
-            own[key] = (min(best)[2], -min(best)[0])
+            own[key] = (min(best)[3], -min(best)[1])
     notices = {}
     for (p, t), (name, cos) in own.items():
         if p is not None and re.search(licences.FILE_NAMES, p.split("/")[-1]):
@@ -59,7 +67,7 @@ def run(spark, files):
     return sorted(((r.path, r.licence, r.declared, r.inherited_from, r.steps) for r in got), key=str)
 
 
-MIT, APACHE, GPL = (licences.TEMPLATES[k][0] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
+MIT, APACHE, GPL = (licences.NOTICES[k][0] for k in ("MIT", "Apache-2.0", "GPL-3.0"))
 FILES = [
     ("LICENSE", MIT), ("a/LICENSE.txt", APACHE), ("a/b/c/file.py", "code\nmore"), ("a/b/c/own.py", f"x\n{GPL}\ny"), ("z/file", None), ("z/y/COPYING", "copyright nobody knows what"), ("z/y/f", ""),
     ("a/NOTICE", GPL), ("a/f", "Licensed under the Apache license version 2.0"), (None, "text"), (None, MIT), ("a/f", "Licensed under the Apache license version 2.0"), ("deep/" * 12 + "f", "no"), ("q/LICENSE", MIT), ("q/LICENSE", MIT), ("q/r/f", "x"), ("", "t"),
