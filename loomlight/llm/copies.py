@@ -1,16 +1,15 @@
 """SimHash near-duplicates by resemblance: documents whose sets of five-word shingles have a Jaccard coefficient of at least LEAST.
 
-The index of simhash proposes: two fingerprints of each text's words, one of the distinct words and
-one of all, link in it at DISTANCE or fewer differing bits. Words, not shingles, are printed since
-one changed word changes five shingles: shingles' fingerprints of texts at LEAST differ in 10 bits
-on average. The sets of shingles decide on every link. Candidates first meet the least member of
+The index of simhash proposes: two fingerprints of each text's distinct words link in it at
+DISTANCE or fewer differing bits. Words, not shingles, are printed since one changed word changes
+five shingles: shingles' fingerprints of texts at LEAST differ in 10 bits on average. Each word
+counts once, as frequent words would make all texts of a language alike. The sets of shingles
+decide on every link. Candidates first meet the least member of
 their group; only those that this leaves in different components meet each other.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,19 +44,16 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def prints(text: str | None) -> list[int]:
-    """Two signed fingerprints: of the distinct words, each once, and of all words; none without words."""
-    counts = Counter(_words(text))
-    if not counts:
+    """Two signed fingerprints of a text's distinct words, by two hashes; none without words."""
+    words = set(_words(text))
+    if not words:
         return []
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-    times = np.fromiter(counts.values(), np.int64, len(counts))
-    out = []
-    for weights, mixed in ((np.ones(len(times), np.int64), hashes), (times, (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15))):
+    hashes, out = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words)), []
+    for mixed in (hashes, (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)):
         total = np.zeros(64, np.int64)
         for k in range(0, len(mixed), _STEP):
-            bits = np.unpackbits(mixed[k : k + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total += weights[k : k + _STEP] @ bits
-        out.append(int(np.packbits(total * 2 > weights.sum(), bitorder="little").view("<i8")[0]))
+            total += np.unpackbits(mixed[k : k + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(total * 2 > len(mixed), bitorder="little").view("<i8")[0]))
     return out
 
 

@@ -92,26 +92,30 @@ def duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     shared = cut(keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("key"))
     partnered = cut(keys.join(sized(shared, 16), "key", "left_semi").select("h1").distinct())
-    first = distinct.join(sized(partnered, 16), "h1", "left_semi").select("h1", "first.*")
-    wanted = cut(first.groupBy("id", "t").agg(F.collect_list(F.struct("line", "h1")).alias("wanted")))
+    # pos orders lines as their places do, in one number: ids ascend within and along the sorted partitions
+    first = distinct.join(sized(partnered, 16), "h1", "left_semi").select("h1", "h2", "first").sort("first").withColumn("pos", F.monotonically_increasing_id())
+    first = cut(first.select("h1", "h2", "pos", "first.*"))
+    wanted = cut(first.groupBy("id", "t").agg(F.collect_list(F.struct("line", "pos")).alias("wanted")))
     # null ids meet too: a struct that holds a null is not null
     doc = F.struct("id", "t").alias("doc")
-    found = documents.select(F.struct(*_document(doc_id, text)).alias("doc"), F.col(text).alias("text")).join(sized(wanted.select(doc, "wanted"), 64, "wanted", 40), "doc")
-    found = found.select("doc.*", "wanted", F.split("text", "\n", -1).alias("lines"))
-    found = found.select("id", "t", F.inline(F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), w["h1"].alias("h1"), F.get("lines", w["line"]).alias("s")))))
-    found = found.select("h1", _place().alias("first"), words_of(F.col("s")).alias("words")).dropDuplicates(["h1"])
+    found = documents.select(F.struct(*_document(doc_id, text)).alias("doc"), F.col(text).alias("text")).join(sized(wanted.select(doc, "wanted"), 64, "wanted", 24), "doc")
+    found = found.select("wanted", F.split("text", "\n", -1).alias("lines"))
+    found = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["pos"].alias("pos"), F.get("lines", w["line"]).alias("s")))))
+    # rows that repeat a document bring its lines again
+    found = found.select("pos", words_of(F.col("s")).alias("words")).dropDuplicates(["pos"])
     held = cut(_mixed(found.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))))
 
-    variants = held.select("h1", "first", F.posexplode(_variants()).alias("i", "v"))
-    replaced = variants.groupBy("v", "i").agg(F.min("first").alias("by"), F.max("first").alias("latest")).where("by < latest").drop("latest")
-    near = variants.join(cut(replaced), ["v", "i"]).where("by < first").select("h1", "by")
-    grown = cut(variants.select("h1", "first", "v").join(held.select(F.col("all").alias("v"), F.col("h1").alias("short"), F.col("first").alias("whole")), "v"))
-    near = near.union(grown.where("whole < first").select("h1", F.col("whole").alias("by")))
-    near = near.union(grown.groupBy("short").agg(F.min("first").alias("by"), F.first("whole").alias("whole")).where("by < whole").select("short", "by"))
-    pairs = near.distinct().join(held.select("h1", "words"), "h1").join(held.select(F.col("first").alias("by"), F.col("words").alias("other")), "by")
-    late = cut(pairs.where(within_one(F.col("words"), F.col("other"))).select("h1").distinct())
-
-    doubtful = distinct.join(sized(late, 16).withColumn("near", F.lit(True)), "h1", "left").where("copies > 1 or near")
+    variants = held.select("pos", F.posexplode(_variants()).alias("i", "v"))
+    replaced = variants.groupBy("v", "i").agg(F.min("pos").alias("by"), F.max("pos").alias("latest")).where("by < latest").drop("latest")
+    near = variants.join(cut(replaced), ["v", "i"]).where("by < pos").select("pos", "by")
+    grown = cut(variants.select("pos", "v").join(held.select(F.col("all").alias("v"), F.col("pos").alias("short")), "v").select("pos", "short"))
+    near = near.union(grown.where("short < pos").select("pos", F.col("short").alias("by")))
+    near = near.union(grown.groupBy("short").agg(F.min("pos").alias("by")).where("by < short").select("short", "by"))
+    pairs = near.distinct().join(held.select("pos", "words"), "pos").join(held.select(F.col("pos").alias("by"), F.col("words").alias("other")), "by")
+    late = pairs.where(within_one(F.col("words"), F.col("other"))).select("pos").distinct()
+    late = cut(first.join(late, "pos", "left_semi").select("h1", "h2"))
+
+    doubtful = distinct.join(sized(late, 24).withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 or near")
     doubtful = doubtful.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # doubtful and removed lines grow with the corpus: both are shuffled at every size
     gone = occurrences.join(doubtful, ["h1", "h2"]).where(F.col("near") | (_place() != F.col("first")))
