@@ -30,6 +30,13 @@ def _nth(place: Column) -> Column:
     return F.min(F.when(F.col("upto") > place, F.col("value")))
 
 
+def _between(p: float) -> Column:
+    """The value at place (n - 1) p, linear between places, over _counted rows of a group."""
+    at = (F.col("n") - 1) * F.lit(p)
+    low, high = _nth(F.floor(at)), _nth(F.least(F.floor(at) + 1, F.col("n") - 1))
+    return low + F.first(at - F.floor(at)) * (high - low)
+
+
 def percentile_by_place(df: DataFrame, group: str, value: str, p: float) -> DataFrame:
     """group, disc, cont: the value at place floor(n p) of the sorted values (the last at most), and the one between places around n p."""
     at, last = F.col("n") * F.lit(p), F.col("n") - 1
@@ -41,10 +48,9 @@ def percentile_by_place(df: DataFrame, group: str, value: str, p: float) -> Data
 
 
 def latency(df: DataFrame, group: str, value: str) -> DataFrame:
-    """group, p50, p95, p99 (linear between places), mean, least, most."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p")
-    found = df.groupBy(group).agg(p, F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
-    return found.select(group, *(F.get("p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((50, 95, 99))), "mean", "least", "most")
+    """group, p50, p95, p99 (linear between places), mean, least, most, from counts of equal values."""
+    mean = (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean")
+    return _counted(df, group, value).groupBy(group).agg(*(_between(q / 100).alias(f"p{q}") for q in (50, 95, 99)), mean, F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def describe(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -88,7 +94,7 @@ def bootstrap(df: DataFrame, group: str, value: str, key: str, resamples: int =
 
 def outliers(df: DataFrame, group: str, value: str, factor: float = 1.5) -> DataFrame:
     """Rows beyond factor times the quartiles' distance, of groups with four values at least."""
-    q = df.groupBy(group).agg(F.percentile(value, 0.25).alias("_a"), F.percentile(value, 0.75).alias("_b"), F.count(value).alias("_n")).where("_n >= 4")
+    q = _counted(df, group, value).groupBy(group).agg(_between(0.25).alias("_a"), _between(0.75).alias("_b"), F.first("n").alias("_n")).where("_n >= 4")
     reach = factor * (F.col("_b") - F.col("_a"))
     return df.join(sized(q), group).where((F.col(value) < F.col("_a") - reach) | (F.col(value) > F.col("_b") + reach)).drop("_a", "_b", "_n")
 

@@ -25,12 +25,17 @@ def ranked(df: DataFrame, source: str, k: int, *order: Column | str, key: str) -
 
 
 def reciprocal(lists: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
-    """id and rrf, the sum of weight / (k + rank) over the lists; hits, and sources in order of name. Lists without a weight count 1."""
+    """id and rrf, the sum of weight / (k + rank) over the lists; hits, and sources in order of name; where lists have scores, a map of them by source too. Lists without a weight count 1."""
     weight = F.lit(1.0)
     if weights:
         weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("source")), F.lit(1.0))
     part = weight / (k + F.col("rank"))
-    return lists.groupBy(*by, "id").agg(F.sum(part).alias("rrf"), F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("source")).alias("sources"))
+    # a source lists an id once; of repeats the best score stays
+    scores = lambda x: F.map_from_entries(F.transform(F.col("sources"), lambda s: F.struct(s, F.array_max(F.transform(F.filter(x, lambda e: e["source"] == s), lambda e: e["score"])))))
+    kept = ["_scores"] if "score" in lists.columns else []
+    held = [F.collect_list(F.struct("source", F.col("score").cast("double").alias("score"))).alias("_scores")] if kept else []
+    out = lists.groupBy(*by, "id").agg(F.sum(part).alias("rrf"), F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("source")).alias("sources"), *held)
+    return out.withColumn("scores", scores("_scores")).drop("_scores") if kept else out
 
 
 def by_rank(lists: DataFrame, weights: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

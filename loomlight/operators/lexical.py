@@ -5,11 +5,11 @@ Documents without tokens don't count. k1 and b are the usual 1.5 and 0.75. Ties
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
-from loomlight.operators.common import cut, sized, top_k_per
+from loomlight.operators.common import cut, sized, stored, top_k_per
 
 K1, B = 1.5, 0.75
 
@@ -45,17 +45,20 @@ def asked(queries: DataFrame, query_id: str, text: str, first: int | None = None
 def search(bag: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The k best documents for each query: query_id, key, score, rank. Scores equal in nine places are ties, as sums differ in their last digits by the order of their parts.
 
-    Only tokens that some query holds leave the scan: wanted terms are few and broadcast behind a
-    check of their size.
+    One pass over the texts counts the wanted tokens and, on the way, the documents and their mean
+    length. Only tokens that some query holds leave the scan: wanted terms are few and broadcast
+    behind a check of their size.
     """
     wanted = cut(wanted)
-    terms = wanted.select("term").distinct()
-    hits = bag.select("key", "length", F.explode("tokens").alias("term")).join(sized(terms, 48), "term", "left_semi")
-    tf = cut(hits.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf")))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.crossJoin(F.broadcast(statistics(bag)))  # one row
-    weights = weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "mean_length")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    terms, corpus = wanted.select("term").distinct(), Observation()
+    seen = bag.observe(corpus, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    hits = seen.select("key", "length", F.explode("tokens").alias("term")).join(sized(terms, 48), "term", "left_semi")
+    tf = stored(hits.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    # where no token is found, Spark may drop the pass, and nothing is observed
+    found = {"n": 0, "mean_length": 1.0} if tf.isEmpty() else corpus.get
+    n, mean_length = F.lit(found["n"]), F.lit(found["mean_length"])
+    weights = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(n, F.col("df")).alias("idf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
     scores = tf.join(sized(weights.join(wanted, "term"), 80), "term").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
     return top_k_per(scores, "query_id", k, F.desc(F.round("score", 9)), "key")
 

@@ -65,18 +65,30 @@ def corrective(docs: DataFrame, vectors: DataFrame, query: DataFrame, k: int, ch
     return as_is.unionByName(joined.select(*names, "state")).unionByName(widened)
 
 
-def graph(entities: DataFrame, edges: DataFrame, query: str, depth: int, k: int) -> DataFrame:
-    """Documents of the entities (entity, name, doc_id) that a query names or that lie within `depth` steps of those: doc_id, entities; the first k by id."""
+def graph(entities: DataFrame, edges: DataFrame, query: str, depth: int, k: int, vectors: DataFrame | None = None, near_query: DataFrame | None = None) -> DataFrame:
+    """Documents of the entities (entity, name, doc_id) that a query names or that lie within `depth` steps of those: doc_id, entities; the first k by id.
+
+    With vectors and the query's own (near_query), a query that names no entity falls back to the k
+    nearest documents, with entities 0.
+    """
     seeds = entities.where(F.contains(F.lower(F.lit(query)), F.lower("name"))).select(F.col("entity").alias("node"))
+    if vectors is not None and near_query is not None:
+        seeds = cut(seeds)
+        if seeds.isEmpty():
+            return search.nearest(vectors, near_query, k, key="doc_id").select("doc_id", F.lit(0).cast("long").alias("entities"))
     near = G.neighbourhood(edges, seeds, depth).select("node")
     return G.documents_of(entities, near, k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, wanted: DataFrame, k: int, wide: int = 20) -> DataFrame:
-    """BM25 and cosine lists of `wide` rows each, fused by reciprocal ranks; the k best with their documents."""
+def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, wanted: DataFrame, k: int, wide: int = 20, found: DataFrame | None = None) -> DataFrame:
+    """BM25 and cosine lists of `wide` rows each, and if given one of graph retrieval (doc_id, entities: more first), fused by reciprocal ranks; the k best with their documents."""
     texts = lexical.search(lexical.bags(docs), wanted, wide).select(F.lit("text").alias("source"), F.col("key").alias("id"), "rank")
     near = search.nearest(vectors, query, wide, key="doc_id").select(F.lit("vector").alias("source"), F.col("doc_id").alias("id"), "rank")
-    fused = cut(fusion.ranked(fusion.reciprocal(texts.unionByName(near)).withColumn("score", F.col("rrf")), "rrf", k, F.desc(rounded("score", 9)), "id", key="id"))
+    lists = texts.unionByName(near)
+    if found is not None:
+        of_graph = fusion.ranked(found.withColumn("score", F.col("entities").cast("double")), "graph", wide, F.desc("entities"), "doc_id", key="doc_id")
+        lists = lists.unionByName(of_graph.select("source", "id", "rank"))
+    fused = cut(fusion.ranked(fusion.reciprocal(lists).withColumn("score", F.col("rrf")), "rrf", k, F.desc(rounded("score", 9)), "id", key="id"))
     return docs.join(sized(fused.select(F.col("id").alias("doc_id"), F.col("score").alias("rrf"), "rank"), 32), "doc_id")
 
 

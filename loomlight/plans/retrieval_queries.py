@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from loomlight.functions import text as X
 from loomlight.operators import fusion, lexical, pipelines, search
 from loomlight.operators.common import cut, rounded, top_k
-from loomlight.sources.tables import table
+from loomlight.sources.tables import spread_documents, table
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread_documents(spark, sf)
 
 
 def _asked(spark, sf, items=(0,)):

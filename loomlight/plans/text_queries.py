@@ -10,11 +10,11 @@ from loomlight.operators import entities as N
 from loomlight.operators import evaluation, ontology, search, serving
 from loomlight.operators.common import rounded
 from loomlight.sources import documents, store
-from loomlight.sources.tables import events, table
+from loomlight.sources.tables import events, spread_documents, table
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread_documents(spark, sf)
 
 
 def _questions(spark, sf):

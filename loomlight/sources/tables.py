@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, dealt to all cores where the files are too few or too large to split: texts take long enough for the shuffle to pay."""
+    rows, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with ts as a TIMESTAMP (files hold it without a time zone; the session's is UTC)."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -334,3 +334,42 @@ def test_normalise_matches_numpy(spark):
     df = frame(spark, [(r.tolist(),) for r in x], "v array<double>")
     got = np.array([r[0] for r in df.select(V.normalise("v")).collect()])
     assert np.allclose(got, x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def test_fused_lists_keep_scores_by_source(spark):
+    rows = [("a", 1, 1, 0.9), ("b", 1, 2, 3.0), ("a", 2, 2, 0.5)]
+    found = {r.id: r for r in fusion.reciprocal(frame(spark, rows, "source string, id long, rank int, score double")).collect()}
+    assert found[1].scores == {"a": 0.9, "b": 3.0} and found[2].scores == {"a": 0.5} and found[1].sources == ["a", "b"]
+
+
+def test_graph_retrieval_falls_back_to_vectors(spark):
+    entities = frame(spark, [("e1", "aspirin", 1), ("e2", "fever", 2)], "entity string, name string, doc_id long")
+    edges = frame(spark, [("e1", "treats", "e2", 1.0)], "src string, pred string, dst string, w double")
+    vectors = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "doc_id long, embedding array<double>")
+    asked = frame(spark, [(0, [0.0, 1.0])], "query_id long, query array<double>")
+    ask = lambda text: [tuple(r) for r in pipelines.graph(entities, edges, text, 1, 2, vectors, asked).orderBy("doc_id").collect()]
+    assert ask("what of aspirin") == [(1, 1), (2, 1)]
+    assert ask("nothing named") == [(2, 0), (3, 0)]
+
+
+def test_filters_take_the_standard_keys():
+    for key in ("created_at", "language", "page_number", "collection_id", "version"):
+        store.metadata_filter({key: "x"})
+    with pytest.raises(ValueError):
+        store.metadata_filter({"category": "x"})
+
+
+def test_weighted_overall_by_the_standard_weights(spark):
+    scores = frame(spark, [("s", "faithfulness", 1.0), ("s", "answer_relevancy", 0.5), ("s", "answer_similarity", 0.0), ("s", "other", 9.0)], "system string, metric string, value double")
+    assert evaluation.overall(scores).first().overall == pytest.approx((0.25 * 1 + 0.2 * 0.5) / 0.5)
+
+
+def test_rare_states_of_stores_and_loops(spark, tmp_path):
+    old = frame(spark, [(1, "a"), (2, "b")], "doc_id long, text string")
+    new = frame(spark, [(2, "x"), (2, "z"), (None, "n")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in store.upsert(old, new).where("doc_id is not null").collect()) == [(1, "a"), (2, "z")]
+    ring = frame(spark, [(f"n{k}", f"n{(k + 1) % 14}") for k in range(14)], "child string, parent string")
+    assert ontology.cycles(ring).count() == 14
+    line = frame(spark, [(f"n{k}", "next", f"n{k + 1}", 1.0) for k in range(130)], "src string, pred string, dst string, w double")
+    cost = {r.node: r.cost for r in graph.dijkstra(line.limit(130), "n100").collect()}
+    assert cost["n130"] == 30.0
