@@ -232,14 +232,15 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded"
     return base.mapInArrow(run, schema)
 
 
-def digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the decoded text).
+def digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the decoded text), and if asked for ids, the array of ids.
 
     A null text counts as empty and gives the digests of the empty string; repeated rows and null
     doc_ids each give their own row; other columns are ignored.
     """
+    more = [F.array(F.lit(0)).alias("ids")] if keep_ids else []
     schema = documents.select(
-        F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")
+        F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *more
     ).schema
 
     known = rules(path)
@@ -254,9 +255,9 @@ def digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 rows = [ids[x:y] for x, y in zip([0, *ends], ends)]
                 of_ids = [hashlib.sha256(" ".join(names.numbers[r].tolist()).encode()).hexdigest() for r in rows]
                 of_text = [hashlib.sha256(names.decode(r).encode("utf-8")).hexdigest() for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                columns = {"doc_id": batch.column(0).slice(a, b - a), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return documents.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, schema)
