@@ -34,10 +34,10 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
 
 
-def matrix(table: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Ids in ascending order, and for each row its terms and weights."""
-    ids = table.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
+def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids in ascending order, the rows' numbers, and for each row its terms and weights."""
+    ids, numbers = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
+    order = np.lexsort((numbers, ids))
     column = table.column("ints").combine_chunks()
     flat, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
     rows = []
@@ -45,7 +45,7 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarr
         x = flat[ends[k - 1] if k else 0 : ends[k]]
         terms = np.flatnonzero(x)
         rows.append((terms, x[terms]))
-    return ids[order], rows
+    return ids[order], numbers[order], rows
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -53,47 +53,49 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
 
     Scores are inner products of floor(1024 * x), equal scores go to the smaller vec_id. Vectors
     that are null or hold a null or non-finite component, and rows without a vec_id, take no part.
-    Components that a shorter vector lacks are zero. Equal rows count once; a row is never a
-    candidate for a query of the same vec_id. An empty table gives no rows. Products and sums wrap
-    beyond 64 bits.
+    Components that a shorter vector lacks are zero. Each repeat of a row is a row of its own: as a
+    query it has its own list, and it is a candidate for the others, those of its vec_id too. An
+    empty table gives no rows. Products and sums wrap beyond 64 bits.
     """
     scaled = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * SCALE))
-    rows = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("ints"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    rows = cut(rows.distinct())
+    rows = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("ints"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = cut(rows)
     n = rows.agg(F.count(F.lit(1)).alias("c"), F.count_if("is_query").alias("q")).first()
     q_blocks, c_blocks = max(1, -(-n.q // QUERY_ROWS)), max(1, -(-n.c // CANDIDATE_ROWS))
-    dealt = lambda blocks: F.pmod(F.xxhash64("vec_id", "ints"), F.lit(blocks)).cast("int")
+    dealt = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.where("is_query").select("vec_id", "ints", dealt(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
-    candidates = rows.select("vec_id", "ints", dealt(c_blocks).alias("cb"), every(q_blocks).alias("qb"))
+    queries = rows.where("is_query").select("row", "vec_id", "ints", dealt(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
+    fresh = [F.col(c).alias(c) for c in ("row", "vec_id", "ints")]  # cogroup mistakes columns that both sides share
+    candidates = rows.select(*fresh, dealt(c_blocks).alias("cb"), every(q_blocks).alias("qb"))
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_c, out_s = [], [], []
+        out_r, out_q, out_c, out_s = [], [], [], []
         if left.num_rows and right.num_rows:
-            ids, rows = matrix(right)
+            ids, numbers, held = matrix(right)
             postings: dict[int, tuple[list, list]] = {}
-            lengths = np.fromiter((len(t) for t, _ in rows), np.int64, len(rows))
-            terms, weights = np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows])
-            owner = np.repeat(np.arange(len(rows)), lengths)
+            lengths = np.fromiter((len(t) for t, _ in held), np.int64, len(held))
+            terms, weights = np.concatenate([t for t, _ in held]), np.concatenate([w for _, w in held])
+            owner = np.repeat(np.arange(len(held)), lengths)
             order = np.argsort(terms, kind="stable")
             terms, owner, weights = terms[order], owner[order], weights[order]
             cuts = np.flatnonzero(np.diff(terms)) + 1
             if len(terms):
                 postings = dict(zip(terms[np.concatenate([[0], cuts])].tolist(), zip(np.split(owner, cuts), np.split(weights, cuts))))
-            for q, (q_terms, q_weights) in zip(*matrix(left)):
+            for q, own, (q_terms, q_weights) in zip(*matrix(left)):
                 scores = np.zeros(len(ids), np.int64)
                 for term, weight in zip(q_terms.tolist(), q_weights.tolist()):
                     if term in postings:
                         at, w = postings[term]
                         scores[at] += weight * w
-                others = np.flatnonzero(ids != q)
+                others = np.flatnonzero(numbers != own)
                 kept = others[best(scores[others], ids[others], k)]
+                out_r.append(np.full(len(kept), own))
                 out_q.append(np.full(len(kept), q))
                 out_c.append(ids[kept])
                 out_s.append(scores[kept])
         join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        return pa.table({"query_id": join(out_q), "vec_id": join(out_c), "score": join(out_s)})
+        return pa.table({"row": join(out_r), "query_id": join(out_q), "vec_id": join(out_c), "score": join(out_s)})
 
-    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(block, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(block, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

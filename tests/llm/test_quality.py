@@ -48,3 +48,29 @@ def test_paths_of_a_tree():
     printed = "RandomForest (uid=x)\n  If (feature 0 <= 1.5)\n   If (feature 1 > 2.0E-4)\n    Predict: 0.0\n   Else (feature 1 <= 2.0E-4)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
     a, b = quality.FEATURES[:2]
     assert quality.paths(printed) == [((a, "<=", 1.5),), ((a, "<=", 1.5), (b, ">", 2e-4)), ((a, "<=", 1.5), (b, "<=", 2e-4)), ((a, ">", 1.5),)]
+
+
+def test_scores_against_plain_python(spark, sf):
+    """Statistics and rules worked out without Spark."""
+    import math
+
+    import regex
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.rules
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for d, text in docs.select("doc_id", "text").collect():
+        text = text or ""
+        words = [w for w in regex.split(r"[ \n\t]+", text) if w]
+        lines = [s for s in text.split("\n") if s]
+        n, chars = max(1, len(words)), max(1, len(text))
+        count = lambda p: len(regex.findall(p, text)) / chars  # noqa: E731, B023
+        x = {
+            "log_words": math.log1p(len(words)), "word_length": len(text) / n, "distinct_words": len(set(words)) / n, "repeated_neighbours": sum(a == b for a, b in zip(words, words[1:])) / n,
+            "short_words": sum(len(w) <= 3 for w in words) / n, "distinct_lines": len(set(lines)) / max(1, len(lines)), "capitals": count(r"\p{Lu}"), "digits": count("[0-9]"),
+            "symbols": count(r"[#$%&*!|<>{}\[\]^~@=_+\\]"), "stops": count("[.,;:?]"),
+        }
+        total = model.intercept + sum(w for rule, w in model.rules if all(x[f] <= v if sign == "<=" else x[f] > v for f, sign, v in rule))
+        assert abs(got[d].score - 1 / (1 + math.exp(-total))) < 1e-9, d
+        assert got[d].predicted == (got[d].score >= 0.7)
