@@ -105,7 +105,10 @@ def query_insights(spark, sf):
 
 
 def mode_dispatch(spark, sf):
-    return pipelines.dispatch("vector", {"vector": lambda: table(spark, sf, "embeddings").where("vec_id < 3").select("vec_id")})
+    """One retrieval behind a mode: the nearest vectors; of the other modes' backends none is run."""
+    v = table(spark, sf, "embeddings")
+    near = lambda: search.nearest(v, search.query_of(v, F.col("vec_id") == 0), 3).select("vec_id", "rank")
+    return pipelines.dispatch("vector", {"vector": near, "kg": lambda: star_edges(spark, sf)})
 
 
 def answer_similarity(spark, sf):
@@ -160,7 +163,7 @@ SELECT CAST(k AS BIGINT) AS doc_id, CAST(1 AS BIGINT) AS entities FROM seeds""",
     "query_insights": """WITH c AS (SELECT 'n' || n_nationkey AS id, n_name AS label, ['land ' || n_nationkey, 'state'] AS synonyms FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name, ['continent'] FROM region),
 q AS (SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'trade of nation_3 and land 21'), (1, 'a continent')) AS t(item_id, q))
 SELECT item_id, id, CAST(CASE WHEN contains(q, lower(label)) THEN 1 ELSE 0.5 END AS DOUBLE) AS score FROM c, q WHERE contains(q, lower(label)) OR len(list_filter(synonyms, lambda s: contains(q, lower(s)))) > 0""",
-    "mode_dispatch": "SELECT vec_id FROM embeddings WHERE vec_id < 3",
+    "mode_dispatch": f"SELECT e.vec_id, CAST(row_number() OVER (ORDER BY {_COS('e.embedding', 'q.v')} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 3",
     "answer_similarity": f"SELECT a.vec_id, round({_COS('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "onto_common": """WITH RECURSIVE isa AS (SELECT 'n' || n_nationkey AS c, 'r' || n_regionkey AS p FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey - 20) FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
 up AS (SELECT c AS node, p AS ancestor FROM isa UNION SELECT up.node, isa.p FROM up JOIN isa ON isa.c = up.ancestor)
