@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.words import Encoder, rules
+from loomlight.llm.words import Encoder, rules_by_task
 
 NEVER = np.int64(1) << 40
 #: Texts handed to an encoder at once, in characters.
@@ -169,7 +169,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, known: bytes) -> Encoder:
-    """known: words.rules(path), made once in the driver."""
+    """known: words.rules(path), made once."""
     from tokenizers import Tokenizer
 
     v = vocabulary(path)
@@ -196,7 +196,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", into: str = "ids
     """
     base = documents.drop(into)
     schema = base.select("*", F.array(F.lit(0)).alias(into)).schema
-    known = rules(path)
+    known = rules_by_task(documents.sparkSession, path)
 
     def run(batches):
         coder = encoder(path, known)
@@ -243,7 +243,7 @@ def digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         F.col(doc_id).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"), *more
     ).schema
 
-    known = rules(path)
+    known = rules_by_task(documents.sparkSession, path)
 
     def run(batches):
         names, coder = vocabulary(path), encoder(path, known)

@@ -113,28 +113,19 @@ def _links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the sets s of distinct (s, t, n, fps) that connect what chains of verified pairs connect."""
     printed = cut(distinct.select("s", "n", F.posexplode("fps").alias("k", "fp")))
     hubs = cut(printed.groupBy("k", "fp").agg(F.min(F.struct("s", "n")).alias("hub")))
-    steps = [simhash.links(hubs.where(F.col("k") == k).select("fp"), DISTANCE).withColumn("k", F.lit(k)) for k in (0, 1)]
-    steps = cut(steps[0].union(steps[1]))
+    steps = cut(simhash.links_of_kinds(hubs, DISTANCE))
     own = printed.join(hubs, ["k", "fp"]).select("s", "n", "hub")
-    across = printed.join(steps.select("k", F.col("a").alias("fp"), "b"), ["k", "fp"]).join(hubs.select("k", F.col("fp").alias("b"), "hub"), ["k", "b"]).select("s", "n", "hub")
+    across = printed.join(steps.withColumnRenamed("a", "fp"), ["k", "fp"]).join(hubs.select("k", F.col("fp").alias("b"), "hub"), ["k", "b"]).select("s", "n", "hub")
     stars = own.union(across).where((F.col("s") != F.col("hub.s")) & _close("n", "hub.n"))
     stars = cut(stars.select(*_pair("s", "hub.s")).distinct())
     found = _verified(stars, distinct, texts)
 
-    # members of one chain of fingerprints in several components: all near ones of these meet
-    node = lambda fp: F.concat_ws(":", "k", F.col(fp).cast("string"))
-    chains = components(steps.select(node("a").alias("a"), node("b").alias("b"))).select("node", F.col("root").alias("chain"))
+    # near fingerprints of several components meet
     roots = components(found)
-    placed = printed.withColumn("at", node("fp")).join(chains, F.col("at") == F.col("node"), "left").withColumn("chain", F.coalesce("chain", "at"))
-    placed = placed.select("k", "fp", "s", "n", "chain").join(roots, F.col("s") == F.col("node"), "left").withColumn("root", F.coalesce("root", "s"))
-    mixed = placed.groupBy("chain").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("chain")
-    placed = cut(placed.join(mixed, "chain").select("k", "fp", "s", "n", "root"))
-    if placed.isEmpty():
-        return found
+    placed = cut(printed.join(roots, F.col("s") == F.col("node"), "left").select("k", "fp", "s", "n", F.coalesce("root", "s").alias("root")))
     tag = F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("tag")
     tagged = cut(placed.groupBy("k", "fp").agg(tag))
-    near = [simhash.near_pairs(tagged.where(F.col("k") == k).select("fp", "tag"), DISTANCE).withColumn("k", F.lit(k)) for k in (0, 1)]
-    near = near[0].union(near[1]).union(tagged.where("tag = 0").select(F.col("fp").alias("a"), F.col("fp").alias("b"), "k"))
+    near = simhash.near_pairs(tagged, DISTANCE).union(tagged.where("tag = 0").select("k", F.col("fp").alias("a"), F.col("fp").alias("b")))
     one, other = (placed.select("k", F.col("fp").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
     rest = near.join(one, ["k", "a"]).join(other, ["k", "b"]).where((F.col("ra") != F.col("rb")) & _close("na", "nb"))
     rest = cut(rest.select(*_pair("sa", "sb")).distinct().join(stars, ["a", "b"], "left_anti"))

@@ -16,6 +16,7 @@ TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document. Null and empty texts have none; repeated rows and rows without an id each get a row; an empty table gives none."""
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
@@ -40,35 +41,43 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), functools.partial(token_files.library_encoder, TOKENIZER, words.rules(TOKENIZER)), END_ID, id_bytes=2)
+    """Offsets, counts and checksums of every document, read back from token files. A null or empty text is its end id alone; documents without an id come first, repeats side by side; an empty table gives no files and no rows."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), functools.partial(token_files.library_encoder, TOKENIZER, words.rules_by_task(spark, TOKENIZER)), END_ID, id_bytes=2)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document. Null and empty texts are scored like any other, repeated rows each; without labels the score is 0.5."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other rows of every hundredth vector. Null, incomplete and non-finite vectors and rows without an id take no part; repeated rows are rows of their own."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line equals or nearly equals. A null text stays null, blank lines stay; rows that agree in id and text keep the same lines."""
     return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of ids and decoded texts of every document. Null and empty texts have the digests of nothing; repeated rows each get a row."""
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page, read back. A null html is an empty payload; rows without an id are records too, and never the one that others revisit."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits, items and the longest match of every document. Null and empty texts have none; items without an id, a text or words take no part; an empty benchmark hits nothing."""
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint zero and link like any other; rows without an id name no component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -140,12 +140,13 @@ def parts(n: int, pairs) -> np.ndarray:
 
 
 def _meetings(fps: DataFrame, distance: int, found) -> DataFrame:
-    """What found yields for the groups of the distinct fingerprints fps (fp, tag): pairs (a, b) of fingerprints.
+    """What found yields for the groups of the distinct fingerprints fps (k, fp, tag): pairs (k, a, b) of fingerprints of one kind k, a small number.
 
     found takes an Index, the fingerprints and their tags, and yields two arrays of places.
     """
     chosen = masks(distance + 2, distance)
-    keyed = fps.select("fp", "tag", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("t", "key"))
+    keyed = fps.select("k", "fp", "tag", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("t", "key"))
+    keyed = keyed.withColumn("t", F.col("k") * len(chosen) + F.col("t"))
     large = cut(keyed.groupBy("t", "key").count().where(F.col("count") > GROUP_ROWS).select("t", "key", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("n")))
     dealt = keyed.join(sized(large, 40), ["t", "key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
@@ -161,13 +162,15 @@ def _meetings(fps: DataFrame, distance: int, found) -> DataFrame:
             rows = pa.Table.from_batches(held)
             t, key, part, fp, tag = (rows.column(c).to_numpy() for c in ("t", "key", "part", "fp", "tag"))
             group = np.concatenate([[0], np.cumsum((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1]))])
-            size = np.bincount(group)
-            kept = size[group] > 1
-            group, fp, tag = group[kept], fp[kept].view(np.uint64), tag[kept]
+            size, firsts = np.bincount(group), np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            # a group of one fingerprint, or of one tag, has nothing to tell apart
+            one_tag = (np.minimum.reduceat(tag, firsts) == np.maximum.reduceat(tag, firsts)) & (tag[firsts] != 0)
+            kept = ((size > 1) & ~one_tag)[group]
+            t, group, fp, tag = t[kept], group[kept], fp[kept].view(np.uint64), tag[kept]
             if len(fp):
                 index, signed = Index(group, fp), fp.view(np.int64)
                 for a, b in found(index, signed, tag):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array((t[a] // len(chosen)).astype(np.int32)), pa.array(signed[a]), pa.array(signed[b])], names=["k", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -186,22 +189,27 @@ def _meetings(fps: DataFrame, distance: int, found) -> DataFrame:
         if held:
             yield from close()
 
-    return grouped.select("t", "key", "part", "fp", "tag").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select("t", "key", "part", "fp", "tag").mapInArrow(run, "k int, a long, b long").distinct()
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of column fp that connect exactly those which chains of steps of at most distance bits connect: of each, to the least of its part of a group."""
+    """links_of_kinds where there is one kind: links (a, b) between the distinct fingerprints of column fp."""
+    return links_of_kinds(fps.select(F.lit(0).alias("k"), "fp"), distance).select("a", "b")
+
+
+def links_of_kinds(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (k, a, b) between the distinct fingerprints of each kind, columns k and fp, that connect exactly those which chains of steps of at most distance bits connect: of each, to the least of its part of a group."""
 
     def stars(index, fp, tag):
         label = parts(len(fp), index.pairs(distance))
         linked = np.flatnonzero(label != np.arange(len(fp)))
         yield linked, label[linked]
 
-    return _meetings(fps.select("fp", F.lit(0).cast("long").alias("tag")), distance, stars)
+    return _meetings(fps.select("k", "fp", F.lit(0).cast("long").alias("tag")), distance, stars)
 
 
 def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints fps (fp, tag) that differ in at most distance bits and have different tags or a tag of zero."""
+    """Pairs (k, a, b), a < b, of the distinct fingerprints fps (k, fp, tag) of each kind that differ in at most distance bits and have different tags or a tag of zero."""
 
     def pairs(index, fp, tag):
         for a, b in index.pairs(distance):

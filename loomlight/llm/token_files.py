@@ -138,7 +138,7 @@ class TokenFile:
 def library_encoder(path: str, known: bytes) -> Encoder:
     """Words go to the tokenizers library's own model, many at once with spaces between; a word's ids end at the first entry with a word end.
 
-    known: words.rules(path), made once in the driver. Words come normalised and are not normalised
+    known: words.rules(path), made once. Words come normalised and are not normalised
     again: a letter lower-cased after composition may compose anew.
     """
     from tokenizers import Tokenizer, pre_tokenizers

@@ -6,8 +6,8 @@ first of its group, letter by letter; the table is looked up by the words themse
 that it lacks go to an encoder of words. It is emptied when it holds LIMIT words, which bounds a
 task's memory and changes no result.
 
-How the library classifies and lower-cases each code point is asked of the library itself, once in
-the driver (rules), and sent to the tasks. Texts with a code point on which Python's Unicode tables
+How the library classifies and lower-cases each code point is asked of the library itself, once for
+each file (rules), and sent to the tasks. Texts with a code point on which Python's Unicode tables
 may differ from the library's are normalised by the library.
 """
 
@@ -23,6 +23,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Set beside the class of a code point on which the library and Python may differ.
@@ -112,6 +114,21 @@ def rules(path: str) -> bytes:
     return zlib.compress(out.tobytes())
 
 
+_KNOWN: dict[str, bytes] = {}
+
+
+def rules_by_task(spark: SparkSession, path: str) -> bytes:
+    """rules(path), worked out in a task once for each file: the driver holds no tokenizer."""
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"rules": [rules(path)]})
+
+    if path not in _KNOWN:
+        _KNOWN[path] = bytes(spark.range(1, numPartitions=1).mapInArrow(run, "rules binary").first().rules)
+    return _KNOWN[path]
+
+
 @functools.lru_cache(maxsize=2)
 def _table(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
