@@ -11,7 +11,8 @@ without a declaration takes that of the licence file in its nearest ancestor dir
 
 A segment can only reach COSINE with a template if it shares a word of the template's cover: the
 fewest of its heaviest words without which too little weight is left. Texts, lines and runs without
-a word of a cover are left out before any bag is made; that drops nothing.
+a word of a cover are left out before any bag is made, and so are segments whose words in common
+with the templates can't make up the bound; that drops nothing.
 """
 
 from __future__ import annotations
@@ -178,6 +179,16 @@ def declared(files: DataFrame, text: str = "text", whole: Column | None = None)
     weights = F.create_map(*(F.lit(x) for pair in idf.items() for x in pair))
     weight = lambda term: F.coalesce(F.try_element_at(weights, term), F.lit(rare))
     found = segments(files, text, in_lines).union(blocks(files, text, F.lit(False) if whole is None else F.coalesce(whole, F.lit(False)), in_blocks))
+    # no cosine exceeds the root of the share of a template's squares that the words in common have; of a word, its largest share
+    shares: dict[str, float] = {}
+    for v in vectors.values():
+        squares = sum(y * y for y in v.values())
+        for w, x in v.items():
+            shares[w] = max(shares.get(w, 0.0), x * x / squares)
+    share_of = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
+    known_terms = F.array_intersect("terms", F.lit(words))
+    share = F.aggregate(known_terms, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(share_of, w), F.lit(0.0)))
+    found = found.where(share >= COSINE * COSINE * (1 - 1e-4))
     # a segment's key: the runs of several lengths begin at the same line
     found = cut(found.select("row", F.struct("line", F.xxhash64("terms").alias("h"), "whole").alias("line"), "terms").distinct())
     versions = [(F.col("licence") != name) | F.arrays_overlap("terms", F.array(*map(F.lit, named))) for name, named in VERSIONS.items()]
