@@ -169,7 +169,7 @@ def declared(files: DataFrame, text: str = "text", whole: Column | None = None)
     n = files.count()
     df = {r["term"]: r["count"] for r in seen if r["term"] is not None}
     idf = {w: _idf(n, df.get(w, 0)) for w in words}
-    rare = _idf(n, 0)
+    rare = rare_idf = _idf(n, 0)
     vectors = {t: {w: c * idf[w] for w, c in bag.items()} for t, bag in bags_of.items()}
     covers = {t: cover(v) for t, v in vectors.items()}
     in_lines = _holding(sorted({w for t, c in covers.items() if "#n" in t for w in c}))
@@ -189,6 +189,10 @@ def declared(files: DataFrame, text: str = "text", whole: Column | None = None)
     known_terms = F.array_intersect("terms", F.lit(words))
     share = F.aggregate(known_terms, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(share_of, w), F.lit(0.0)))
     found = found.where(share >= COSINE * COSINE * (1 - 1e-4))
+    # nor the root of the share of the segment's own squares that they have: words of no template weigh at least `rare` each
+    squares = F.aggregate(known_terms, F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter("terms", lambda x: x == w)) * weight(w), F.lit(2.0)))
+    foreign = F.size(F.array_except("terms", F.lit(words))) * (rare_idf * rare_idf)
+    found = found.where(squares >= COSINE * COSINE * (1 - 1e-4) * (squares + foreign))
     # a segment's key: the runs of several lengths begin at the same line
     found = cut(found.select("row", F.struct("line", F.xxhash64("terms").alias("h"), "whole").alias("line"), "terms").distinct())
     versions = [(F.col("licence") != name) | F.arrays_overlap("terms", F.array(*map(F.lit, named))) for name, named in VERSIONS.items()]
