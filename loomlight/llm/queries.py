@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import bpe, decontaminate, licences, lines, quality, secrets, simhash, token_files, topk, warc, words
+from loomlight.llm import bpe, decontaminate, licences, lines, quality, repeats, secrets, simhash, token_files, topk, warc, words
 from loomlight.llm.shared import table
 
 #: The tokenizer's file, and the id that ends a document in token files.
@@ -81,7 +81,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_line_dedup, op7_bpe, op8_warc, op9_decontamination, op10_simhash)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a repeated string of 100 bytes covers, and what is left without them. Null and empty texts lose nothing; rows that share an id lose nothing to each other; an empty table gives no rows."""
+    return repeats.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_line_dedup, op7_bpe, op8_warc, op9_decontamination, op10_simhash, op11_suffix_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_top_k": """
@@ -128,5 +133,26 @@ runs AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest, longest_at, longest_item
 FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r) LEFT JOIN l USING (r)
+""",
+    "op11_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents
+), w AS (
+  SELECT r, doc_id, s, substr(h, 2 * s + 1, 200) AS k FROM d, unnest(range(0, greatest(n_bytes - 99, 0))) AS t(s)
+), f AS (
+  SELECT r, doc_id, s, min(doc_id) OVER (PARTITION BY k) AS least, min(s) OVER (PARTITION BY k, r) AS first FROM w
+), g AS (
+  SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 100 THEN 0 ELSE 1 END AS new
+  FROM f WHERE s > first OR doc_id > least OR (doc_id IS NULL AND least IS NOT NULL)
+), p AS (
+  SELECT r, min(s) AS a, max(s) + 100 AS b FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS span FROM g) GROUP BY r, span
+), q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS was FROM p),
+c AS (
+  SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS head
+  FROM q JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
 """,
 }
