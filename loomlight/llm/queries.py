@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import bpe, decontaminate, licences, lines, quality, repeats, secrets, simhash, token_files, topk, warc, words
+from loomlight.llm import bpe, centroids, decontaminate, filter_audit, licences, lines, quality, repeats, secrets, simhash, token_files, topk, warc, words
 from loomlight.llm.shared import table
 
 #: The tokenizer's file, and the id that ends a document in token files.
@@ -86,7 +86,45 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_line_dedup, op7_bpe, op8_warc, op9_decontamination, op10_simhash, op11_suffix_dedup)}
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector of 64 finite components. Others are left out; repeated rows each get a row; an empty table gives none."""
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, for each language. Null texts count as empty, a null language is the empty string; an empty table gives no rows."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_line_dedup, op7_bpe, op8_warc, op9_decontamination, op10_simhash, op11_suffix_dedup, op12_centroid_clusters, op13_filter_audit)}
+
+def _clusters_sql(rounds: int = centroids.ROUNDS) -> str:
+    """op12's rounds as one common table expression after another: a has the nearest centroid of each vector as 64 * distance + number, c the centroids."""
+    nearest = """
+a{k} AS MATERIALIZED (
+  SELECT r, min(64 * CAST(list_sum(list_transform(list_zip(ints, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS HUGEINT) + k) AS best FROM v, c{k} GROUP BY r
+)"""
+    moved = """, c{next} AS MATERIALIZED (
+  SELECT k, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+    FROM (SELECT best % 64 AS k, i, sum(CAST(ints[i] AS HUGEINT)) AS s, count(*) AS n FROM a{k} JOIN v USING (r), unnest(range(1, 65)) AS t(i) GROUP BY 1, 2) GROUP BY k
+  ) AS m USING (k)
+),"""
+    body = "".join(nearest.format(k=k) + moved.format(k=k, next=k + 1) for k in range(rounds)) + nearest.format(k=rounds)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, ints) - 1 AS k, ints AS c FROM v QUALIFY k < 40
+),{body}, f AS (
+  SELECT vec_id, best % 64 AS k, CAST(best // 64 AS BIGINT) AS distance FROM a{rounds} JOIN v USING (r)
+)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} USING (k)
+"""
+
 
 ORACLE_SQL = {
     "op5_exact_top_k": """
@@ -154,5 +192,37 @@ c AS (
 SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN c USING (r)
+""",
+    "op12_centroid_clusters": _clusters_sql(),
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(words) < 100 AS INTEGER) + 2 * CAST(100 * list_unique(words) < 80 * len(words) AS INTEGER)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INTEGER)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(doc_id > least, doc_id IS NULL AND least IS NOT NULL) AS INTEGER) AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+), n AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT i, substr('ABCDE', i + 1, 1) AS name, 1 << i AS bit FROM unnest(range(0, 5)) AS t(i)),
+o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a JOIN f b ON b.i <> a.i JOIN f c ON c.i NOT IN (a.i, b.i) JOIN f d ON d.i NOT IN (a.i, b.i, c.i) JOIN f e ON e.i NOT IN (a.i, b.i, c.i, d.i)
+), s AS (SELECT filter_order, k AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS BIGINT) AS before FROM o, unnest(range(1, 6)) AS t(k)),
+r AS (
+  SELECT part, filter_order, step, bit,
+         CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, bit, before
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
 """,
 }
