@@ -486,7 +486,8 @@ def deduplicate(documents: DataFrame, width: int = WIDTH, doc_id: str = "doc_id"
     whatever their names; an empty table gives no rows. Ids must fit a long.
     """
     repeated, least = repeats(documents, width, doc_id, text)
-    changed = _kept(_cut_texts(repeated, width, keep_text), "repeat-cuts")
+    # kept, so that the last join is between two tables alone: Spark can split a text of many rows there
+    state = _kept(least.join(_cut_texts(repeated, width, keep_text), ["t1", "t2"], "left"), "repeat-cuts")
     whole = F.when(F.col("n_bytes") >= width, F.col("n_bytes")).otherwise(0)
     rows = _hashed(documents, doc_id, text).select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha"), *[F.col("text").alias("own")] * keep_text)
     later = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) > F.col("id")
@@ -495,7 +496,7 @@ def deduplicate(documents: DataFrame, width: int = WIDTH, doc_id: str = "doc_id"
     entire = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<begin: long, end: long>>")
     spans = F.when(gone, entire).otherwise(F.coalesce("spans", none))
-    out = rows.join(least.join(changed, ["t1", "t2"], "left"), ["t1", "t2"], "left")
+    out = rows.join(state, ["t1", "t2"], "left")
     return out.select(
         F.col("doc_id"),
         "n_bytes",
