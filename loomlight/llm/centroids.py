@@ -158,9 +158,12 @@ def _sums(trees: DataFrame, centroids: np.ndarray) -> dict[int, tuple[int, list[
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), pa.array(sums[some].tolist(), pa.list_(pa.int64()))], names=["cluster", "n", "sums"])
 
     parts = trees.mapInArrow(run, "cluster int, n long, sums array<long>")
-    # a row for each centroid
-    added = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[d].cast("decimal(38,0)")) for d in range(size))).alias("sums"))
-    return {r["cluster"]: (r.n, [int(x) for x in r["sums"]]) for r in added.collect()}
+    # at most clusters * size rows, from each task and in all
+    added = parts.select("cluster", "n", F.posexplode("sums").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
+    out: dict[int, tuple[int, list[int]]] = {}
+    for r in sorted(added.collect(), key=lambda r: (r["cluster"], r.d)):
+        out.setdefault(r["cluster"], (r.n, []))[1].append(int(r.x))
+    return out
 
 
 def _assigned(trees: DataFrame, centroids: np.ndarray) -> DataFrame:
