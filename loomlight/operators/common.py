@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df computed once and kept as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # files need no look for their schema
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:

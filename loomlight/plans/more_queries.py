@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import sql
@@ -68,17 +71,36 @@ def sql_functions(spark, sf):
 
 
 def kruskal_h(spark, sf):
-    return evaluation.kruskal(events(spark, sf), "event_type", "value").select(rounded("h", 4).alias("h"), "df")
+    return evaluation.kruskal(events(spark, sf), "event_type", "value", with_p=False).select(rounded("h", 4).alias("h"), "df")
 
 
 def wilcoxon_w(spark, sf):
-    return evaluation.wilcoxon(table(spark, sf, "lineitem"), "l_discount", "l_tax")
+    return evaluation.wilcoxon(table(spark, sf, "lineitem"), "l_discount", "l_tax", with_p=False)
 
 
 def friedman_chi(spark, sf):
     e = events(spark, sf).groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("value"))
     whole = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n = 5")
-    return evaluation.friedman(e.join(whole, "user_id", "left_semi"), "user_id", "event_type", "value").select(rounded("chi").alias("chi"), "df", "blocks")
+    return evaluation.friedman(e.join(whole, "user_id", "left_semi"), "user_id", "event_type", "value", with_p=False).select(rounded("chi").alias("chi"), "df", "blocks")
+
+
+def p_values(spark, sf):
+    """A row for each test of the events' values: its statistic and p."""
+    e, items = events(spark, sf), table(spark, sf, "lineitem")
+    found = [
+        evaluation.compare_two(e, "event_type", "value", "view", "purchase").select(F.lit("t").alias("test"), F.col("t").alias("statistic"), "p"),
+        evaluation.paired_t(items, "l_discount", "l_tax").select(F.lit("paired t"), "t", "p"),
+        evaluation.mann_whitney(e, "event_type", "value", "view", "click").select(F.lit("mann-whitney"), "u", "p"),
+        evaluation.wilcoxon(items, "l_discount", "l_tax").select(F.lit("wilcoxon"), "w", "p"),
+        evaluation.anova(e, "event_type", "value").select(F.lit("anova"), "f", "p"),
+        evaluation.kruskal(e, "event_type", "value").select(F.lit("kruskal-wallis"), "h", "p"),
+        evaluation.levene(e, "event_type", "value").select(F.lit("levene"), "w", "p"),
+    ]
+    return functools.reduce(DataFrame.union, found)
+
+
+def test_choice(spark, sf):
+    return evaluation.chosen_test(events(spark, sf), "event_type", "value")
 
 
 def kg_adjacency_seed(spark, sf):
@@ -128,7 +150,7 @@ def onto_common(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        name_match, time_range_status, entity_filter, dot_with_fallback, search_by_text, maxsim_forest, colbert_two_step, sql_functions, kruskal_h, wilcoxon_w, friedman_chi, kg_adjacency_seed, kg_edge_changes,
+        name_match, time_range_status, entity_filter, dot_with_fallback, search_by_text, maxsim_forest, colbert_two_step, sql_functions, kruskal_h, wilcoxon_w, friedman_chi, p_values, test_choice, kg_adjacency_seed, kg_edge_changes,
         pipe_reasoned, query_insights, mode_dispatch, answer_similarity, onto_common,
     )
 }

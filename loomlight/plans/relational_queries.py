@@ -105,21 +105,21 @@ def bootstrap_ci(spark, sf):
 
 
 def effect_size(spark, sf):
-    found = E.compare_two(events(spark, sf), "event_type", "value", "view", "purchase")
+    found = E.compare_two(events(spark, sf), "event_type", "value", "view", "purchase", with_p=False)
     return found.select(*(rounded(c).alias(c) for c in ("mean_a", "mean_b", "cohens_d", "t")), "df")
 
 
 def t_stat(spark, sf):
-    found = E.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax")
+    found = E.paired_t(table(spark, sf, "lineitem"), "l_discount", "l_tax", with_p=False)
     return found.select(rounded("t").alias("t"), "n")
 
 
 def mann_whitney(spark, sf):
-    return E.mann_whitney(events(spark, sf), "event_type", "value", "view", "click").select(rounded("u").alias("u"), "n_a", "n_b")
+    return E.mann_whitney(events(spark, sf), "event_type", "value", "view", "click", with_p=False).select(rounded("u").alias("u"), "n_a", "n_b")
 
 
 def anova_f(spark, sf):
-    return E.anova(events(spark, sf), "event_type", "value").select(rounded("f").alias("f"), "df_between", "df_within", rounded("eta_squared").alias("eta_squared"))
+    return E.anova(events(spark, sf), "event_type", "value", with_p=False).select(rounded("f").alias("f"), "df_between", "df_within", rounded("eta_squared").alias("eta_squared"))
 
 
 def bh_adjust(spark, sf):
