@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlight.functions import vectors as V
+from loomlight.operators import forest as forests
 from loomlight.operators import late, search
 from loomlight.operators.common import rounded, top_k_per
 from loomlight.sources.tables import table
@@ -95,9 +96,8 @@ def lsh(spark, sf):
 
 def forest(spark, sf):
     rows = _vectors(spark, sf)
-    planes = search.projection_planes(64, 4, 8)
-    leaves = search.projection_leaves(rows, planes)
-    found = search.forest_search(rows, leaves, search.query_of(rows, F.col("vec_id") % 100 == 0), planes, 5)
+    nodes, leaves = forests.build(rows, trees=8)
+    found = forests.search(rows, nodes, leaves, search.query_of(rows, F.col("vec_id") % 50 == 0), 5)
     return found.select("query_id", "vec_id", "rank", rounded("score").alias("score"))
 
 
