@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
-from loomlight.operators.common import sized, top_k
+from loomlight.operators import terms
+from loomlight.operators.common import top_k, top_k_per
 
 # Patterns of the rule extractor. Names keep their capitals; the rest match in either case.
 PATTERNS = {
@@ -95,11 +96,9 @@ def fuzzy(entities: DataFrame, query: str, within: int | None = 2, least: float
 
 
 def named_in(names: DataFrame, queries: DataFrame, name: str = "name", query: str = "text", key: str = "item_id", most: int = 10) -> DataFrame:
-    """key, name: known names that a query holds, the first by name. The queries are the small side."""
-    pairs = names.select(name).distinct().join(sized(queries.select(key, query), 512), F.contains(F.lower(query), F.lower(name)))
-    from loomlight.operators.common import top_k_per
-
-    return top_k_per(pairs.select(key, name), key, most, name).drop("rank")
+    """key, name: known names that a query holds, the first by name."""
+    pairs = terms.holding(queries.select(key, query), names.select(F.col(name).alias("_name")).distinct(), query, "_name")
+    return top_k_per(pairs.select(key, F.col("_name").alias(name)), key, most, name).drop("rank")
 
 
 def without_overlaps(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ Documents without tokens don't count. k1 and b are the usual 1.5 and 0.75. Ties
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
@@ -45,20 +45,26 @@ def asked(queries: DataFrame, query_id: str, text: str, first: int | None = None
 def search(bag: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The k best documents for each query: query_id, key, score, rank. Scores equal in nine places are ties, as sums differ in their last digits by the order of their parts.
 
-    One pass over the texts counts the wanted tokens and, on the way, the documents and their mean
-    length. Only tokens that some query holds leave the scan: wanted terms are few and broadcast
-    behind a check of their size.
+    One pass over the texts counts the wanted tokens and, under no term, the documents and their
+    lengths: both come from one aggregation, so a stage that runs again counts nothing twice. Only
+    tokens that some query holds leave the scan: wanted terms are few and broadcast behind a check of
+    their size. An index that stays is in module postings.
     """
     wanted = cut(wanted)
-    terms, corpus = wanted.select("term").distinct(), Observation()
-    seen = bag.observe(corpus, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    hits = seen.select("key", "length", F.explode("tokens").alias("term")).join(sized(terms, 48), "term", "left_semi")
-    tf = stored(hits.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    # where no token is found, Spark may drop the pass, and nothing is observed
-    found = {"n": 0, "mean_length": 1.0} if tf.isEmpty() else corpus.get
-    n, mean_length = F.lit(found["n"]), F.lit(found["mean_length"])
-    weights = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(n, F.col("df")).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
+    terms = wanted.select("term").distinct()
+    terms = sized(terms.union(terms.sparkSession.createDataFrame([(None,)], terms.schema)).withColumnRenamed("term", "_t"), 48)
+    named = bag.select("key", "length", F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    hits = named.join(terms, F.col("term").eqNullSafe(F.col("_t")), "left_semi").withColumn("key", F.when(F.col("term").isNotNull(), F.col("key")))
+    tf = stored(hits.groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"), F.sum("length").alias("total")), "tf")
+    corpus = tf.where(F.col("term").isNull()).select("tf", "total").first()
+    n, mean_length = (corpus.tf, corpus.total / corpus.tf) if corpus else (0, 1.0)
+    return ranked(tf.where(F.col("term").isNotNull()).drop("total"), n, mean_length, wanted, k)
+
+
+def ranked(tf: DataFrame, n: int, mean_length: float, wanted: DataFrame, k: int) -> DataFrame:
+    """The k best documents for each query: from tf (term, key, tf, length) of the wanted terms (query_id, term, times), already cut, and the corpus's number of documents and mean length."""
+    weights = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
     scores = tf.join(sized(weights.join(wanted, "term"), 80), "term").groupBy("query_id", "key").agg(F.sum(part).alias("score"))
     return top_k_per(scores, "query_id", k, F.desc(F.round("score", 9)), "key")
 

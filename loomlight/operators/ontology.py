@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
-from loomlight.operators.common import cut, sized
+from loomlight.operators import terms
+from loomlight.operators.common import cut
 
 TRANSITIVE, SYMMETRIC = ("is_a", "part_of"), ("related_to", "equivalent_to")
 
@@ -100,9 +101,9 @@ def similarity(is_a: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def matched(concepts: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """key, id, term: concepts whose label or a synonym a text holds. Concepts are the small side."""
-    terms = concepts.select("id", F.explode(F.array_union(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("term"))
-    return queries.select(key, text).join(sized(terms, 128), F.contains(F.lower(text), F.lower("term"))).select(key, text, "id", "term")
+    """key, text, id, term: concepts whose label or a synonym a text holds."""
+    names = concepts.select("id", F.explode(F.array_union(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("term"))
+    return terms.holding(queries.select(key, text), names, text).select(key, text, "id", "term")
 
 
 def expand(concepts: DataFrame, is_a: DataFrame, queries: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
-from loomlight.operators import fusion, graph as G, lexical, search
+from loomlight.operators import fusion, graph as G, lexical, postings, search, terms
 from loomlight.operators.common import cut, rounded, sized, top_k
 
 MODES = ("vector", "text", "hybrid", "rrf", "kg")
@@ -80,9 +80,9 @@ def graph(entities: DataFrame, edges: DataFrame, query: str, depth: int, k: int,
     return G.documents_of(entities, near, k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, wanted: DataFrame, k: int, wide: int = 20, found: DataFrame | None = None) -> DataFrame:
-    """BM25 and cosine lists of `wide` rows each, and if given one of graph retrieval (doc_id, entities: more first), fused by reciprocal ranks; the k best with their documents."""
-    texts = lexical.search(lexical.bags(docs), wanted, wide).select(F.lit("text").alias("source"), F.col("key").alias("id"), "rank")
+def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, wanted: DataFrame, k: int, wide: int = 20, found: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """BM25 and cosine lists of `wide` rows each, and if given one of graph retrieval (doc_id, entities: more first), fused by reciprocal ranks; the k best with their documents. BM25 reads the texts, or the index (see postings) of a folder."""
+    texts = _texts(docs, wanted, wide, index).select(F.lit("text").alias("source"), F.col("key").alias("id"), "rank")
     near = search.nearest(vectors, query, wide, key="doc_id").select(F.lit("vector").alias("source"), F.col("doc_id").alias("id"), "rank")
     lists = texts.unionByName(near)
     if found is not None:
@@ -92,10 +92,14 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, wanted: DataFr
     return docs.join(sized(fused.select(F.col("id").alias("doc_id"), F.col("score").alias("rrf"), "rank"), 32), "doc_id")
 
 
-def multi_query(docs: DataFrame, query: DataFrame, k: int, variants: int = 4, wide: int = 20) -> DataFrame:
-    """Variants of a query (one row: text), a BM25 list for each, fused by reciprocal ranks: doc_id, rrf, hits."""
+def _texts(docs: DataFrame, wanted: DataFrame, wide: int, index: str | None) -> DataFrame:
+    return postings.search(docs.sparkSession, index, wanted, wide) if index else lexical.search(lexical.bags(docs), wanted, wide)
+
+
+def multi_query(docs: DataFrame, query: DataFrame, k: int, variants: int = 4, wide: int = 20, index: str | None = None) -> DataFrame:
+    """Variants of a query (one row: text), a BM25 list for each, from the texts or an index of a folder, fused by reciprocal ranks: doc_id, rrf, hits."""
     forms = query.select(F.posexplode(X.query_variants("text", variants)).alias("n", "q"))
-    found = lexical.search(lexical.bags(docs), lexical.asked(forms, "n", "q"), wide)
+    found = _texts(docs, lexical.asked(forms, "n", "q"), wide, index)
     fused = fusion.reciprocal(found.select(F.col("query_id").cast("string").alias("source"), F.col("key").alias("id"), "rank"))
     return top_k(fused, k, F.desc(rounded("rrf", 9)), "id").withColumnRenamed("id", "doc_id")
 
@@ -111,8 +115,8 @@ def dispatch(mode: str, backends: dict[str, Callable[[], DataFrame]]) -> DataFra
 
 def reasoned(entities: DataFrame, edges: DataFrame, expanded: DataFrame, query: str, depth: int, k: int) -> DataFrame:
     """graph for a query and the terms it expands to (term): doc_id, entities. Expansions are few."""
-    terms = expanded.select("term").union(expanded.sparkSession.createDataFrame([(query,)], "term string"))
-    seeds = entities.join(sized(cut(terms.distinct()), 64), F.contains(F.lower("term"), F.lower("name")), "left_semi").select(F.col("entity").alias("node"))
+    asked = expanded.select(F.col("term").alias("_asked")).union(expanded.sparkSession.createDataFrame([(query,)], "term string")).distinct()
+    seeds = terms.holding(asked, entities.select("entity", "name"), "_asked", "name").select(F.col("entity").alias("node")).distinct()
     return G.documents_of(entities, G.neighbourhood(edges, seeds, depth).select("node"), k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions import vectors as V
 from loomlight.operators import forest as forests
-from loomlight.operators import late, search
+from loomlight.operators import late, quantised, search
 from loomlight.operators.common import rounded, top_k_per
 from loomlight.sources.tables import table
 
@@ -89,6 +89,14 @@ def ivf_kmeans(spark, sf):
     return search.ivf_search(listed, centroids, search.query_of(rows, F.col("vec_id") % 50 == 0), 5, 13).select("query_id", "vec_id", "rank", rounded("score").alias("score"))
 
 
+def ivf_pq(spark, sf):
+    """Estimates from codes in all cells, exact scores for 60 rows of each query."""
+    rows = _vectors(spark, sf)
+    encoded, book = quantised.index(rows)
+    found = quantised.search(rows, encoded, book, search.query_of(rows, F.col("vec_id") % 50 == 0), 5, shortlist=60, probes=16)
+    return found.select("query_id", "vec_id", "rank", rounded("score").alias("score"))
+
+
 def lsh(spark, sf):
     rows = _vectors(spark, sf)
     return search.lsh_search(rows, search.query_of(rows, F.col("vec_id") % 100 == 0), 5).select("query_id", "vec_id", "rank", rounded("score").alias("score"))
@@ -97,7 +105,7 @@ def lsh(spark, sf):
 def forest(spark, sf):
     rows = _vectors(spark, sf)
     nodes, leaves = forests.build(rows, trees=8)
-    found = forests.search(rows, nodes, leaves, search.query_of(rows, F.col("vec_id") % 50 == 0), 5)
+    found = forests.search(rows, nodes, leaves, search.query_of(rows, F.col("vec_id") % 50 == 0), 5, probes=16)
     return found.select("query_id", "vec_id", "rank", rounded("score").alias("score"))
 
 
@@ -161,6 +169,7 @@ QUERIES = {
     "vec_index_info": index_info,
     "ivf_fixed_centroids": ivf_fixed,
     "ivf_kmeans": ivf_kmeans,
+    "ivf_pq": ivf_pq,
     "lsh_topk": lsh,
     "forest_topk": forest,
     "recall_at_k": ivf_recall,
