@@ -117,6 +117,15 @@ def postings(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     return rows.select("term", "key", "tf", "length")
 
 
+def everything(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """All postings that count, with their bucket, and the number of buckets: a bucket is pmod(xxhash64(term), buckets)."""
+    segments = _segments(spark, path)
+    rows = _read(spark, path, "postings", _POSTINGS, segments)
+    if len(segments) > 1:
+        rows = _alive(rows, _read(spark, path, "gone", _GONE, segments))
+    return rows.select("term", "key", "tf", "length", "bucket"), segments[0].buckets
+
+
 def search(spark: SparkSession, path: str, wanted: DataFrame, k: int) -> DataFrame:
     """The k best documents for each query of wanted (query_id, term, times): query_id, key, score, rank, as lexical.search gives them from the texts."""
     wanted = cut(wanted)

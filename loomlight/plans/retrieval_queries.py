@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
-from loomlight.operators import fusion, lexical, pipelines, postings, search
+from loomlight.operators import fusion, lexical, pipelines, postings, search, sql_tables
 from loomlight.operators.common import cut, rounded, shared_folder, top_k
-from loomlight.sources.tables import spread_documents, table
+from loomlight.plans.vector_queries import _IVF
+from loomlight.sources.tables import STAR_EDGES_SQL, spread_documents, table
 
 
 def _docs(spark, sf):
@@ -64,6 +65,28 @@ def bm25_upsert(spark, sf):
     return found.select(F.col("key").alias("doc_id"), rounded("score").alias("score"), "rank")
 
 
+def sql_bm25(spark, sf):
+    """The index as a table function: documents for the first eight words of an item."""
+    sql_tables.register_bm25(spark, _index(spark, sf))
+    words = table(spark, sf, "benchmark").where("item_id = 0").select(F.array_join(F.slice(X.tokens("text"), 1, 8), " ")).first()[0]
+    return spark.sql("SELECT doc_id, round(score, 6) AS score, rank FROM kg_bm25(:words, 10)", args={"words": words})
+
+
+def sql_ivf(spark, sf):
+    """The label cells as a table function, for the first vector: 3 of 10 cells."""
+    rows = table(spark, sf, "embeddings")
+    sql_tables.register_ivf(spark, rows, search.mean_centroids(rows, "label"), cell="label")
+    wanted = rows.where("vec_id = 0").select(F.col("embedding").cast("array<double>")).first()[0]
+    return spark.sql(f"SELECT id AS vec_id, round(score, 6) AS score, rank FROM kg_ivf(array({', '.join(f'{x!r}D' for x in wanted)}), 5, 3)")
+
+
+def sql_edges(spark, sf):
+    from loomlight.sources.tables import star_edges
+
+    sql_tables.register_edges(spark, star_edges(spark, sf))
+    return spark.sql("SELECT e.src, e.pred, e.dst, e.w, n.node AS beside FROM kg_edges(NULL, 'in_region') e, LATERAL kg_neighbours(e.dst) n")
+
+
 def entity_text(spark, sf):
     """BM25 over names."""
     asked = spark.createDataFrame([(0, "red widget"), (1, "small ring ring")], "item_id long, text string")
@@ -215,6 +238,9 @@ QUERIES = {
     "bm25_search": bm25_search,
     "bm25_truncated": bm25_truncated,
     "bm25_upsert": bm25_upsert,
+    "sql_bm25": sql_bm25,
+    "sql_ivf": sql_ivf,
+    "sql_edges": sql_edges,
     "entity_text_search": entity_text,
     "text_contains": text_contains,
     "rrf_two": rrf_two,
@@ -282,6 +308,10 @@ ORACLE_SQL = {
     "bm25_stats": f"""WITH bag AS (SELECT * FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents) WHERE len(t) > 0),
 p AS (SELECT doc_id, unnest(t) AS term FROM bag)
 SELECT count(*) AS n, round(avg(len(t)), 6) AS mean_length, (SELECT count(DISTINCT term) FROM p) AS vocabulary, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM p)) AS postings FROM bag""",
+    "sql_bm25": f"WITH {_bm25_sql(10)} SELECT doc_id, round(score, 6) AS score, rank FROM bm_top",
+    "sql_ivf": f"WITH {_IVF} SELECT vec_id, round(score, 6) AS score, rank FROM found WHERE query_id = 0",
+    "sql_edges": f"""WITH edges AS ({STAR_EDGES_SQL}), n AS (SELECT src AS a, dst AS node FROM edges UNION SELECT dst, src FROM edges)
+SELECT e.src, e.pred, e.dst, e.w, n.node AS beside FROM edges e JOIN n ON n.a = e.dst WHERE e.pred = 'in_region'""",
     "bm25_search": f"WITH {_bm25_sql(10, '0, 1, 2')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm_top",
     "bm25_truncated": f"WITH {_bm25_sql(10, '0, 1, 2', text='left(text, 8000)')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm_top",
     "bm25_upsert": f"""WITH upserted AS (SELECT doc_id - 10 AS doc_id, text FROM documents WHERE doc_id BETWEEN 10 AND 19 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id > 9),
