@@ -5,7 +5,8 @@ DISTANCE or fewer differing bits. Words, not shingles, are printed since one cha
 five shingles: shingles' fingerprints of texts at LEAST differ in 10 bits on average. Each word
 counts once, as frequent words would make all texts of a language alike. The sets of shingles
 decide on every link. Candidates first meet the least member of
-their group; only those that this leaves in different components meet each other.
+their group. Where that leaves several components in a chain of near fingerprints, as of many texts of the same words,
+only those of its members meet that share a band of least shingle hashes and most of a sketch.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from loomlight.llm.shared import cut, sized
 from loomlight.llm.simhash import components
 
 SHINGLE, LEAST, DISTANCE, SEED = 5, 0.8, 6, 42
+#: Where the members of a group of near fingerprints are unlike: bands, least hashes in each, and the share of bands' sketches that must agree. Sets at LEAST share no band in 1 % of cases, and fall short of ALIKE in as many.
+BANDS, ROWS, ALIKE = 64, 12, 0.68
 #: Hashes whose bits are counted at once.
 _STEP = 1 << 15
 
@@ -99,11 +102,15 @@ def _close(n: str, m: str):
     return F.least(n, m) >= LEAST * F.greatest(n, m) - 1e-9
 
 
+def _named(named: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """s and a text of each set of named (s)."""
+    wanted = cut(distinct.select("s", "t").join(named, "s", "left_semi"))
+    return texts.join(sized(wanted, 64), "t").select("s", "text").dropDuplicates(["s"])
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets of at least LEAST, from the texts that they come from."""
-    named = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    wanted = cut(distinct.select("s", "t").join(named, "s", "left_semi"))
-    sets = cut(_hashes(texts.join(sized(wanted, 64), "t").select("s", "text").dropDuplicates(["s"])))
+    sets = cut(_hashes(_named(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), distinct, texts)))
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.where(common >= LEAST * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
@@ -120,18 +127,82 @@ def _links(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     stars = cut(stars.select(*_pair("s", "hub.s")).distinct())
     found = _verified(stars, distinct, texts)
 
-    # near fingerprints of several components meet
+    # chains of near fingerprints that hold several components
+    node = lambda fp: F.struct("k", F.col(fp).alias("fp"))
+    chained = components(steps.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node").alias("own"), F.col("root").alias("chain"))
     roots = components(found)
-    placed = cut(printed.join(roots, F.col("s") == F.col("node"), "left").select("k", "fp", "s", "n", F.coalesce("root", "s").alias("root")))
-    tag = F.when(F.min("root") == F.max("root"), F.xxhash64(F.min("root"))).otherwise(0).alias("tag")
-    tagged = cut(placed.groupBy("k", "fp").agg(tag))
-    near = simhash.near_pairs(tagged, DISTANCE).union(tagged.where("tag = 0").select("k", F.col("fp").alias("a"), F.col("fp").alias("b")))
-    one, other = (placed.select("k", F.col("fp").alias(x), F.col("s").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
-    rest = near.join(one, ["k", "a"]).join(other, ["k", "b"]).where((F.col("ra") != F.col("rb")) & _close("na", "nb"))
-    rest = cut(rest.select(*_pair("sa", "sb")).distinct().join(stars, ["a", "b"], "left_anti"))
+    placed = printed.join(roots, F.col("s") == F.col("node"), "left").select("s", F.coalesce("root", "s").alias("root"), node("fp").alias("own"))
+    placed = cut(placed.join(chained, "own", "left").select("s", "root", F.xxhash64(F.coalesce("chain", "own")).alias("chain")).distinct())
+    crowded = placed.groupBy("chain").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("chain")
+    crowd = cut(placed.join(crowded, "chain", "left_semi"))
+    rest = cut(_meeting(crowd, _banded(_named(crowd.select("s").distinct(), distinct, texts))).join(stars, ["a", "b"], "left_anti"))
     return found.union(_verified(rest, distinct, texts))
 
 
+def _banded(texts: DataFrame) -> DataFrame:
+    """s, bands (a hash of ROWS least hashes of its shingles each) and sketch (a byte of each band's first least hash) of each row (s, text)."""
+    rng = np.random.default_rng(SEED)
+    odd, add = (rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def run(batches):
+        for batch in batches:
+            bands, sketches = [], []
+            for text in batch.column("text").to_pylist():
+                found, least = shingles(text), np.full(BANDS * ROWS, ~np.uint64(0))
+                found ^= found >> np.uint64(31)
+                for k in range(0, len(found), 64):
+                    mixed = found[k : k + 64, None] * odd + add
+                    least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+                least = least.reshape(BANDS, ROWS)
+                bands.append([xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(least)])
+                sketches.append((least[:, 0] >> np.uint64(8)).astype(np.uint8).tobytes())
+            if bands:
+                yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["s", "bands", "sketch"])
+
+    return texts.mapInArrow(run, "s string, bands array<long>, sketch binary")
+
+
+def _meeting(crowd: DataFrame, banded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of crowd (s, chain, root) of one chain and different roots that share a band and whose sketches agree in a share of ALIKE. A pair leaves its task only if they do."""
+    rows = crowd.join(banded, "s").select("s", "root", "sketch", "chain", F.explode("bands").alias("band")).select(F.xxhash64("chain", "band").alias("g"), "s", "root", "sketch")
+    dealt = rows.repartition("g").sortWithinPartitions("g", "root", "s")
+
+    def pairs(s: list, root: np.ndarray, sketch: np.ndarray):
+        for k in range(len(s) - 1):
+            # rows of a root lie together: what is behind it has other roots
+            behind = int(np.searchsorted(root, root[k], side="right"))
+            agree = (sketch[behind:] == sketch[k]).sum(axis=1)
+            for j in (np.flatnonzero(agree >= ALIKE * BANDS) + behind).tolist():
+                yield min(s[k], s[j]), max(s[k], s[j])
+
+    def settle(table: pa.Table):
+        g = table.column("g").to_numpy()
+        ends = np.flatnonzero(np.append(g[1:] != g[:-1], True)) + 1
+        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        # groups of one root have nothing to say
+        starts = np.append(0, ends[:-1])
+        told = (ends - starts > 1) & (roots[starts] != roots[ends - 1])
+        s, sketch = table.column("s").to_pylist(), np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(g), -1)
+        found = {p for a, b in zip(starts[told].tolist(), ends[told].tolist()) for p in pairs(s[a:b], roots[a:b], sketch[a:b])}
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                part = pa.Table.from_batches([batch])
+                held = part if held is None else pa.concat_tables([held, part])
+                g = held.column("g").to_numpy()
+                done = int(np.searchsorted(g, g[-1]))  # the last group may go on
+                if done:
+                    yield from settle(held.slice(0, done))
+                    held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from settle(held)
+
+    return dealt.mapInArrow(run, "a string, b string").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id that links reach.
 

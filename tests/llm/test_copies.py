@@ -60,3 +60,21 @@ def test_near_copy_that_fingerprints_miss(spark):
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "another text")]
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, nasty.SCHEMA), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_texts_of_the_same_words_do_not_all_meet(spark, monkeypatch):
+    """Equal fingerprints, unlike shingles: no pair leaves a task, and copies among them are still found."""
+    rng, words, seen = random.Random(7), [f"word{k}" for k in range(40)], []
+    rows = []
+    for k in range(400):
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    changed = [t.split() for _, t in rows[:20]]
+    for t in changed:
+        t[0], t[-1] = "first", "last"  # 34 of 38 shingles stay
+    rows += [(1000 + k, " ".join(t)) for k, t in enumerate(changed)]
+    plain = copies._meeting
+    monkeypatch.setattr(copies, "_meeting", lambda *a: seen.append(copies.cut(plain(*a))) or seen[-1])
+    found = {r.doc_id: r.component_id for r in copies.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[1000 + k] == k for k in range(20)) and all(found[k] == k for k in range(400))
+    assert 0 < seen[0].count() <= 40
