@@ -5,8 +5,8 @@ comment that a file begins with) and its runs of two to four lines, as notices a
 licence files as wholes and in such runs. Segments and templates are bags of words; weights are
 term frequency times inverse document frequency over all files, counted for the templates' words
 (a word outside every template adds to a segment's length with the largest weight). A segment
-declares the licence of the most similar template from COSINE on; a GPL or LGPL version only if it
-names that version. A licence file that resembles a text as a whole declares that one. A file
+declares the licence of the most similar template from COSINE on, if it holds the terms that tell that licence
+from others of like wording; an SPDX identifier names its licence alone. A licence file that resembles a text as a whole declares that one. A file
 without a declaration takes that of the licence file in its nearest ancestor directory.
 
 A segment can only reach COSINE with a template if it shares a word of the template's cover: the
@@ -17,6 +17,7 @@ with the templates can't make up the bound; that drops nothing.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -45,6 +46,14 @@ NOTICES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1"],
+    "LGPL-2.0": ["Licensed under the GNU Library General Public License, version 2.", "SPDX-License-Identifier: LGPL-2.0"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
+    "GPL-1.0": ["SPDX-License-Identifier: GPL-1.0"],
+    "GFDL-1.2": ["SPDX-License-Identifier: GFDL-1.2"],
+    "GFDL-1.3": ["SPDX-License-Identifier: GFDL-1.3"],
+    "MPL-1.1": ["SPDX-License-Identifier: MPL-1.1"],
+    "Unlicense": ["SPDX-License-Identifier: Unlicense"],
 }
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -74,18 +83,50 @@ TEXTS = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Mozilla Public License Version 2.0 1. Definitions",
     ],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. " + _VERBATIM],
+    "LGPL-2.0": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc. " + _VERBATIM],
+    "GPL-1.0": ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 Free Software Foundation, Inc. " + _VERBATIM],
+    "GFDL-1.2": ["GNU Free Documentation License Version 1.2, November 2002 Copyright (C) 2000,2001,2002 Free Software Foundation, Inc. " + _VERBATIM],
+    "GFDL-1.3": ["GNU Free Documentation License Version 1.3, 3 November 2008 Copyright (C) 2000, 2001, 2002, 2007, 2008 Free Software Foundation, Inc. " + _VERBATIM],
+    "MPL-1.1": ["MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions."],
+    "CC0-1.0": ["Creative Commons Legal Code CC0 1.0 Universal"],
+    "Artistic-1.0": ['The "Artistic License" Preamble The intent of this document is to state the conditions under which a Package may be copied'],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
 
-#: Terms of which one must be in a segment that declares the licence.
-VERSIONS = {
-    "GPL-3.0": ["3", "v3", "gpl3", "gplv3"],
-    "GPL-2.0": ["2", "v2", "gpl2", "gplv2"],
-    "LGPL-3.0": ["3", "v3", "lgpl3", "lgplv3"],
-    "AGPL-3.0": ["3", "v3", "agpl3", "agplv3"],
-    "BSD-3-Clause": ["3", "three", "neither"],
+_GPL, _THREE, _TWO = ("gnu", "gpl", "gpl2", "gpl3", "gplv2", "gplv3"), ("3", "v3", "gpl3", "gplv3", "lgpl3", "lgplv3", "agpl3", "agplv3"), ("2", "v2", "gpl2", "gplv2")
+_OTHER_GPL = ("lesser", "library", "affero", "documentation", "lgpl", "agpl", "gfdl", "lgpl3", "lgplv3", "agpl3", "agplv3")
+_BSD, _BY = ("bsd", "redistribution", "redistributions"), ("sa", "sharealike", "nc", "noncommercial", "nd", "noderivatives")
+#: What tells a licence from others of like wording: groups of terms of each of which a segment must hold one, and terms that it must not hold.
+RULES: dict[str, tuple[tuple, tuple]] = {
+    "MIT": ((("mit", "permission"), ("mit", "hereby"), ("mit", "charge")), ()),
+    "Apache-2.0": ((("apache", "compliance"),), ("mozilla", "mpl", "cddl")),
+    "GPL-3.0": ((_GPL, _THREE), _OTHER_GPL),
+    "GPL-2.0": ((_GPL, _TWO), _OTHER_GPL),
+    "GPL-1.0": ((_GPL, ("1", "v1")), _OTHER_GPL),
+    "LGPL-3.0": ((("lesser", "lgpl", "lgpl3", "lgplv3"), _THREE), ("affero",)),
+    "LGPL-2.1": ((("lesser", "lgpl"), ("2",), ("1",)), ("affero",)),
+    "LGPL-2.0": ((("library", "lgpl"), _TWO), ("lesser", "affero")),
+    "AGPL-3.0": ((("affero", "agpl", "agpl3", "agplv3"), _THREE), ()),
+    "GFDL-1.2": ((("documentation", "gfdl"), ("1",), ("2",)), ()),
+    "GFDL-1.3": ((("documentation", "gfdl"), ("1",), ("3",)), ()),
+    "BSD-3-Clause": ((("neither", *_BSD), ("3", "three", "neither")), ()),
+    "BSD-2-Clause": ((_BSD,), ("neither", "endorse")),
+    "ISC": ((("isc", "permission"), ("isc", "fee")), ()),
+    "MPL-2.0": ((("mozilla", "mpl"), ("2", "v2")), ()),
+    "MPL-1.1": ((("mozilla", "mpl"), ("1",)), ()),
+    "CC-BY-4.0": ((("cc", "creative"),), _BY),
+    "CC-BY-SA-4.0": ((("cc", "creative"), ("sa", "sharealike")), ()),
+    "CC-BY-NC-4.0": ((("cc", "creative"), ("nc", "noncommercial")), ()),
+    "CC0-1.0": ((("cc0",),), ()),
+    "Artistic-1.0": ((("artistic",),), ()),
+    "Unlicense": ((("unlicense", "unencumbered"),), ()),
 }
-#: A licence file that is so similar to a text as a whole declares that one, whatever its parts resemble.
+#: An identifier names its licence alone, whatever else the segment resembles; endings that don't matter here.
+SPDX, SPDX_END = r"(?i)SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", r"(?i)(-only|-or-later|\+)?\.*$"
+#: In a header or licence file, this makes the two clauses three.
+ENDORSE = r"(?i)endorse\s+or\s+promote"
+#: A licence file that is so similar to a text as a whole declares that one, whatever its parts resemble; a whole that is less similar to any declares nothing.
 WHOLE = 0.9
 #: Lines that are joined to one segment where notices are wrapped.
 RUNS = (2, 3, 4)
@@ -122,10 +163,15 @@ def _holding(words: list[str]) -> str:
     return r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(words)) + r")(?![A-Za-z0-9])"
 
 
+def _spdx(text: Column) -> Column:
+    """The identifier that a text names first, in small letters, empty without one."""
+    return F.lower(F.regexp_replace(F.regexp_extract(text, SPDX, 1), SPDX_END, ""))
+
+
 def segments(files: DataFrame, text: str, pattern: str) -> DataFrame:
     """row, line and the terms of every line with a match of pattern; row is the file's column `row`."""
     lines = files.where(F.col(text).rlike(pattern)).select("row", F.posexplode(F.split(text, "\n", -1)).alias("line", "s")).where(F.col("s").rlike(pattern))
-    return lines.select("row", "line", F.lit(False).alias("whole"), terms(F.col("s")).alias("terms"))
+    return lines.select("row", "line", F.lit(False).alias("whole"), terms(F.col("s")).alias("terms"), _spdx(F.col("s")).alias("spdx"), F.lit(False).alias("endorse"))
 
 
 def header(text: Column) -> Column:
@@ -144,13 +190,13 @@ def blocks(files: DataFrame, text: str, whole: Column, pattern: str) -> DataFram
     rows = files.where(whole | F.col(text).rlike(_COMMENT)).select("row", whole.alias("all"), F.when(whole, F.col(text)).otherwise(header(F.col(text))).alias("block"))
     rows = rows.where(F.col("block").rlike(pattern))
     lines = F.filter(F.transform(F.split("block", "\n", -1), lambda s, i: F.struct(i.alias("line"), s.alias("s"))), lambda x: F.trim(x["s"]) != "")
-    rows = rows.select("row", "all", lines.alias("lines")).where(F.size("lines") > 0)
+    rows = rows.select("row", "all", lines.alias("lines"), F.col("block").rlike(ENDORSE).alias("endorse")).where(F.size("lines") > 0)
     joined = lambda i, n, w: F.struct(F.get("lines", i)["line"].alias("line"), w.alias("whole"), F.array_join(F.slice(F.col("lines")["s"], i + 1, n), " ").alias("s"))
     runs_of = lambda n: F.transform("lines", lambda _, i: joined(i, F.lit(n), F.lit(False)))
     runs = [runs_of(n) for n in RUNS]
     runs.append(F.array(joined(F.lit(0), F.size("lines"), F.col("all"))))
-    found = rows.select("row", F.explode(F.concat(*runs)).alias("x")).where(F.col("x.s").rlike(pattern))
-    return found.select("row", "x.line", "x.whole", terms(F.col("x.s")).alias("terms")).distinct()
+    found = rows.select("row", "endorse", F.explode(F.concat(*runs)).alias("x")).where(F.col("x.s").rlike(pattern))
+    return found.select("row", "x.line", "x.whole", terms(F.col("x.s")).alias("terms"), _spdx(F.col("x.s")).alias("spdx"), "endorse").distinct()
 
 
 def declared(files: DataFrame, text: str = "text", whole: Column | None = None) -> DataFrame:
@@ -194,16 +240,21 @@ def declared(files: DataFrame, text: str = "text", whole: Column | None = None)
     foreign = F.size(F.array_except("terms", F.lit(words))) * (rare_idf * rare_idf)
     found = found.where(squares >= COSINE * COSINE * (1 - 1e-4) * (squares + foreign))
     # a segment's key: the runs of several lengths begin at the same line
-    found = cut(found.select("row", F.struct("line", F.xxhash64("terms").alias("h"), "whole").alias("line"), "terms").distinct())
-    versions = [(F.col("licence") != name) | F.arrays_overlap("terms", F.array(*map(F.lit, named))) for name, named in VERSIONS.items()]
+    found = cut(found.select("row", F.struct("line", F.xxhash64("terms").alias("h"), "whole", "spdx").alias("line"), "terms", "endorse").distinct())
+    holds = lambda words: F.arrays_overlap("terms", F.array(*map(F.lit, words)))
+    fits = F.lit(True)
+    for name, (needs, bars) in RULES.items():
+        own = [holds(group) for group in needs] + [~holds(bars)] * bool(bars)
+        fits = F.when(F.col("licence") == name, functools.reduce(Column.__and__, own)).otherwise(fits)
+    fits &= (F.col("line.spdx") == "") | (F.col("line.spdx") == F.lower("licence"))
+    fits &= (F.col("licence") != "BSD-2-Clause") | ~F.col("endorse")
+    fits &= ~F.col("line.whole") | (F.col("cosine") >= WHOLE)
     bags = found.select("row", "line", F.explode("terms").alias("term")).groupBy("row", "line", "term").count()
     bags = bags.withColumn("w", F.col("count") * weight(F.col("term")))
     lengths = bags.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = bags.join(F.broadcast(postings), "term").groupBy("row", "line", "licence", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # a fixed number of words
     near = dots.join(lengths, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("cosine") >= COSINE)
-    near = near.join(found, ["row", "line"])
-    for version in versions:
-        near = near.where(version)
+    near = near.join(found, ["row", "line"]).where(fits)
     first = (F.col("line.whole") & (F.col("cosine") >= WHOLE) & F.contains("template", F.lit("#t"))).cast("int")
     order = F.struct((-first).alias("first"), (-F.col("cosine")).alias("c"), F.col("line.line").alias("line"), "licence")
     best = near.groupBy("row").agg(F.min(order).alias("b"))

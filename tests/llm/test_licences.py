@@ -16,15 +16,15 @@ def terms(s):
 def brute(files):
     """Every line against the notices, and licence files as wholes and in runs against all templates, without any choice of lines."""
     notices, texts = ([(name, terms(t)) for name, ts in group.items() for t in ts] for group in (licences.NOTICES, licences.TEXTS))
-    segments = {}
+    segments, every = {}, notices + texts
     for p, t in files:
         rows = (t or "").split("\n")
-        segments[p, t] = [(n, terms(s), notices + texts, False) for n, s in enumerate(rows)]
+        segments[p, t] = [(n, s, list(every), False) for n, s in enumerate(rows)]
         if p is not None and re.search(licences.FILE_NAMES, p.split("/")[-1]):
             full = [(n, s) for n, s in enumerate(rows) if s.strip(" ")]
             runs = [full[k : k + n] for k in range(len(full)) for n in licences.RUNS]
-            segments[p, t] += [(r[0][0], terms(" ".join(s for _, s in r)), notices + texts, False) for r in runs]
-            segments[p, t] += [(full[0][0], terms(" ".join(s for _, s in full)), notices + texts, True)] if full else []
+            segments[p, t] += [(r[0][0], " ".join(s for _, s in r), every, False) for r in runs]
+            segments[p, t] += [(full[0][0], " ".join(s for _, s in full), every, True)] if full else []
     words = {w for _, t in notices + texts for w in t}
     n = len(files)
     df = Counter(w for _, t in files for w in set(terms(t or "")) if w in words)
@@ -34,12 +34,19 @@ def brute(files):
     own = {}
     for key, found in segments.items():
         best = []
-        for line, s, templates, whole in found:
+        for line, text, templates, whole in found:
+            s = terms(text)
             v = vector(s)
+            spdx = re.search(licences.SPDX, text)
+            spdx = re.sub(licences.SPDX_END, "", spdx[1]).lower() if spdx else ""
+            endorse = templates is every and bool(re.search(licences.ENDORSE, key[1]))
             for name, t in templates:
                 u = vector(t)
                 cos = round(sum(x * u.get(w, 0) for w, x in v.items()) / (size(u) * size(v)), 6) if v else 0
-                if cos >= licences.COSINE and not (name in licences.VERSIONS and not set(s) & set(licences.VERSIONS[name])):
+                needs, bars = licences.RULES[name]
+                fits = all(set(s) & set(group) for group in needs) and not set(s) & set(bars) and (cos >= licences.WHOLE or not whole)
+                fits = fits and spdx in ("", name.lower()) and not (endorse and name == "BSD-2-Clause")
+                if cos >= licences.COSINE and fits:
                     best.append((-(whole and cos >= licences.WHOLE and (name, t) in texts), -cos, line, name))
         if best:
             own[key] = (min(best)[3], -min(best)[1])
