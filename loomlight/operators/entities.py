@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
-from loomlight.operators import terms
+from loomlight.operators import models, terms
 from loomlight.operators.common import top_k, top_k_per
 
 # Patterns of the rule extractor. Names keep their capitals; the rest match in either case.
@@ -40,20 +40,14 @@ def by_rules(docs: DataFrame, patterns: dict[str, str] = PATTERNS, key: str = "d
 
 
 def by_model(docs: DataFrame, model: Callable[[], Callable[[list[str]], list[str]]], key: str = "doc_id", text: str = "text", chars: int = 500) -> DataFrame:
-    """key, entity: names that a model lists for the first `chars` characters. Its answers are JSON arrays, or anything with one inside; an error counts as no answer."""
-
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        answer = None
-        for batch in batches:
-            try:
-                answer = answer or model()
-                yield pd.Series(answer(batch.tolist()), dtype="object")
-            except Exception:  # noqa: BLE001  whatever a model raises, the document has no entities
-                yield pd.Series(["[]"] * len(batch))
-
-    answered = docs.select(key, ask(F.left(X.filled(text), F.lit(chars))).alias("answer"))
-    return answered.select(key, F.explode(X.lenient_array("answer")).alias("entity"))
+    """key, entity: names that a model lists for the first `chars` characters, served_by and degraded. Its answers are JSON arrays, or anything with one inside. If it raises for any document, none has entities: the result is empty, not in part."""
+    asked = docs.select(key, F.left(X.filled(text), F.lit(chars)).alias("_asked"))
+    ways = {
+        "model": lambda: asked.select(key, models.answers(model, F.col("_asked")).alias("answer")),
+        "none": lambda: asked.select(key, F.lit("[]").alias("answer")),
+    }
+    found = models.first_whole(ways)
+    return found.select(key, F.explode(X.lenient_array("answer")).alias("entity"), "served_by", "degraded")
 
 
 def capitals(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 50) -> DataFrame:

@@ -5,13 +5,13 @@ A ranked list is rows (source, id, rank[, score]) for one query; for many, add t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlight.functions import text as X
+from loomlight.operators import models
 from loomlight.operators.common import top_k, top_k_per
 
 RRF_K = 60
@@ -68,19 +68,12 @@ def keyword_boost(results: DataFrame, query: str, boost: float, k: int, text: st
 def rerank(results: DataFrame, model: Callable[[], Callable[[list[str], list[str]], list[float]]], k: int, query: str = "query", text: str = "text", key: str = "id", factor: int = 2, most: int = 100) -> DataFrame:
     """The first min(factor * k, most) results by rank, rescored by a model and cut to k, best first.
 
-    model() is called once in each worker and gives a function from queries and texts to scores; an
-    error there leaves the results in their order with rerank_score null.
+    model() is called once in each task and gives a function from queries and texts to scores. If it
+    raises anywhere, all results stay in their order with rerank_score null, and degraded is true.
     """
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        scorer = None
-        for q, t in batches:
-            try:
-                scorer = scorer or model()
-                yield pd.Series(scorer(q.tolist(), t.tolist()), dtype="float64")
-            except Exception:  # noqa: BLE001  whatever a model raises, results stay usable
-                yield pd.Series([None] * len(q), dtype="float64")
-
     wide = results.orderBy("rank", key).limit(min(factor * k, most))
-    return top_k(wide.withColumn("rerank_score", score(F.col(query), F.col(text))), k, F.desc_nulls_last("rerank_score"), "rank", key)
+    ways = {
+        "model": lambda: wide.withColumn("rerank_score", models.scores(model, F.col(query), F.col(text))),
+        "order": lambda: wide.withColumn("rerank_score", F.lit(None).cast("double")),
+    }
+    return top_k(models.first_whole(ways), k, F.desc_nulls_last("rerank_score"), "rank", key)

@@ -308,6 +308,9 @@ ORACLE_SQL = {
     "bm25_stats": f"""WITH bag AS (SELECT * FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents) WHERE len(t) > 0),
 p AS (SELECT doc_id, unnest(t) AS term FROM bag)
 SELECT count(*) AS n, round(avg(len(t)), 6) AS mean_length, (SELECT count(DISTINCT term) FROM p) AS vocabulary, (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM p)) AS postings FROM bag""",
+    "rerank_lexical": f"""WITH {_bm25_sql(20)}, w AS (SELECT doc_id AS id, rank, list_distinct(list_filter(str_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM bm_top JOIN documents USING (doc_id)),
+q AS (SELECT list_distinct(list_filter(str_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS q FROM benchmark WHERE item_id = 0)
+SELECT id, rank, round(len(list_intersect(q, t)) / greatest(1, len(q)), 6) AS rerank_score FROM w, q ORDER BY len(list_intersect(q, t)) DESC, rank, id LIMIT 10""",
     "sql_bm25": f"WITH {_bm25_sql(10)} SELECT doc_id, round(score, 6) AS score, rank FROM bm_top",
     "sql_ivf": f"WITH {_IVF} SELECT vec_id, round(score, 6) AS score, rank FROM found WHERE query_id = 0",
     "sql_edges": f"""WITH edges AS ({STAR_EDGES_SQL}), n AS (SELECT src AS a, dst AS node FROM edges UNION SELECT dst, src FROM edges)

@@ -393,6 +393,9 @@ def _domain_sql(share: bool, default: str) -> str:
 
 
 ORACLE_SQL = {
+    "answer_events": """WITH a AS (SELECT text FROM conversations WHERE role = 'assistant' AND turn = 1)
+SELECT kind, CASE WHEN kind = 'chunk' THEN CAST(coalesce(sum(ceil(length(text) / 50)), 0) AS BIGINT) ELSE count(*) END AS n, CAST(CASE WHEN kind = 'chunk' THEN sum(length(text)) ELSE 0 END AS BIGINT) AS chars
+FROM a, unnest(['start', 'chunk', 'complete']) AS t(kind) GROUP BY kind""",
     "str_variants": f"WITH {_Q}, v AS (SELECT item_id, {_VARIANTS} AS v FROM q) SELECT item_id, CAST(i - 1 AS INTEGER) AS n, v[i] AS variant FROM v, unnest(range(1, 5)) AS t(i)",
     "str_strategy": f"""WITH {_Q}, m AS (SELECT *, {_has(_LOW, X.MEDICAL_TERMS)} AS m, len({_WORDS.format('q')}) AS n FROM q)
 SELECT item_id, m AS matches, round(m / n, 6) AS density, CASE {' '.join(f"WHEN {_any(_LOW, t)} THEN '{k}'" for k, t in X.QUERY_TYPES)} ELSE 'general' END AS query_type,

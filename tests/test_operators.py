@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,8 +112,38 @@ def test_rerank_survives_a_failing_model(spark):
     def by_length():
         return lambda q, t: [float(x[1:]) for x in t]
 
-    assert [r.id for r in fusion.rerank(df, broken, 3).collect()] == [1, 2, 3]
-    assert [r.id for r in fusion.rerank(df, by_length, 2, factor=2).collect()] == [4, 3]
+    def sometimes():
+        def score(q, t):
+            if "t5" in t:
+                raise ValueError("not this one")
+            return [float(x[1:]) for x in t]
+
+        return score
+
+    said = lambda found: [(r.id, r.rerank_score, r.served_by, r.degraded) for r in found.collect()]
+    assert said(fusion.rerank(df, broken, 3)) == [(k, None, "order", True) for k in (1, 2, 3)]
+    assert said(fusion.rerank(df, by_length, 2, factor=2)) == [(4, 4.0, "model", False), (3, 3.0, "model", False)]
+    # a model that fails for one row, in a task of its own, is given up for all
+    assert said(fusion.rerank(df.repartition(5), sometimes, 2, factor=5)) == [(k, None, "order", True) for k in (1, 2)]
+
+
+def test_embedders_in_turn(spark):
+    from loomlight.operators import models
+
+    rows = frame(spark, [(k, f"t{k}") for k in range(40)], "id long, text string").repartition(4)
+
+    @F.pandas_udf("array<double>")
+    def fails(t: pd.Series) -> pd.Series:
+        if "t7" in t.tolist():
+            raise RuntimeError("no model for this")
+        return pd.Series([[0.0]] * len(t))
+
+    built_in = lambda c: F.array(F.length(c).cast("double"))
+    found = models.embedded(rows, {"remote": fails, "hash": built_in}).collect()
+    assert {(r.served_by, r.degraded) for r in found} == {("hash", True)} and {r.embedding[0] for r in found} == {2.0, 3.0}
+    assert {(r.served_by, r.degraded) for r in models.embedded(rows.where("id <> 7"), {"remote": fails, "hash": built_in}).collect()} == {("remote", False)}
+    with pytest.raises(ValueError):
+        models.first_whole({})
 
 
 def test_pipeline_arguments():
