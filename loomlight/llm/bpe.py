@@ -16,14 +16,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.llm.words import Encoder, rules_by_task
 
 NEVER = np.int64(1) << 40
-#: Texts handed to an encoder at once, in characters.
-BATCH_CHARS = 4 << 20
+#: Texts handed to an encoder at once, in bytes.
+BATCH_BYTES = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -176,16 +177,16 @@ def encoder(path: str, known: bytes) -> Encoder:
     return Encoder(v.encode_words, v.specials, known, Tokenizer.from_file(path).normalizer.normalize_str)
 
 
-def text_batches(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about BATCH_CHARS characters together."""
+def text_batches(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Runs of texts of about BATCH_BYTES together, with their bounds; only one run at a time is made into strings."""
     begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BATCH_CHARS:
-            yield begin, k + 1
+    for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
+        size += n
+        if size >= BATCH_BYTES:
+            yield begin, k + 1, texts.slice(begin, k + 1 - begin).to_pylist()
             begin, size = k + 1, 0
     if begin < len(texts):
-        yield begin, len(texts)
+        yield begin, len(texts), texts.slice(begin).to_pylist()
 
 
 def encode(documents: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -201,9 +202,8 @@ def encode(documents: DataFrame, path: str, text: str = "text", into: str = "ids
     def run(batches):
         coder = encoder(path, known)
         for batch in batches:
-            values = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in text_batches(values):
-                counts, ids = coder.encode(values[a:b])
+            for a, b, texts in text_batches(batch.column(batch.schema.get_field_index(text))):
+                counts, ids = coder.encode(texts)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 column = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], names=[*batch.schema.names, into])
@@ -248,9 +248,8 @@ def digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         names, coder = vocabulary(path), encoder(path, known)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                counts, ids = coder.encode(texts[a:b])
+            for a, b, texts in text_batches(batch.column(1)):
+                counts, ids = coder.encode(texts)
                 ends = np.cumsum(counts).tolist()
                 rows = [ids[x:y] for x, y in zip([0, *ends], ends)]
                 of_ids = [hashlib.sha256(" ".join(names.numbers[r].tolist()).encode()).hexdigest() for r in rows]

@@ -23,7 +23,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlight.llm import files
@@ -185,9 +185,8 @@ def encoded(documents: DataFrame, encoder: Callable[[], Encoder], end_id: int, i
             low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
             part = (low + (dealt + np.arange(len(keys))) % (high - low + 1)).astype(np.int32)
             dealt += len(keys)
-            texts = batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                n, flat = encoder().encode(texts[a:b])
+            for a, b, texts in text_batches(batch.column(1)):
+                n, flat = encoder().encode(texts)
                 if len(flat) and int(flat.max()) >> (8 * id_bytes):
                     raise ValueError(f"an id doesn't fit into {id_bytes} bytes")
                 flat = np.insert(flat, np.cumsum(n), end_id).astype(f"<u{id_bytes}")
@@ -246,14 +245,9 @@ def read(manifest: DataFrame) -> DataFrame:
         upto += n
     spark = manifest.sparkSession
     first = spark.createDataFrame(starts, "part long, first long")
-    earlier = manifest.select(F.col("part").alias("p"), F.col("seq").alias("s"), F.col("n_tokens").alias("n"))
-    placed = (
-        manifest.join(earlier, (F.col("part") == F.col("p")) & (F.col("s") < F.col("seq")), "left")
-        .groupBy("part", "seq", "uri")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("within"))
-        .join(first, "part")
-        .select("uri", (F.col("first") + F.col("within")).alias("start"))
-    )
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.select("part", "uri", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("within"))
+    placed = within.join(first, "part").select("uri", (F.col("first") + F.col("within")).alias("start"))
     tasks = max(1, spark.sparkContext.defaultParallelism * 2)
 
     def run(batches):

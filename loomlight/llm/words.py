@@ -30,10 +30,11 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Set beside the class of a code point on which the library and Python may differ.
 ODD = 4
 LIMIT = 400_000
-#: Characters handled in one numpy pass; longer texts are cut at white space, where no word is torn.
+#: Characters handled in one numpy pass; longer texts are cut where no word is torn.
 PASS_CHARS = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_CUT = re.compile(r"[ \n\t]")
+#: Borders at which a word always ends, whatever surrounds them, and across which nothing composes: white space, before a digit, from a digit to a letter, from a letter to a mark.
+_CUT = re.compile(r"[ \n\t]|(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9\u4e00-\u9fa5])(?=[!-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 #: The steps of a tokenizer file that this module follows; fixed values.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -265,11 +266,12 @@ class Encoder:
                 if part in self.specials:
                     yield k, "", self.specials[part]
                     continue
-                while len(part) > PASS_CHARS and (found := _CUT.search(part, PASS_CHARS)):
-                    yield k, self.normalise(part[: found.start()]), -1
-                    part = part[found.start() :]
-                if part:
-                    yield k, self.normalise(part), -1
+                at = 0
+                while len(part) - at > PASS_CHARS and (found := _CUT.search(part, at + PASS_CHARS)):
+                    yield k, self.normalise(part[at : found.start()]), -1
+                    at = found.start()
+                if at < len(part):
+                    yield k, self.normalise(part[at:]), -1
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and all ids one after another. Null and empty texts have none."""

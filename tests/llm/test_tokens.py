@@ -65,6 +65,19 @@ def test_emptied_tables_and_short_passes_change_nothing(library, monkeypatch):
             assert ids[end - n : end].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_texts_without_spaces_are_cut(library, monkeypatch):
+    monkeypatch.setattr(words, "PASS_CHARS", 20)
+    rng, v = random.Random(3), bpe.vocabulary(PATH)
+    encoder = words.Encoder(v.encode_words, v.specials, words.rules(PATH), library.normalizer.normalize_str)
+    parts = ["don't", "'re", "'", "'s", "x", "42", "7", "...", "-", "中文。", "中，", "！", "é", "e\u0301", "\u0301", "\u0338", "=", "ﬁ", "Σ", "①", "a", "_b", "<", "|"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 120)))
+        counts, ids = encoder.encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    pieces = [p for _, p, _ in encoder.pieces(["ab1c,d-" * 500])]
+    assert max(map(len, pieces)) < 30 and "".join(pieces) == "ab1c,d-" * 500
+
+
 def test_encode_and_decode_keep_columns(spark, library):
     df = nasty.extra(spark, nasty.rows(20))
     out = bpe.decode(bpe.encode(df, PATH), PATH).collect()
