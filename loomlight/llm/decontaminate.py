@@ -1,12 +1,14 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task turns its documents, a few megabytes at a time, into a shard: the words in one sequence
-and a suffix array, the places where a match can begin, sorted by all the words that follow. Every
-suffix of the benchmark's items is found in the shard by binary search, word by word for as long
-as it matches, which gives all places where it occurs and how far. Places that can't begin a match
-(too few of the words that follow are benchmark words at all) are left out of the array. Hashes
-only propose which words are equal; bytes decide. The benchmark is written in indexed blocks of
-bounded size, which tasks read one at a time; documents are never shuffled.
+and a suffix array, the places where a match can begin, sorted by the words that follow: by those
+of a window first, and where a suffix of the benchmark goes on, by all of them, with ranks that
+double in length. Every suffix of the benchmark's items is found in the shard by binary search,
+which gives all places where it occurs; how far each match goes follows from the same ranks, so
+that periodic texts take no longer than others. Places that can't begin a match (too few of the
+words that follow are benchmark words at all) are left out of the array. Hashes only propose which
+words are equal; bytes decide. The benchmark is written in indexed blocks of bounded size, which
+tasks read one at a time, once for several shards; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from loomlight.llm.shared import cut, scratch
 WINDOW = 10
 #: Texts of a shard, and of a block of the benchmark, together, in bytes.
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
+#: Shards held at once while the blocks of the benchmark pass.
+SHARDS = 8
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
@@ -136,7 +141,7 @@ class Shard:
         return np.where(ids > 0, stops[np.searchsorted(stops, np.arange(len(ids)), side="right")] - np.arange(len(ids)), 0) if len(ids) else ids
 
     def _array(self, block: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words' numbers, the suffix array of the places where a match can begin, and their room. Suffixes are ordered as far as the longest item reaches."""
+        """The words' numbers, the suffix array of the places where a match can begin, and their room. Suffixes are ordered by the words of a window."""
         ids = block.numbers(self.hashes)
         while True:
             room = self._room(ids)
@@ -146,49 +151,40 @@ class Shard:
             np.add.at(reach, array + room[array], -1)
             if not block.checked(ids, np.flatnonzero(np.cumsum(reach[:-1])), self.data, self.at, self.ends):
                 break
-        begins = np.append(True, np.zeros(max(0, len(array) - 1), bool))
-        depth, tied = 0, np.arange(len(array))
-        while len(tied) and depth < block.most:
-            group = np.cumsum(begins)[tied]
-            keys = _next_words(ids, array[tied], room[array[tied]], depth)
-            order = np.lexsort([*keys.T[::-1], group])
-            array[tied], keys = array[tied][order], keys[order]
-            begins[tied[1:]] |= (keys[1:] != keys[:-1]).any(axis=1)
-            depth += WINDOW
-            # what follows is a tie only where a neighbour is equal so far and words are left
-            alone = begins & np.append(begins[1:], True)
-            tied = np.flatnonzero(~alone)
-            if not (room[array[tied]] > depth).any():
-                break
-        return ids, array, room
+        return ids, array[np.lexsort(_next_words(ids, array, room[array]).T[::-1])], room
 
     def search(self, block: Benchmark):
-        """Finds every suffix of the block's items in the array, word by word for as long as it matches, and notes hits and longest matches."""
+        """Finds every suffix of the block's items in the array, and notes hits and longest matches."""
         if not len(block.tests) or not len(self.hashes):
             return
         ids, array, room = self._array(block)
         low, high = np.zeros(len(block.tests), np.int64), np.full(len(block.tests), len(array), np.int64)
         best, named = np.zeros(len(array), np.int64), np.zeros(len(array), np.int64)
-        live, d = np.flatnonzero(low < high), 0
-        while len(live):
+        live = np.flatnonzero(low < high)
+        for d in range(int(block.size.max())):
+            if not len(live):
+                break
             column = np.where(room[array] > d, ids[np.minimum(array + d, len(ids) - 1)], 0)
             low[live], high[live] = narrow(column, block.seq[block.tests[live] + d], low[live], high[live])
-            d += 1
             live = live[low[live] < high[live]]
-            self._windows(block, live[block.size[live] == d], array, low, high)
+            whole = live[block.size[live] == d + 1]
+            self._windows(block, whole, array, low, high)
             # equal beginnings have the same range: one of them, of the least item, marks it
-            whole = live[block.size[live] <= d]
             whole = whole[np.lexsort((block.rank[whole], low[whole]))]
             whole = whole[np.append(True, low[whole][1:] != low[whole][:-1])] if len(whole) else whole
             places, owner = _ranges(low[whole], high[whole])
-            best[places], named[places] = d, block.rank[whole][owner]
-            live = live[block.left[live] > d]
+            best[places], named[places] = d + 1, block.rank[whole][owner]
+            live = live[block.left[live] > d + 1]
+        deep = Deep(block, live, ids, room, array, low, high) if len(live) else None
+        if deep:
+            best[deep.inside] = deep.longest()
         found = np.flatnonzero(best)
         text = np.searchsorted(self.upto, array[found], side="right")
-        order = np.lexsort((named[found], array[found], -best[found], text))
+        order = np.lexsort((array[found], -best[found], text))
         for k in order[np.append(True, text[order][1:] != text[order][:-1])] if len(order) else ():
-            i, place = int(text[k]), int(array[found[k]])
-            match = (int(best[found[k]]), place - int(self.upto[i] - self.counts[i]), block.by_rank[named[found[k]]])
+            i, at, n = int(text[k]), int(found[k]), int(best[found[k]])
+            rank = deep.item(at, n) if deep and n > block.size.max() else named[at]
+            match = (n, int(array[at]) - int(self.upto[i] - self.counts[i]), block.by_rank[rank])
             self.longest[i] = min((m for m in (self.longest[i], match) if m), key=lambda m: (-m[0], m[1], m[2]))
 
     def _windows(self, block: Benchmark, whole: np.ndarray, array: np.ndarray, low: np.ndarray, high: np.ndarray):
@@ -219,9 +215,85 @@ class Shard:
         }
 
 
-def _next_words(ids: np.ndarray, places: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
-    """The WINDOW words that follow each place after depth words, 0 beyond its room."""
-    deep = depth + np.arange(WINDOW)
+class Deep:
+    """How far the suffixes of items that go on after a window (live) match at the places found for them, which are put in whole order in the array.
+
+    The words from there on, of texts and items, are one sequence of runs. Ranks of its places by 1, 2, 4, ... words order suffixes and tell how many words two of them have in common.
+    """
+
+    def __init__(self, block: Benchmark, live: np.ndarray, ids: np.ndarray, room: np.ndarray, array: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.inside = np.flatnonzero(_covered(low[live], high[live], len(array)))
+        places, tests = array[self.inside], block.tests[live]
+        mine = np.flatnonzero(_covered(places, places + room[places], len(ids)))
+        theirs = np.flatnonzero(_covered(tests, tests + block.left[live], len(block.seq)))
+        begun = np.searchsorted(tests, theirs, side="right") - 1
+        self.rest = np.concatenate([room[mine], tests[begun] + block.left[live][begun] - theirs])
+        self.levels = _doubled(np.concatenate([ids[mine], block.seq[theirs]]), self.rest)
+        ranks, at, of = self.levels[-1], np.searchsorted(mine, places), len(mine) + np.searchsorted(theirs, tests)
+        order = np.argsort(ranks[at], kind="stable")
+        array[self.inside], self.at = places[order], at[order]
+        order = np.argsort(ranks[of], kind="stable")
+        self.of, self.items = of[order], block.rank[live][order]
+        # every suffix's place in the array by binary search; of how many suffixes each place is the end or beyond it
+        found = np.searchsorted(ranks[self.at], ranks[self.of])
+        self.upto = np.searchsorted(found, np.arange(len(self.at)), side="right")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words two suffixes have in common."""
+        a, b, n, last = a.copy(), b.copy(), np.zeros(len(a), np.int64), len(self.rest) - 1
+        limit = np.minimum(self.rest[a], self.rest[b])
+        for k in range(len(self.levels) - 1, -1, -1):
+            # runs that end within these words at the same place are equal to their end
+            same = np.flatnonzero((n < limit) & (self.levels[k][a] == self.levels[k][b]))
+            n[same] += 1 << k
+            a[same], b[same] = np.minimum(a[same] + (1 << k), last), np.minimum(b[same] + (1 << k), last)
+        return np.minimum(n, limit)
+
+    def longest(self) -> np.ndarray:
+        """The words of the longest match at each place inside: with a neighbour in order."""
+        before, after = np.maximum(self.upto - 1, 0), np.minimum(self.upto, len(self.of) - 1)
+        return np.maximum(self.common(self.at, self.of[before]), self.common(self.at, self.of[after]))
+
+    def item(self, place: int, n: int) -> int:
+        """The least item with a suffix that has n words in common with a place of the array. Such suffixes are neighbours."""
+        k = int(np.searchsorted(self.inside, place))
+        alike = lambda j: self.common(self.at[[k]], self.of[[j]])[0] >= n
+        low, high = 0, int(self.upto[k])
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if alike(mid) else (mid + 1, high)
+        first, low, high = low, int(self.upto[k]), len(self.of)
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if alike(mid) else (low, mid)
+        return int(self.items[first:low].min())
+
+
+def _covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, low, 1)
+    np.add.at(cover, high, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _doubled(seq: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+    """Ranks of all places by their next 1, 2, 4, ... words, none counted after the rest of their run, until no two are equal or the longest run is reached."""
+    levels, size, n = [seq.astype(np.int32)], 1, len(seq)
+    while size < rest.max():
+        own = levels[-1].astype(np.int64)
+        follows = np.where(rest > size, own[np.minimum(np.arange(n) + size, n - 1)], 0)
+        values, ranks = np.unique(own * (max(n, int(own.max())) + 1) + follows, return_inverse=True)
+        levels.append((ranks.reshape(-1) + 1).astype(np.int32))
+        size *= 2
+        if len(values) == n:
+            break
+    return levels
+
+
+def _next_words(ids: np.ndarray, places: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The WINDOW words that follow each place, 0 beyond its room."""
+    deep = np.arange(WINDOW)
     return np.where(deep < room[:, None], ids[np.minimum(places[:, None] + deep, len(ids) - 1)], 0)
 
 
@@ -293,28 +365,38 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     item. Columns of the added names are replaced. A null text, or one without words, has no hits.
     Repeated rows each get their own row. Rows of the benchmark that share an id count as one item
     with all their windows; items without an id, a text or words have none. An empty benchmark hits
-    nothing. Blocks of the benchmark are read one after another for each shard.
+    nothing. Blocks of the benchmark are read one after another, once for SHARDS shards.
     """
     added = [f.split()[0] for f in ADDED.split(", ")]
     kept = [c for c in (documents.columns if keep is None else keep) if c not in added]
     base = documents.select(*kept, F.col(text).cast("string").alias("_text"))
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.drop("_text").schema.fields), ADDED])
     uris, most = write_blocks(benchmark, item_id, item_text), SHARD_BYTES
+    # one block stays in memory by itself
+    at_once = SHARDS if len(uris) > 1 else 1
+
+    def found(batch, shards):
+        for uri in uris:
+            block = _load(uri)
+            for _, _, shard in shards:
+                shard.search(block)
+        for a, b, shard in shards:
+            results = shard.results()
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], *results.values()], names=[*kept, *results])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
+            texts, shards = batch.column(len(kept)), []
             begin = size = 0
-            for k in range(len(texts)):
-                size += len(texts[k] or "")
+            for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+                size += n
                 if size < most and k + 1 < len(texts):
                     continue
-                shard = Shard(texts[begin : k + 1])
-                for uri in uris:
-                    shard.search(_load(uri))
-                own = batch.slice(begin, k + 1 - begin).columns[: len(kept)]
-                yield pa.RecordBatch.from_arrays([*own, *shard.results().values()], names=[*kept, *shard.results()])
+                shards.append((begin, k + 1, Shard(texts.slice(begin, k + 1 - begin).to_pylist())))
                 begin, size = k + 1, 0
+                if len(shards) == at_once or begin == len(texts):
+                    yield from found(batch, shards)
+                    shards = []
 
     return base.mapInArrow(run, schema)
 

@@ -1,5 +1,8 @@
 """The longest verbatim match of each document against every place of every item; blocks, shards and repeats; the registered SQL."""
 
+import random
+import time
+
 import duckdb
 import pytest
 
@@ -66,6 +69,35 @@ def test_very_long_and_repeated_texts(spark):
     assert all((got[k].longest, got[k].n_hit) == (300, 300) for k in range(60)) and got[99].n_hit == 0 and got[100].longest == 300
 
 
+def test_periodic_texts_take_no_longer():
+    for word in ("a ", "a b "):
+        text = word * 20_000
+        began = time.time()
+        shard = decontaminate.Shard([text, text[2:] + "x"])
+        shard.search(decontaminate.Benchmark([("7", text), ("5", text[: len(text) // 2])]))
+        assert time.time() - began < 10
+        n = len(text.split())
+        assert shard.longest == [(n, 0, "7"), (n - 1, 0, "7")] and shard.hit[:-1].all()
+
+
+def test_runs_of_few_words(spark):
+    rng = random.Random(4)
+    for _ in range(3):
+        make = lambda n: " ".join(rng.choices("ab", (1, 4), k=n))
+        items = [(k, make(rng.randrange(1, 40))) for k in range(6)] + [(6, "b " * 30), (7, "b " * 12)]
+        docs = [(k, make(rng.randrange(0, 90))) for k in range(30)] + [(50, "b " * 50), (51, "c " + "b " * 11)]
+        assert run(spark, docs, items) == brute(docs, items)
+
+
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_blocks_are_read_once_for_several_shards(spark, monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "SHARDS", at_once)
+    docs, items = cases(2)
+    assert run(spark, docs, items) == brute(docs, items)
+
+
 @pytest.mark.parametrize("name", ["op5_exact_top_k", "op8_warc", "op9_decontamination"])
 def test_registered_sql(spark, sf, name):
     con = duckdb.connect()
