@@ -12,6 +12,15 @@ from loomlight.functions import text as X
 from loomlight.operators import terms
 from loomlight.operators.common import cut
 
+# Words of a label that refine its concept's group, in order of precedence.
+CATEGORIES = {
+    "entity": ("person", "organization", "location", "place"),
+    "concept": ("concept", "idea", "notion", "principle"),
+    "process": ("process", "procedure", "method", "workflow"),
+    "resource": ("resource", "material", "substance", "component"),
+    "event": ("event", "occurrence", "incident", "activity"),
+    "quality": ("quality", "attribute", "property", "characteristic"),
+}
 TRANSITIVE, SYMMETRIC = ("is_a", "part_of"), ("related_to", "equivalent_to")
 
 
@@ -132,3 +141,22 @@ def domain(text: Column | str, domains: dict[str, tuple[str, ...]]) -> Column:
     scored = F.array(*(F.struct((X.how_many_of(low, words) / len(words)).alias("s"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(domains.items())))
     top = F.array_max(scored)
     return F.when(top["s"] > 0, top["name"]).otherwise("general")
+
+
+def mappings(concepts: DataFrame, kind: str = "type", categories: dict[str, tuple[str, ...]] = CATEGORIES) -> DataFrame:
+    """entity_type, terms: names for groups of concepts (id, label, synonyms, kind), with all their labels and synonyms in lower case, sorted.
+
+    A group is a kind and the first category of which the label has a word. It is named after the most frequent word of three letters or more in its labels (letters A to Z alone,
+    upper-cased; of equally frequent ones that of the smallest id, the earlier in the label), or without any after the group. Groups that come by the same name are one.
+    """
+    has = lambda words: F.arrays_overlap(F.split(F.lower("label"), r"\s+"), F.array(*map(F.lit, words)))
+    category = F.coalesce(*(F.when(has(words), name) for name, words in categories.items()))
+    grouped = concepts.where("label is not null").withColumn("group", F.concat_ws("_", F.coalesce(F.col(kind), F.lit("")), category))
+    words = grouped.select("group", "id", F.posexplode(F.split("label", r"\s+")).alias("at", "word")).withColumn("word", F.upper(F.regexp_replace("word", "[^a-zA-Z]", "")))
+    counts = words.where(F.length("word") > 2).groupBy("group", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"))
+    names = counts.groupBy("group").agg(F.min_by("word", F.struct(-F.col("n"), "first")).alias("name"))
+    # groups are few, terms many: names go to the terms by group, and repeats are dropped before terms are gathered
+    synonyms = F.filter(F.coalesce("synonyms", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    terms_ = grouped.select("group", F.explode(F.transform(F.concat(F.array("label"), synonyms), lambda x: F.lower(x))).alias("term")).distinct()
+    named = terms_.join(names, "group", "left").select(F.coalesce("name", F.replace(F.upper("group"), F.lit("_"), F.lit("_TYPE_"))).alias("entity_type"), "term")
+    return named.distinct().groupBy("entity_type").agg(F.array_sort(F.collect_list("term")).alias("terms"))

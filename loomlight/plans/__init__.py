@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlight.plans import graph_queries, more_queries, relational_queries, retrieval_queries, stream_queries, text_queries, vector_queries
+from loomlight.plans import graph_queries, judged_queries, more_queries, relational_queries, retrieval_queries, stream_queries, text_queries, vector_queries
 
-MODULES = (vector_queries, retrieval_queries, graph_queries, relational_queries, text_queries, stream_queries, more_queries)
+MODULES = (vector_queries, retrieval_queries, graph_queries, relational_queries, text_queries, stream_queries, more_queries, judged_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
