@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.words import Encoder, rules_by_task
+from loomlight.llm.words import Encoder, normalizer, rules_by_task
 
 NEVER = np.int64(1) << 40
 #: Texts handed to an encoder at once, in bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Words that an encoder keeps with their ids.
+KNOWN_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -171,10 +173,8 @@ def vocabulary(path: str) -> Vocabulary:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, known: bytes) -> Encoder:
     """known: words.rules(path), made once."""
-    from tokenizers import Tokenizer
-
     v = vocabulary(path)
-    return Encoder(v.encode_words, v.specials, known, Tokenizer.from_file(path).normalizer.normalize_str)
+    return Encoder(v.encode_words, v.specials, known, normalizer(), KNOWN_WORDS)
 
 
 def text_batches(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:

@@ -397,6 +397,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                 if len(shards) == at_once or begin == len(texts):
                     yield from found(batch, shards)
                     shards = []
+        # workers go on to other stages: a block would stay in their memory
+        _load.cache_clear()
+        _powers.cache_clear()
 
     return base.mapInArrow(run, schema)
 

@@ -68,6 +68,13 @@ def _plain(text: str, spaces: str = "") -> str:
     return (text.translate(dict.fromkeys(map(ord, spaces), " ")) if spaces else text).replace("Σ", "σ").lower()
 
 
+def normalizer() -> Callable[[str], str]:
+    """The library's normalizer of the files that rules() accepts, without loading one."""
+    from tokenizers import Regex, normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]).normalize_str
+
+
 @functools.lru_cache(maxsize=2)
 def rules(path: str) -> bytes:
     """The class of every code point as the library sees it, with ODD where it may normalise otherwise than Python; packed. Raises ValueError for files with other steps."""
@@ -209,8 +216,8 @@ def _firsts(text: str, cp: np.ndarray, at: np.ndarray, ends: np.ndarray, hashes:
 class Table:
     """Words with their ids in one flat array."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]]):
-        self.encode_words = encode
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], limit: int | None = None):
+        self.encode_words, self.limit = encode, limit
         self.clear()
 
     def clear(self):
@@ -237,7 +244,7 @@ class Table:
         """The table's row of each word; unknown words are encoded and added."""
         heads = np.flatnonzero(first == np.arange(len(first)))
         words = [text[a:b] for a, b in zip(at[heads].tolist(), ends[heads].tolist())]
-        if len(self.at) + len(words) > LIMIT:
+        if len(self.at) + len(words) > (self.limit or LIMIT):
             self.clear()
         # a word that no hash brought together with its equal may be listed twice
         if new := list(dict.fromkeys(w for w in words if w not in self.at)):
@@ -248,10 +255,10 @@ class Table:
 
 
 class Encoder:
-    """Encodes batches of texts. specials: strings that stand for one id wherever they occur in a text as given. rules: what rules() gives; normal: the library's normalizer."""
+    """Encodes batches of texts. specials: strings that stand for one id wherever they occur in a text as given. rules: what rules() gives; normal: the library's normalizer; limit: words of the table, LIMIT if not given."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], specials: dict[str, int], rules: bytes, normal: Callable[[str], str]):
-        self.table, self.specials, self.classes, self.normal = Table(encode_words), specials, _table(rules), normal
+    def __init__(self, encode_words: Callable[[list[str]], list[Sequence[int]]], specials: dict[str, int], rules: bytes, normal: Callable[[str], str], limit: int | None = None):
+        self.table, self.specials, self.classes, self.normal = Table(encode_words, limit), specials, _table(rules), normal
         self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
     def normalise(self, text: str) -> str:
