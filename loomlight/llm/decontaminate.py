@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomlight.llm import files
 from loomlight.llm.shared import cut, scratch
@@ -32,6 +33,8 @@ WINDOW = 10
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 #: Shards held at once while the blocks of the benchmark pass.
 SHARDS = 8
+#: Bytes of words hashed in one numpy pass; longer words take several.
+PASS_BYTES = 1 << 17
 _MULTIPLIER = 0xD6E8FEB86659FD93
 
 
@@ -47,27 +50,43 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 @functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse modulo 2**64."""
     up, down = np.full(n, _MULTIPLIER, np.uint64), np.full(n, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def _hashes(codes: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each word: of as many words at once as lie within PASS_BYTES, so that what a pass holds doesn't grow with the texts."""
+    mixed, most = _tables()[1], PASS_BYTES
+    up, down = _powers(most)
+    hashes, k = np.empty(len(at), np.uint64), 0
+    while k < len(at):
+        begin, upto = int(at[k]), int(np.searchsorted(ends, at[k] + most, side="right"))
+        if upto == k:
+            parts = range(begin, int(ends[k]), most)
+            sums = (int((mixed[x] * up[: len(x)]).sum()) for x in (codes[p : min(p + most, ends[k])] for p in parts))
+            hashes[k] = sum(n * pow(_MULTIPLIER, p - begin, 1 << 64) for n, p in zip(sums, parts)) % (1 << 64)
+            k += 1
+            continue
+        sums = np.zeros(ends[upto - 1] - begin + 1, np.uint64)
+        np.cumsum(mixed[codes[begin : ends[upto - 1]]] * up[: len(sums) - 1], out=sums[1:])
+        hashes[k:upto] = (sums[ends[k:upto] - begin] - sums[at[k:upto] - begin]) * down[at[k:upto] - begin]
+        k = upto
+    return hashes
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, how many words each text has, the bytes, and each word's bounds in them."""
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = b"\x00".join(raw) + b"\x00"
     codes = np.frombuffer(data, np.uint8)
-    in_word, mixed = _tables()
-    mask = in_word[codes]
+    mask = _tables()[0][codes]
     edges = np.flatnonzero(mask[1:] != mask[:-1]) + 1
     edges = np.concatenate([[0], edges]) if mask[0] else edges
     at, ends = edges[0::2], edges[1::2]
-    up, down = _powers(1 << max(20, (len(data) - 1).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixed[codes] * up[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[at]) * down[at]
     offsets = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    return hashes, np.diff(np.searchsorted(at, offsets)), data, at, ends
+    return _hashes(codes, at, ends), np.diff(np.searchsorted(at, offsets)), data, at, ends
 
 
 class Benchmark:
@@ -369,8 +388,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     """
     added = [f.split()[0] for f in ADDED.split(", ")]
     kept = [c for c in (documents.columns if keep is None else keep) if c not in added]
-    base = documents.select(*kept, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.drop("_text").schema.fields), ADDED])
+    # a text that is kept goes to the workers once
+    place = kept.index(text) if text in kept and documents.schema[text].dataType == StringType() else len(kept)
+    base = documents.select(*kept, *([F.col(text).cast("string").alias("_text")] if place == len(kept) else []))
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(kept)]), ADDED])
     uris, most = write_blocks(benchmark, item_id, item_text), SHARD_BYTES
     # one block stays in memory by itself
     at_once = SHARDS if len(uris) > 1 else 1
@@ -386,7 +407,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
 
     def run(batches):
         for batch in batches:
-            texts, shards = batch.column(len(kept)), []
+            texts, shards = batch.column(place), []
             begin = size = 0
             for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
                 size += n
@@ -399,7 +420,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                     shards = []
         # workers go on to other stages: a block would stay in their memory
         _load.cache_clear()
-        _powers.cache_clear()
 
     return base.mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 from loomlight.llm import decontaminate
 from tests.llm import nasty
@@ -72,3 +73,37 @@ def test_empty_tables_and_pipeline_stage(spark):
     clean = sorted((d for d, n, h, *_ in brute(docs, items) if not h), key=str)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == clean and bad
     assert kept.columns == nasty.extra(spark, docs).columns and {r.n_words for r in kept.collect()} == {"z"}
+
+
+def test_hashing_holds_a_few_times_the_text(monkeypatch):
+    """Two executors' workers at once hold what a shard takes; hashes are those of one word alone, in passes of any size and for words longer than a pass."""
+    text = "Número uno, two 3 " * (1 << 17)
+    decontaminate._powers.cache_clear()
+    tracemalloc.start()
+    hashes, counts, data, at, ends = decontaminate.words([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [4 << 17] and len(set(hashes.tolist())) == 4
+    assert peak < 24 * len(data)
+
+    texts = ["ab " * 9 + "z" * 40, None, "", "z" * 40 + " z " + "ñ" * 21, "!!", "ab", "z" * 16 + "," + "z" * 17]
+    whole = decontaminate.words(texts)
+    alone = {w: int(decontaminate.words([w])[0][0]) for t in texts for w in words(t)}
+    assert len(set(alone.values())) == len(alone)
+    for size in (1, 3, 16, 17, 1000):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", size)
+        decontaminate._powers.cache_clear()
+        got = decontaminate.words(texts)
+        assert got[0].tolist() == whole[0].tolist() == [alone[w] for t in texts for w in words(t)]
+        assert all((a == b).all() for a, b in zip(got[1::2], whole[1::2])) and (got[4] == whole[4]).all()
+    decontaminate._powers.cache_clear()
+
+
+def test_a_kept_text_goes_to_the_workers_once(spark):
+    docs, items = cases(2)
+    docs, items = spark.createDataFrame(docs, nasty.SCHEMA), spark.createDataFrame([(*r, "z") for r in items], ITEMS)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "_text" not in plan(decontaminate.contamination(docs, items)) and "_text" in plan(decontaminate.contamination(docs, items, keep=["doc_id"]))
+    both = [sorted(map(str, decontaminate.contamination(docs, items, keep=k).drop("text").collect())) for k in (["doc_id", "text"], ["doc_id"])]
+    assert both[0] == both[1]
+    assert "_text" not in plan(decontaminate.decontaminate(docs, items))
