@@ -25,10 +25,10 @@ def usable(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike(r"\S")
 
 
-def encoded(docs: DataFrame, model: Model, batch_size: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model: Model, batch_size: int = 32, key: str = "doc_id", text: str = "text", content: Callable[[str], Column] = usable) -> DataFrame:
     """doc_id, tok (from 0), vec of unit length (a zero vector stays) for each token of each usable text.
 
-    model() is opened once in each task and gives for a list of texts one list of vectors each; it sees batch_size texts at a time. Of rows that share an id
+    content says which texts are usable, for a model that has tokens for blank ones too. model() is opened once in each task and gives for a list of texts one list of vectors each; it sees batch_size texts at a time. Of rows that share an id
     the greatest text is taken, so that a document has one set of tokens. Rows without an id are left out.
     """
 
@@ -42,7 +42,7 @@ def encoded(docs: DataFrame, model: Model, batch_size: int = 32, key: str = "doc
                 out += [[list(map(float, v)) for v in vectors] for vectors in encoder(texts[k : k + batch_size])]
             yield pd.Series(out, dtype="object")
 
-    rows = docs.where(F.col(key).isNotNull() & usable(text)).groupBy(F.col(key).alias("doc_id")).agg(F.max(text).alias("text"))
+    rows = docs.where(F.col(key).isNotNull() & content(text)).groupBy(F.col(key).alias("doc_id")).agg(F.max(text).alias("text"))
     tokens = rows.select("doc_id", F.posexplode(encode("text")).alias("tok", "vec"))
     return tokens.select("doc_id", "tok", V.normalise("vec").alias("vec"))
 
@@ -80,9 +80,9 @@ def vectors(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path).where("doc_id is not null").select("doc_id", "tok", "vec")
 
 
-def ingest(docs: DataFrame, path: str, model: Model, batch_size: int = 32, buckets: int = BUCKETS) -> None:
-    """Encodes docs and puts their tokens in place of those they had; a document whose text is blank now loses its own."""
-    replace(encoded(docs, model, batch_size), path, docs.where("doc_id is not null"), buckets)
+def ingest(docs: DataFrame, path: str, model: Model, batch_size: int = 32, buckets: int = BUCKETS, content: Callable[[str], Column] = usable) -> None:
+    """Encodes docs and puts their tokens in place of those they had; a document whose text is blank now (or not usable by content) loses its own."""
+    replace(encoded(docs, model, batch_size, content=content), path, docs.where("doc_id is not null"), buckets)
 
 
 def missing(docs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def missing(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     return docs.join(tokens.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def heal(docs: DataFrame, path: str, model: Model, first: int | None = None, force: bool = False, batch_size: int = 32, buckets: int = BUCKETS) -> DataFrame:
-    """Gives token vectors to the documents without any, of all or of the first so many by doc_id; with force to all of these anew.
+def heal(docs: DataFrame, path: str, model: Model, first: int | None = None, force: bool = False, batch_size: int = 32, buckets: int = BUCKETS, content: Callable[[str], Column] = usable) -> DataFrame:
+    """Gives token vectors to the documents without any, of all or of the first so many by doc_id; with force to all of these anew. content is as for encoded.
 
     Returns one row: status (no_documents, no_valid_content, complete, partial), processed, blank (documents that have nothing to encode), still_missing (usable ones without vectors).
     """
@@ -101,9 +101,9 @@ def heal(docs: DataFrame, path: str, model: Model, first: int | None = None, for
     have = lambda: vectors(spark, path) if _exists(spark, path) else spark.createDataFrame([], target.select("doc_id").schema)
     todo = cut(target if force else missing(target, have()))
     # documents, not rows: of rows that share an id one usable text will do
-    n = todo.groupBy("doc_id").agg(F.max(usable("text")).alias("ok")).agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("blank")).first()
+    n = todo.groupBy("doc_id").agg(F.max(content("text")).alias("ok")).agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("blank")).first()
     if n.processed or force:
-        ingest(todo, path, model, batch_size, buckets)
-    left = missing(target.where(usable("text")), have()).select("doc_id").distinct().count()
+        ingest(todo, path, model, batch_size, buckets, content)
+    left = missing(target.where(content("text")), have()).select("doc_id").distinct().count()
     status = "no_documents" if target.isEmpty() else "partial" if left else "no_valid_content" if n.blank and not n.processed else "complete"
     return spark.createDataFrame([(status, n.processed, n.blank, left)], "status string, processed long, blank long, still_missing long")

@@ -30,3 +30,10 @@ def same(spark, tmp_path):
 
 def test_sentences_of_texts_without_any(same):
     assert len(same("str_sentences", documents=(TEXTS, "doc_id long, text string"))) == len(TEXTS)
+
+
+def test_tokens_of_blank_texts_and_repeated_rows(same):
+    rows = [*TEXTS, (1, "One. Two!  Three"), (2, "b\nc"), (4, None), (20, None), (20, None), (21, "x"), (21, "y\nzz"), (21, ""), (21, "x"), (22, ""), (22, ""), (None, "no id"), (None, "no id"), (None, ""), (None, None)]
+    labels = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (21, 0, 1), (None, 1, 1), (99, 1, 0)]
+    got = same("heal_tokens", documents=(rows, "doc_id long, text string"), labels=(labels, "doc_id long, quality int, toxic int"))
+    assert {(i, n) for i, n, _ in got} >= {("2", "3"), ("3", "1"), ("5", "3"), ("21", "5"), ("22", "2"), ("None", "3")}
